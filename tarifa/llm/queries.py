@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, license_scan, mixing, pii, quality_rules, site_quality
 from .common import table
 
 
@@ -13,10 +14,29 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("class_distance", "word_distance")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), "a key that a caller would keep secret", ["doc_id"])
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("bucket")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_exact_dedup)}
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its host, source and language its path."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return site_quality.score(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_quality_rules, op2_pii, op3_license_scan, op4_exact_dedup, op5_site_quality, op7_mixing)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
