@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing, pii, quality_rules, site_quality
+from . import bpe, chain_dedup, exact_dedup, jaccard_join, license_scan, mixing, pii, quality_rules, site_quality, suffix_dedup
 from .common import table
 
 
@@ -32,11 +32,50 @@ def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.score(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_quality_rules, op2_pii, op3_license_scan, op4_exact_dedup, op5_site_quality, op7_mixing)
+def op8_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Token counts and digests of whole texts under the multilingual byte-level BPE."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = bpe.tokenise(docs, ranks, public_tokenizers.PATTERN, ["doc_id"])
+    return coded.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_quality_rules, op2_pii, op3_license_scan, op4_exact_dedup, op5_site_quality,
+    op6_suffix_dedup, op7_mixing, op8_chain_dedup, op9_byte_bpe, op10_jaccard_join,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL of the operators that SQL can express; words and lines as the contract has them.
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": """
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+    """,
+}
