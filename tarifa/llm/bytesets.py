@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,15 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its memory
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -40,7 +50,7 @@ class Prefix:
 _WEIGHTS = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def chunks(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, size: int = 700_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of rows with about `size` bytes; null counts as empty."""
     texts = texts.cast(pa.large_binary())
     if texts.null_count:
@@ -55,6 +65,7 @@ def chunks(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, int, n
         j = int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1
         j = min(max(j, i + 1), len(texts), i + 60_000)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        release()
         i = j
 
 

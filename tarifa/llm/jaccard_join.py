@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import chunks, mix, shingles
+from .bytesets import chunks, mix, release, shingles
 from .common import settle
 from .components import components
 
@@ -132,6 +132,21 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("node").take(pa.array(row))], names=["path", "node"])
 
 
+def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compare each row of a large bucket with the bucket's leader (its least node).
+
+    A row like the leader (0.7 or more) need not be split further: by the triangle inequality of the Jaccard distance
+    a partner at 0.8 is at 0.5 or more to the leader, and every row at 0.35 or more becomes a candidate of it.
+    """
+    for batch in batches:
+        if batch.num_rows:
+            a, b = _signatures(batch.column("sig")), _signatures(batch.column("low_sig"))
+            both = np.maximum(1, ((a != _EMPTY) | (b != _EMPTY)).sum(1))
+            like = ((a == b) & (a != _EMPTY)).sum(1) / both
+            columns = [batch.column(c) for c in ("path", "node", "low")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(like >= 0.35), pa.array(like >= 0.7)], names=["path", "node", "low", "near", "peeled"])
+
+
 def _family_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets (arrays of 48-bit hashes) of texts, their other columns passing through."""
     for batch in batches:
@@ -192,6 +207,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
             if (new == label).all():
                 break
             label = new
+        release()
         out.append(pd.DataFrame({"node": node, "label": label, "links": links, "tiled": bool(f["tiled"].iloc[0])}))
     return pd.concat(out) if out else pd.DataFrame({"node": [], "label": [], "links": [], "tiled": []})
 
@@ -214,22 +230,26 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: fl
     nodes = settle(nodes, "nodes")
     sigs = nodes.select(F.col("node").alias("s_node"), "sig")
     level = nodes.select(F.explode("paths").alias("path"), "node")
-    edges, large = [], None
+    edges = []
     for depth in range(levels + 1):
         sizes = settle(level.groupBy(F.col("path").alias("k")).agg(F.count("*").alias("size"), F.min("node").alias("low")).where("size > 1"), "buckets")
-        rows = level.join(sizes, F.col("path") == F.col("k"))
-        few = rows.where(F.col("size") <= small).select("path", "node").join(sigs, F.col("node") == F.col("s_node")).select("path", "node", "sig")
-        few = few.repartition("path").sortWithinPartitions("path")
+        # both sides of these joins grow with the input: they are merged by shuffle at every size
+        rows = level.hint("merge").join(sizes, F.col("path") == F.col("k")).hint("merge").join(sigs, F.col("node") == F.col("s_node"))
+        rows = settle(rows.select("path", "node", "sig", "size", "low"), "rows")
+        few = rows.where(F.col("size") <= small).select("path", "node", "sig").repartition("path").sortWithinPartitions("path")
         edges.append(settle(few.mapInArrow(_matches(0.6), "u long, v long").distinct(), "pairs"))
         large = rows.where(F.col("size") > small)
-        if sizes.where(F.col("size") > small).isEmpty():
-            large = None
+        if large.isEmpty():
             break
+        leaders = sizes.where(F.col("size") > small).select("k", F.col("low").alias("leader")).join(sigs, F.col("leader") == F.col("s_node"))
+        leaders = leaders.select("k", F.col("sig").alias("low_sig"))
+        peeled = large.join(leaders, F.col("path") == F.col("k")).select("path", "node", "sig", "low", "low_sig")
+        peeled = settle(peeled.mapInArrow(_peel, "path long, node long, low long, near boolean, peeled boolean"), "peeled")
+        # what is as large as before after the last split joins its leader as a whole
+        edges.append(peeled.where("near" if depth < levels else "true").select(F.col("low").alias("u"), F.col("node").alias("v")))
         if depth < levels:
-            deeper = large.select("path", "node").join(sigs, F.col("node") == F.col("s_node")).select("path", "node", "sig")
+            deeper = peeled.where("NOT peeled").select("path", "node").join(sigs, F.col("node") == F.col("s_node")).select("path", "node", "sig")
             level = settle(deeper.mapInArrow(_split, "path long, node long"), "paths")
-    if large is not None:
-        edges.append(large.select(F.col("low").alias("u"), F.col("node").alias("v")))
     all_edges = edges[0]
     for e in edges[1:]:
         all_edges = all_edges.unionByName(e)
@@ -241,7 +261,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: fl
         "node", "root", "copies", "first", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"),
     )
     members = settle(members, "members")
-    texts = base.join(members, base["doc_id"].eqNullSafe(members["first"])).select("node", "root", "copies", "blocks", "block", "text")
+    texts = base.hint("merge").join(members, base["doc_id"].eqNullSafe(members["first"])).select("node", "root", "copies", "blocks", "block", "text")
     schema = "node long, root long, copies long, blocks int, block int, set binary"
     sets = texts.mapInArrow(_family_sets, schema)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import Prefix, chunks, mix
+from .bytesets import Prefix, chunks, mix, release
 from .common import settle
 
 GRAM = 20
@@ -183,6 +183,7 @@ def _match_regions(buckets: int):
             for kind, mask, names in ((1, covered, _SPAN), (2, ask, _ASK)):
                 row, ids, keys = _rows_of(x["id"][mask], x["key"][mask])
                 out += _emit(_home(ids, buckets)[row], kind, row, ids, keys, **{k: x[k][mask] for k in names})
+        release()
         return pd.DataFrame(out, columns=["bucket", "kind", "payload"])
 
     return run
@@ -204,6 +205,7 @@ def _fetch(buckets: int):
         for s, e in zip(edges, edges[1:]):
             part = order[s:e]
             out.append((int(home[part[0]]), 3, pickle.dumps({k: v[part] for k, v in x.items()} | {"bytes": b"".join(cut[part])}, 5)))
+        release()
         return pd.DataFrame(out, columns=["bucket", "kind", "payload"])
 
     return run
@@ -304,6 +306,7 @@ def _match_suffixes(length: int, buckets: int):
         who, lo, hi = of[hit[f]], shift[hit[f]], shift[hit[l]] + length
         row, rid, rkey = _rows_of(x["id"][who], x["key"][who])
         out = list(_emit(_home(rid, buckets)[row], 1, row, rid, rkey, a=(x["a"][who] + lo).astype(np.uint32), n=(hi - lo).astype(np.uint8)))
+        release()
         return pd.DataFrame(out, columns=["bucket", "kind", "payload"])
 
     return run
@@ -333,10 +336,11 @@ def _cut(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
         edges = [0, *(v for c in cuts for v in c), len(text)]
         kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if cuts else text)
         found.append([{"start": s, "stop": t} for s, t in cuts])
+    release()
     return pd.DataFrame({"doc_id": docs["doc_id"], "n_bytes": [len(t) for t in docs["text"]], "spans": found, "kept": kept})
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, bucket_bytes: int = 8_000_000) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, bucket_bytes: int = 4_000_000) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, spans (maximal removed runs of bytes, start and stop), kept (binary).
 
     Texts count as UTF-8 bytes, null as none; matches never cross rows. Ids are integers; a null id counts as smaller

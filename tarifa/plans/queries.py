@@ -214,7 +214,7 @@ def price_suggestion(spark, d):
     return reports.price_suggestion(_assessed(spark, d), t.tracked_products(spark, d))
 
 
-@query("""SELECT product_id, day, count(*) AS sellers, min(price) AS min_price, round(avg(price), 4) AS avg_price FROM (SELECT product_id, scraped_at::DATE AS day, seller_id, price FROM h
+@query("""SELECT product_id, day, count(*) AS sellers, min(price) AS min_price, round(avg(price), 6) AS avg_price FROM (SELECT product_id, scraped_at::DATE AS day, seller_id, price FROM h
     QUALIFY row_number() OVER (PARTITION BY product_id, scraped_at::DATE, seller_id ORDER BY scraped_at DESC, l_orderkey DESC, l_linenumber DESC) = 1) GROUP BY ALL""", "h")
 def daily_price_chart(spark, d):
     return timeseries.daily(t.price_history(spark, d))

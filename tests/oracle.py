@@ -43,7 +43,7 @@ def compare(spark, query, sql: str, sf_dir: str) -> str:
     if got[0] != want[0]:
         return f"columns {got[0]} and {want[0]}"
     if got[1] != want[1]:
-        extra = [x for x in got[1] if x not in set(want[1])][:2] if len(got[1]) < 200_000 else []
-        missing = [x for x in want[1] if x not in set(got[1])][:2] if len(want[1]) < 200_000 else []
+        left, right = set(got[1]), set(want[1])
+        extra, missing = sorted(left - right, key=repr)[:2], sorted(right - left, key=repr)[:2]
         return f"{len(got[1])} and {len(want[1])} rows; only in Spark {extra}, only in SQL {missing}"
     return ""
