@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,23 +49,30 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _literal(value: str, kind: str) -> Column:
-    """A literal array or map: one JSON string that the optimizer parses once (constant folding)."""
-    return F.from_json(F.lit(value), kind)
-
-
 def _bucket(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def _packed(entries: DataFrame) -> str:
-    """A map (k, v), v in JSON, as an array of BUCKETS small maps: keys are found by hash, not by a walk through all."""
-    entry = F.concat(F.lit('"'), "k", F.lit('":'), "v")
-    rows = entries.groupBy(_bucket(F.col("k")).alias("b")).agg(F.concat_ws(",", F.sort_array(F.collect_list(entry))).alias("s"))
-    out = [""] * BUCKETS
-    for b, s in rows.collect():  # one string a bucket
-        out[b] = s
-    return "[{" + "},{".join(out) + "}]"
+def _packed(entries: DataFrame, name: str) -> Column:
+    """A map (k, v) as an array of BUCKETS small maps: keys are found by hash, not by a walk through all.
+
+    The table, of bounded size, is one row in the shared folder; as a scalar subquery Spark reads it once and puts it
+    into the plan as a literal, so neither the driver's Python nor the plan's text holds it.
+    """
+    filled = entries.groupBy(_bucket(F.col("k")).alias("b")).agg(F.collect_list(F.struct("k", "v")).alias("e"))
+    slots = entries.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("slot"))
+    rows = slots.join(filled, F.col("slot") == F.col("b"), "left")
+    entry = F.coalesce("e", F.array().cast(filled.schema["e"].dataType)).alias("e")
+    one = rows.agg(F.sort_array(F.collect_list(F.struct("slot", entry))).alias("s"))
+    return settle(one.select(F.transform("s", lambda x: F.map_from_entries(x["e"]))), name).scalar()
+
+
+def _pieces(vocabulary: DataFrame) -> Column:
+    """The pieces in the order of their ids, gaps empty, as a scalar subquery."""
+    most = vocabulary.agg(F.max("v")).first()[0]
+    every = vocabulary.sparkSession.range(most + 1).join(vocabulary, F.col("id") == F.col("v"), "left")
+    one = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("k", F.lit("")).alias("k")))).alias("s"))
+    return settle(one.select(F.transform("s", lambda x: x["k"])), "pieces").scalar()
 
 
 def _get(table: Column, key: Column) -> Column:
@@ -124,12 +132,9 @@ def tokenise(
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("the ranks must hold every single byte")
     spark = docs.sparkSession
-    vocabulary = spark.createDataFrame([(k.hex().upper(), str(v)) for k, v in ranks.items()], "k string, v string")
-    rank_map = _literal(_packed(vocabulary), "array<map<string,int>>")
-    names = [""] * (max(ranks.values()) + 1)
-    for k, v in ranks.items():
-        names[v] = k.hex().upper()
-    pieces = F.split(F.lit("/".join(names)), "/")
+    known = pa.table({"k": [k.hex().upper() for k in ranks], "v": pa.array(ranks.values(), pa.int32())})
+    vocabulary = settle(spark.createDataFrame(known), "vocabulary")
+    rank_map, pieces = _packed(vocabulary, "ranks"), _pieces(vocabulary)
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({java_pattern(pattern)})"), F.lit(0))
     one = docs.select(*keep, F.transform(found, lambda w: F.hex(w)).alias("_w"))
     # distinct words of each text first, so that the grouping sees a word once a text
@@ -137,10 +142,13 @@ def tokenise(
     top = counts.orderBy(F.desc("n"), "k").limit(frequent).select("k")
     top = top.repartition(spark.sparkContext.defaultParallelism, "k")
     both = lambda w, r, p: let(fold(w, r), lambda ids: F.concat(ids, F.lit(":"), decode(ids, p)))
-    bound = lambda body: let(rank_map, lambda r: let(pieces, lambda p: body(r, p)))
-    words = settle(top.select("k", bound(lambda r, p: both(F.col("k"), r, p)).alias("v")), "words")
-    word_map = _literal(_packed(words.select("k", F.concat(F.lit('"'), "v", F.lit('"')).alias("v"))), "array<map<string,string>>")
-    coded = bound(lambda r, p: let(word_map, lambda m: F.transform("_w", lambda w: F.coalesce(_get(m, w), both(w, r, p)))))
+    bound = lambda body: let(F.col("_ranks"), lambda r: let(F.col("_pieces"), lambda p: body(r, p)))
+    # each table is used once, so Spark puts the subquery in its place and no row ever holds a table
+    tables = [rank_map.alias("_ranks"), pieces.alias("_pieces")]
+    words = top.select("k", *tables).select("k", bound(lambda r, p: both(F.col("k"), r, p)).alias("v"))
+    word_map = _packed(settle(words, "words"), "frequent")
+    coded = bound(lambda r, p: let(F.col("_words"), lambda m: F.transform("_w", lambda w: F.coalesce(_get(m, w), both(w, r, p)))))
+    one = one.select("*", *tables, word_map.alias("_words"))
     out = one.select(*keep, coded.alias("_c"))
     out = out.select(
         *keep,
