@@ -1,6 +1,6 @@
 """Operator 4: exact dedup through an extendible-hash index on shared files, in built-in functions only.
 
-1. Entries (id, 64-bit key, SHA-256, normalised text) are written to shared files once.
+1. Every row is an entry (id, 64-bit key, SHA-256, normalised text); entries are hashed when read and never copied to disk.
 2. Equal texts become one chain entry. The grouping compares bytes; its map side folds the copies of each task, so a
    group that holds a third of all rows arrives as one row a task. Different texts under one key stay chained.
 3. The directory doubles: a bucket is the shortest key prefix with at most `capacity` chain entries, so only overfull
@@ -66,7 +66,6 @@ def dedup(
     entries = docs.select(F.col(doc_id).alias("doc_id"), *(keep or []), norm.alias("_norm"))
     key = F.shiftleft(F.xxhash64("_norm"), 64 - key_bits) if key_bits < 64 else F.xxhash64("_norm")
     entries = entries.select("*", key.alias("_key"), F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"))
-    entries = settle(entries, "entries")
     chains = entries.groupBy(F.col("_key").alias("key"), F.col("text_sha256").alias("sha"), "_norm").agg(
         F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
     )
