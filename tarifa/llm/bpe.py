@@ -83,37 +83,33 @@ def _get(table: Column, key: Column) -> Column:
 def fold(word: Column, ranks: Column) -> Column:
     """Ids (comma-joined decimals) of a word in hexadecimal, by ranked merges.
 
-    The state holds the parts and the rank of each adjacent pair; a merge looks up its two new neighbours only.
+    The state holds the places where parts begin (and the end) and the rank of each adjacent pair; a merge drops one
+    place and looks up its two new pairs only. Arrays of integers are cheap to copy from step to step.
     """
-    none = F.lit(2147483647)
+    none, empty = F.lit(2147483647), F.array().cast("array<int>")
     size = F.char_length(word)
-    rank = lambda key: F.coalesce(_get(ranks, key), none)
+    piece = lambda start, stop: _get(ranks, F.substring(word, start, stop - start))
+    rank = lambda start, stop: F.coalesce(piece(start, stop), none)
 
     def step(a: Column, _: Column) -> Column:
-        p, r = a["p"], a["r"]
+        b, r = a["b"], a["r"]
 
         def merged(at: Column) -> Column:
-            def put(m: Column) -> Column:
-                left = F.when(at > 1, F.array(rank(F.concat(F.get(p, at - 2), m)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(at < F.size(r), F.array(rank(F.concat(m, F.get(p, at + 1))))).otherwise(F.array().cast("array<int>"))
-                parts = F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, F.size(p)))
-                before = F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0)))
-                return F.struct(parts.alias("p"), F.concat(before, left, right, F.slice(r, at + 2, F.size(r))).alias("r"))
-
-            return let(F.concat(F.get(p, at - 1), F.get(p, at)), put)
-
-        low = lambda x: F.when(x < none, let(F.array_position(r, x).cast("int"), merged)).otherwise(a)
-        return let(F.coalesce(F.array_min(r), none), low)
-
-    at = F.sequence(F.lit(1), size, F.lit(2))
-    start = F.struct(
-        F.transform(at, lambda i: F.substring(word, i, F.lit(2))).alias("p"),
-        F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda i: rank(F.substring(word, i, F.lit(4)))).alias("r"),
-    )
-    rounds = F.when(size > 2, F.sequence(F.lit(1), (size / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    parts = F.aggregate(rounds, start, step, lambda a: a["p"])
-    slow = F.array_join(F.transform(parts, lambda p: _get(ranks, p).cast("string")), ",")
-    return let(_get(ranks, word), lambda whole: F.coalesce(whole.cast("string"), slow))
+            left = F.when(at > 1, F.array(rank(F.get(b, at - 2), F.get(b, at + 1)))).otherwise(empty)
+            right = F.when(at < F.size(r), F.array(rank(F.get(b, at - 1), F.get(b, at + 2)))).otherwise(empty)
+            places = F.concat(F.slice(b, F.lit(1), at), F.slice(b, at + 2, F.size(b)))
+            before = F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0)))
+            return F.struct(places.alias("b"), F.concat(before, left, right, F.slice(r, at + 2, F.size(r))).alias("r"))
+
+        low = F.array_min(r)
+        return F.when(low < none, let(F.array_position(r, low).cast("int"), merged)).otherwise(a)
+
+    at = F.sequence(F.lit(1), size + 1, F.lit(2))
+    start = F.struct(at.alias("b"), F.transform(F.slice(at, F.lit(1), F.size(at) - 2), lambda i: rank(i, i + 4)).alias("r"))
+    rounds = F.when(size > 2, F.sequence(F.lit(1), (size / 2).cast("int") - 1)).otherwise(empty)
+    places = F.aggregate(rounds, start, step, lambda a: a["b"])
+    joined = lambda b: F.array_join(F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x, i: piece(x, F.get(b, i + 1)).cast("string")), ",")
+    return let(_get(ranks, word), lambda whole: F.coalesce(whole.cast("string"), let(places, joined)))
 
 
 def decode(ids: Column, pieces: Column) -> Column:
