@@ -17,7 +17,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(docs, COLUMNS).where("kept").select(COLUMNS)
+    """A verdict depends on text and language alone, so thin verdicts meet the documents again by id and hash."""
+    hashed = docs.select("*", F.xxhash64("text", "lang").alias("_hash"))
+    judged = quality_rules.judge(hashed, ["doc_id", "_hash"]).where("kept").select(F.col("doc_id").alias("k_id"), F.col("_hash").alias("k_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("_hash") == F.col("k_hash"))
+    return hashed.join(judged, same, "left_semi").select(COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
