@@ -34,9 +34,10 @@ def movers(changes: DataFrame, k: int = 5, prelimit: int | None = None) -> DataF
 
 
 def daily(history: DataFrame) -> DataFrame:
-    """AGG-14: last price of the day of each seller, then least and mean by day."""
+    """AGG-14: last price of the day of each seller, then least and mean by day (an exact sum, so the order of rows doesn't matter)."""
     last = history.groupBy("product_id", F.to_date("scraped_at").alias("day"), "seller_id").agg(F.max_by("price", F.struct(*ORDER)).alias("price"))
-    return last.groupBy("product_id", "day").agg(F.count("*").alias("sellers"), F.min("price").alias("min_price"), F.round(F.avg("price"), 6).alias("avg_price"))
+    mean = F.sum(F.col("price").cast("decimal(28,9)")).cast("double") / F.count("*")
+    return last.groupBy("product_id", "day").agg(F.count("*").alias("sellers"), F.min("price").alias("min_price"), mean.alias("avg_price"))
 
 
 def failure_runs(attempts: DataFrame, key: str, failed, length: int = 5) -> DataFrame:

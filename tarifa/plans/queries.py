@@ -214,7 +214,7 @@ def price_suggestion(spark, d):
     return reports.price_suggestion(_assessed(spark, d), t.tracked_products(spark, d))
 
 
-@query("""SELECT product_id, day, count(*) AS sellers, min(price) AS min_price, round(avg(price), 6) AS avg_price FROM (SELECT product_id, scraped_at::DATE AS day, seller_id, price FROM h
+@query("""SELECT product_id, day, count(*) AS sellers, min(price) AS min_price, sum(price::DECIMAL(28, 9))::DOUBLE / count(*) AS avg_price FROM (SELECT product_id, scraped_at::DATE AS day, seller_id, price FROM h
     QUALIFY row_number() OVER (PARTITION BY product_id, scraped_at::DATE, seller_id ORDER BY scraped_at DESC, l_orderkey DESC, l_linenumber DESC) = 1) GROUP BY ALL""", "h")
 def daily_price_chart(spark, d):
     return timeseries.daily(t.price_history(spark, d))
@@ -276,12 +276,12 @@ def url_dedup(spark, d):
     return t.read(spark, d, "pages").groupBy(text.norm_url(F.col("url")).alias("norm")).agg(F.min("page_id").alias("page_id"))
 
 
-@query("SELECT product_id, array_to_string(list_filter(regexp_split_to_array(lower(product_name), '[^a-z0-9]+'), x -> length(x) >= 3), ' ') AS tokens FROM p", "p")
+@query("SELECT product_id, array_to_string(list_filter(regexp_split_to_array(lower(product_name), '[^a-z0-9]+'), lambda x: length(x) >= 3), ' ') AS tokens FROM p", "p")
 def text_fold_tokens(spark, d):
     return t.tracked_products(spark, d).select("product_id", F.array_join(text.tokens(F.col("product_name")), " ").alias("tokens"))
 
 
-@query("""SELECT * FROM (VALUES (1, 99.99, 99.99), (2, 1290.0, 12901890.0), (3, 99.0, 899.0), (4, NULL, 8.0), (5, 1299.5, 1299.5), (6, 99999.9, 99999.9), (7, 1299.0, 1299.0), (8, NULL, 0.0)) v(id, search, page)""")
+@query("""SELECT id, search::DOUBLE AS search, page::DOUBLE AS page FROM (VALUES (1, 99.99, 99.99), (2, 1290.0, 12901890.0), (3, 99.0, 899.0), (4, NULL, 8.0), (5, 1299.5, 1299.5), (6, 99999.9, 99999.9), (7, 1299.0, 1299.0), (8, NULL, 0.0)) v(id, search, page)""")
 def price_strings(spark, d):
     rows = [(1, "₺99,99"), (2, "₺1.290 - ₺1.890"), (3, "8 ay 99 TL"), (4, "8 ay"), (5, "1,299.50"), (6, "99.999,90"), (7, "1.299"), (8, "yok")]
     x = spark.createDataFrame(rows, "id int, label string")
