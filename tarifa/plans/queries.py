@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prices, text
@@ -391,3 +391,51 @@ def product_upsert(spark, d):
     changes = p.where(k % 3 == 0).select("product_id", F.when(k % 2 == 0, F.lit(1.0)).alias("current_price"), F.lit(None).cast("string").alias("status"))
     new = spark.createDataFrame([(-1, 5.0, "ACTIVE")], changes.schema)
     return lifecycle.upsert(p, changes.unionByName(new), ["product_id"])
+
+
+@query("""SELECT product_id, seller_id, price, rn FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY price, seller_id) AS rn FROM c WHERE price > 0) WHERE rn <= 10""", "c")
+def cheapest_ten_sellers(spark, d):
+    """SRT-12."""
+    c = t.competitors(spark, d).where("price > 0")
+    rn = F.row_number().over(Window.partitionBy("product_id").orderBy("price", "seller_id"))
+    return c.select("product_id", "seller_id", "price", rn.alias("rn")).where("rn <= 10")
+
+
+@query("""SELECT product_id, seller_id, (price - own_price) / own_price * 100 AS diff_pct, price = min(price) OVER (PARTITION BY product_id) AS cheapest FROM a WHERE usable AND own_price > 0""", "a")
+def competitor_diffs(spark, d):
+    """WIN-11."""
+    a = _assessed(spark, d).where("usable AND own_price > 0")
+    low = F.min("price").over(Window.partitionBy("product_id"))
+    return a.select("product_id", "seller_id", ((F.col("price") - F.col("own_price")) / F.col("own_price") * 100).alias("diff_pct"), (F.col("price") == low).alias("cheapest"))
+
+
+@query("""SELECT product_id, count(*) AS listings, count_if(usable) / count(*) AS quality, count_if(st) / count(*) AS stale_ratio,
+    CASE WHEN count_if(usable) = 0 THEN 'none' WHEN count_if(usable) / count(*) >= 0.8 AND count_if(st) / count(*) <= 0.5 THEN 'strong' WHEN count_if(usable) / count(*) >= 0.5 THEN 'cautious' ELSE 'low' END AS confidence FROM a GROUP BY product_id""", "a")
+def listing_confidence(spark, d):
+    """AGG-24 with a label by its ratios."""
+    n = F.count("*")
+    g = _assessed(spark, d).groupBy("product_id").agg(n.alias("listings"), (F.count_if("usable") / n).alias("quality"), (F.count_if(F.array_contains("issues", "stale")) / n).alias("stale_ratio"))
+    q = F.col("quality")
+    label = F.when(q == 0, "none").when((q >= 0.8) & (F.col("stale_ratio") <= 0.5), "strong").when(q >= 0.5, "cautious").otherwise("low")
+    return g.withColumn("confidence", label)
+
+
+@query("SELECT product_id, product_name FROM p WHERE product_id > 100 ORDER BY product_id LIMIT 500", "p")
+def keyset_page(spark, d):
+    """SRT-06: the page of 500 after a cursor."""
+    return t.tracked_products(spark, d).where("product_id > 100").select("product_id", "product_name").orderBy("product_id").limit(500)
+
+
+@query("SELECT user_id, count(*) AS used, greatest(0, 5 - count(*)) AS remaining, least(100, CAST(floor(100.0 * count(*) / 5 + 0.5) AS BIGINT)) AS used_pct FROM p GROUP BY user_id", "p")
+def plan_usage(spark, d):
+    """AGG-23, CSE-11: against five products, the least plan's number."""
+    n = F.count("*")
+    g = t.tracked_products(spark, d).groupBy("user_id").agg(n.alias("used"))
+    return g.select("user_id", "used", F.greatest(F.lit(0), 5 - F.col("used")).alias("remaining"), F.least(F.lit(100), F.floor(100.0 * F.col("used") / 5 + 0.5)).alias("used_pct"))
+
+
+@query("SELECT count(DISTINCT marketplace) AS marketplaces, max(scraped_at) AS newest FROM h JOIN p USING (product_id)", "hp")
+def marketplaces_in_use(spark, d):
+    """AGG-16, AGG-21: the history is reduced by product before the join."""
+    last = t.price_history(spark, d).groupBy("product_id").agg(F.max("scraped_at").alias("ts"))
+    return last.join(t.tracked_products(spark, d), "product_id").agg(F.countDistinct("marketplace").alias("marketplaces"), F.max("ts").alias("newest"))
