@@ -3,8 +3,9 @@
 Sets are the 5-word shingles of a text; texts with equal sets are one node. Each node is embedded in 64 tokens (a
 one-permutation MinHash). In every run a node goes down the paths of the tokens that the path samples, each with
 probability c / (0.8 * tokens), so two nodes with similarity 0.8 share c paths a level on average. Buckets of at most
-`small` nodes are compared pairwise; larger ones are split again on tokens sampled by the path so far. Runs repeat
-until the chance to miss a pair at the threshold, exp(-c * runs), is below 1 - recall.
+`small` nodes are compared pairwise; larger ones are split again on tokens sampled by the path so far, with a greater c.
+A pair must share a path at each level, so its chance to share none, q = exp(-c * (1 - q)), is carried from the deepest
+level up, and runs repeat until q ** runs is below 1 - recall.
 
 Candidate pairs only decide which nodes are brought together: families (connected candidates) are then compared
 exactly on whole shingle sets, large families in tiles. A bucket that stays large after `levels` splits is joined
@@ -28,7 +29,7 @@ from .components import components
 
 TOKENS = 64
 _EMPTY = 0xFFFFFFFF
-_C = 1.25
+_C, _DEEPER = 1.25, 3.0  # paths that a pair at the threshold shares at the first level, and for each split
 
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -39,10 +40,18 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, packed >> np.uint64(48), packed & np.uint64((1 << 48) - 1)
 
 
-def _chosen(path: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs(recall: float, levels: int) -> int:
+    """Runs after which a pair at the threshold is missed with a chance of 1 - recall at most, `levels` splits down."""
+    miss = 0.0
+    for c in [_DEEPER] * levels + [_C]:
+        miss = math.exp(-c * (1 - miss))
+    return math.ceil(math.log(1 - recall) / math.log(miss))
+
+
+def _chosen(path: np.ndarray, sig: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, child path) of the tokens that each row's path samples from its signature."""
     live = sig != _EMPTY
-    p = np.minimum(1.0, _C / (0.8 * np.maximum(live.sum(1), 1)))
+    p = np.minimum(1.0, c / (0.8 * np.maximum(live.sum(1), 1)))
     token = sig.astype(np.uint64) | (np.arange(TOKENS, dtype=np.uint64) << np.uint64(32))
     child = mix(mix(path.astype(np.uint64))[:, None] ^ mix(token + np.uint64(1)))
     row, col = np.nonzero(live & ((mix(child) >> np.uint64(11)) * 2.0**-53 < p[:, None]))
@@ -70,7 +79,7 @@ def _sketch(runs: int):
                 sig = sig.reshape(m, TOKENS)
                 at, path = [], []
                 for s in starts:
-                    r, c = _chosen(np.full(m, s), sig)
+                    r, c = _chosen(np.full(m, s), sig, _C)
                     at.append(r)
                     path.append(c)
                 at, path = np.concatenate(at), np.concatenate(path)
@@ -128,7 +137,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            row, child = _chosen(batch.column("path").to_numpy().view(np.uint64), _signatures(batch.column("sig")))
+            row, child = _chosen(batch.column("path").to_numpy().view(np.uint64), _signatures(batch.column("sig")), _DEEPER)
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("node").take(pa.array(row))], names=["path", "node"])
 
 
@@ -221,7 +230,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: fl
     classes of their own. Ids must be integers; a null id takes part, but names a class only if all its ids are null.
     Repeated rows count as copies. An empty table gives an empty result.
     """
-    runs = math.ceil(math.log(1 / (1 - recall)) / _C)
+    runs = _runs(recall, levels)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = settle(base.mapInArrow(_sketch(runs), "doc_id long, node long, n int, sig binary, paths array<long>"), "sketches")
     nodes = sketch.where("node IS NOT NULL").groupBy("node").agg(
