@@ -29,9 +29,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the least id stays."""
-    stays = jaccard_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays"]), "left_semi").select(COLUMNS)
+    """Of each class of near copies, the document with the least id (and text hash) stays."""
+    hashed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    kept = jaccard_join.join(docs, stays=True).where("stays").select(F.col("doc_id").alias("k_id"), F.col("key").alias("k_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("_hash") == F.col("k_hash"))
+    return hashed.join(kept, same, "left_semi").select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,11 +60,11 @@ def _chosen(path: np.ndarray, sig: np.ndarray, c: float) -> tuple[np.ndarray, np
 
 def _sketch(runs: int):
     starts = np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("paths", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("paths", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("key")
             for i, j, rows, h in _sets(batch.column("text")):
                 m = j - i
                 n = np.bincount(rows.astype(np.int64), minlength=m)
@@ -87,7 +87,7 @@ def _sketch(runs: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at[order], np.arange(m + 1)), pa.int32()), pa.array(path[order].view(np.int64)))
                 none = n == 0
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, m), pa.array(node, pa.int64(), mask=none), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in sig], pa.binary()), lists], schema=schema
+                    [ids.slice(i, m), keys.slice(i, m), pa.array(node, pa.int64(), mask=none), pa.array(n, pa.int32()), pa.array([x.tobytes() for x in sig], pa.binary()), lists], schema=schema
                 )
 
     return run
@@ -221,20 +221,22 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"node": [], "label": [], "links": [], "tiled": []})
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = 0.9999, small: int = 48, levels: int = 4, tile: int = 1000) -> DataFrame:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = 0.9999, small: int = 48, levels: int = 4, tile: int = 1000, stays: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id, class_id (least id of its class), class_size, n_links.
 
     Two texts are linked when their sets of five-word shingles (words split at white space, A-Z as a-z; a text of
     fewer words is one shingle) have a Jaccard similarity of 0.8 or more; classes are the connected texts; n_links
     counts the other rows linked to a row, copies included. Null, empty and wordless texts have no links and are
     classes of their own. Ids must be integers; a null id takes part, but names a class only if all its ids are null.
-    Repeated rows count as copies. An empty table gives an empty result.
+    Repeated rows count as copies. Rows with one id may hold different texts. An empty table gives an empty result.
+    With `stays` each row has two more columns: key (xxhash64 of its text, null as empty) and stays, which is true for
+    one id and text of each class, the least by id (nulls last) and key; rows that repeat both all stay.
     """
     runs = _runs(recall, levels)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = settle(base.mapInArrow(_sketch(runs), "doc_id long, node long, n int, sig binary, paths array<long>"), "sketches")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
+    sketch = settle(base.mapInArrow(_sketch(runs), "doc_id long, key long, node long, n int, sig binary, paths array<long>"), "sketches")
     nodes = sketch.where("node IS NOT NULL").groupBy("node").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.first("paths").alias("paths")
+        F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.first("sig").alias("sig"), F.first("paths").alias("paths")
     )
     nodes = settle(nodes, "nodes")
     sigs = nodes.select(F.col("node").alias("s_node"), "sig")
@@ -270,7 +272,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: fl
         "node", "root", "copies", "first", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"),
     )
     members = settle(members, "members")
-    texts = base.hint("merge").join(members, base["doc_id"].eqNullSafe(members["first"])).select("node", "root", "copies", "blocks", "block", "text")
+    texts = base.hint("merge").join(members, base["doc_id"].eqNullSafe(members["first"]["doc_id"]) & (base["key"] == members["first"]["key"])).select("node", "root", "copies", "blocks", "block", "text")
     schema = "node long, root long, copies long, blocks int, block int, set binary"
     sets = texts.mapInArrow(_family_sets, schema)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -287,9 +289,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: fl
     labels = found.where("NOT tiled").select("node", F.col("label").alias("root")).unionByName(components(tiled))
     named = nodes.select("node", "copies", "first").join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
     named = named.select("node", "copies", "first", F.coalesce("root", "node").alias("class"))
-    classes = named.groupBy(F.col("class").alias("c")).agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
+    classes = named.groupBy(F.col("class").alias("c")).agg(F.min("first").alias("least"), F.sum("copies").alias("class_size"))
     named = named.join(classes, F.col("class") == F.col("c")).join(links.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
-    named = named.select(F.col("node").alias("k"), "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = named.select(F.col("node").alias("k"), "least", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = settle(named, "classes")
-    out = sketch.select("doc_id", "node").join(named, F.col("node") == F.col("k"), "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = sketch.select("doc_id", "key", "node").join(named, F.col("node") == F.col("k"), "left")
+    least = F.col("least")
+    more = [F.col("key"), (F.col("node").isNull() | (F.col("doc_id").eqNullSafe(least["doc_id"]) & (F.col("key") == least["key"]))).alias("stays")]
+    return out.select(
+        "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(least["doc_id"]).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *more[: 2 * stays],
+    )

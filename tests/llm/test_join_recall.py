@@ -4,22 +4,39 @@ from __future__ import annotations
 
 import numpy as np
 
-from tarifa.llm import jaccard_join as j
+from tarifa.llm import jaccard_join
 
 
 def test_few_pairs_are_missed_at_the_deepest_level():
     r = np.random.default_rng(3)
     pairs, levels = 1500, 4
-    a, b = (r.integers(0, 1 << 31, (pairs, j.TOKENS), dtype=np.uint32) for _ in range(2))
-    b = np.where(r.permuted(np.tile(np.arange(j.TOKENS) < 51, (pairs, 1)), axis=1), a, b)
+    a, b = (r.integers(0, 1 << 31, (pairs, jaccard_join.TOKENS), dtype=np.uint32) for _ in range(2))
+    b = np.where(r.permuted(np.tile(np.arange(jaccard_join.TOKENS) < 51, (pairs, 1)), axis=1), a, b)
     met = np.zeros(pairs, bool)
-    for run in range(1, j._runs(0.9999, levels) + 1):
+    for run in range(1, jaccard_join._runs(0.9999, levels) + 1):
         pair, path = np.arange(pairs), np.full(pairs, run, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for c in [j._C] + [j._DEEPER] * levels:
-            own, child = j._chosen(path, a[pair], c)
-            other, theirs = j._chosen(path, b[pair], c)
+        for c in [jaccard_join._C] + [jaccard_join._DEEPER] * levels:
+            own, child = jaccard_join._chosen(path, a[pair], c)
+            other, theirs = jaccard_join._chosen(path, b[pair], c)
             both = np.intersect1d(np.unique(child), np.unique(theirs))
             keep = np.isin(child, both)
             pair, path = pair[own[keep]], child[keep]
         met[pair] = True
     assert (~met).sum() <= 2  # 0.1 of 1,500 at 0.01 %; 12 at one c for every level and 8 runs
+
+
+def test_rows_with_one_id_and_different_texts(spark):
+    """Each row is compared by its own text, and the pipeline's near stage drops rows by id and text."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(4)
+    texts = [[f"w{x}" for x in r.integers(0, 10**9, 80)] for _ in range(12)]
+    rows = []
+    for k, w in enumerate(texts):
+        # a row with the id of many and a near copy of it with an id of its own, or with none
+        rows += [([5, None][k % 2], " ".join(w)), ([100 + k, None][k // 2 % 2], " ".join([*w[:-1], "other"]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = jaccard_join.join(docs).collect()
+    assert len(got) == 24 and all(x["n_links"] == 1 and x["class_size"] == 2 for x in got)
+    kept = sorted(x["text"] for x in corpus_pipeline.near(spark, docs, "").collect())
+    assert len(kept) == 12 and {t.rpartition(" ")[0] for t in kept} == {" ".join(w[:-1]) for w in texts}
