@@ -115,6 +115,11 @@ def home_of(ids: Column, buckets: int) -> Column:
     return F.pmod(ids.bitwiseXOR(F.shiftrightunsigned(ids, 33)), F.lit(buckets | 1))
 
 
+def _anchor_home(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of an anchor; its low 16 bits don't travel."""
+    return ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+
+
 _SCHEMA = "bucket long, kind int, payload binary"
 
 
@@ -140,7 +145,7 @@ def _find_regions(length: int, buckets: int):
                 out = list(_emit(_home(own, buckets)[row[covered]], 1, row[covered], own, key, a=a[covered], n=n[covered]))
                 rest = ~covered
                 row, h, r, a, n, o = row[rest], h[rest], r[rest], a[rest], n[rest], o[rest]
-                out += _emit((h % np.uint64(buckets)).astype(np.int64), 0, row, own, key, h=h, r=r, a=a, n=n, o=o)
+                out += _emit(_anchor_home(h, buckets), 0, row, own, key, h=h, r=r, a=a, n=n, o=o)
                 yield _batch(out)
 
     return run
@@ -198,7 +203,7 @@ def _fetch(buckets: int):
         x = _unpack(asked["payload"], _ASK)
         texts = dict(zip(zip(docs["doc_id"].fillna(_NULL).astype("int64"), docs["key"]), docs["text"]))
         cut = np.array([texts[i, k][a : a + n] for i, k, a, n in zip(x["id"], x["key"], x["a"].tolist(), x["n"].tolist())], dtype=object)
-        home = (x["h"] % np.uint64(buckets)).astype(np.int64)
+        home = _anchor_home(x["h"], buckets)
         order = np.argsort(home, kind="stable")
         edges = np.flatnonzero(np.diff(home[order], prepend=-1, append=-1))
         out = []
