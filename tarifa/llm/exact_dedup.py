@@ -5,7 +5,8 @@
    group that holds a third of all rows arrives as one row a task. Different texts under one key stay chained.
 3. The directory doubles: a bucket is the shortest key prefix with at most `capacity` chain entries, so only overfull
    buckets split. The index files are sorted by bucket and key, an owner task for each key range.
-4. Every entry finds its chain entry by bucket, key and SHA-256 (a join that Spark may split where a key is hot).
+4. Every entry finds its chain entry by key and SHA-256 (a join that Spark may split where a key is hot). The grouping of
+   step 2 gives the rows; the directory only orders the index and names the buckets.
 """
 
 from __future__ import annotations
