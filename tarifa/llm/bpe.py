@@ -1,12 +1,19 @@
 """Operator 9: byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A word (one match of the tokenizer's pattern) is held as the hexadecimal string of its UTF-8 bytes. Encoding folds
-merges over the array of its bytes: each step looks up the rank of every adjacent pair in a literal rank map and
-joins the leftmost pair of lowest rank, until no pair has a rank. Decoding concatenates the binary pieces of the ids.
+A word (one match of the tokenizer's pattern) is held as the Latin-1 reading of its UTF-8 bytes, one character a byte.
+Encoding folds merges over the array of its bytes: each step takes the adjacent pair of lowest rank (the leftmost of
+equal ones) and joins it, until no pair has a rank. A part is one integer, the rank of its pair with the next part above
+its id, so the least of the array is the next merge and no step touches a string. The ranks of pairs are a literal map. Decoding concatenates the binary pieces of the ids.
 
 The distinct words of the corpus are counted over all texts; the `frequent` commonest are encoded once and become a
 second literal map (its size is bounded by that parameter). Every other word is folded in place, so the dictionary
 changes the speed and never the result.
+
+A word of more than a block of bytes is folded in overlapping blocks that are joined at a token both hold in the same
+place. That gives the ids of the whole word: a sequence is the encoding of its bytes exactly if each two neighbours are
+the encoding of theirs. (No merge crosses the ends of two final neighbours, so between these the fold runs as it would
+alone. Conversely the first merge across a boundary would be the least pair of its two neighbours alone as well.)
+All neighbours of the joined sequence are neighbours within a block. Where blocks share no token, the word is folded whole.
 """
 
 from __future__ import annotations
@@ -19,7 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import let, settle
 
-BUCKETS = 1 << 16
+BUCKETS = 262_139
+#: A part: rank << 44 | id, and for a moment its index << 20. Ids and ranks stay below 2**19, indices below 2**24.
+_PLACE, _RANK = 20, 44
+_NONE, _ID, _PLACES = (1 << 19) - 1, (1 << 20) - 1, (1 << 24) - 1
 #: White space of the tokenizer's pattern (Unicode White_Space), which Java's \s does not cover.
 _WHITE = r"\t-\r\x20\x85\xA0  -     　"
 
@@ -53,13 +63,13 @@ def _bucket(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def _packed(entries: DataFrame, name: str) -> Column:
+def _packed(entries: DataFrame, name: str, bucket=_bucket) -> Column:
     """A map (k, v) as an array of BUCKETS small maps: keys are found by hash, not by a walk through all.
 
     The table, of bounded size, is one row in the shared folder; as a scalar subquery Spark reads it once and puts it
     into the plan as a literal, so neither the driver's Python nor the plan's text holds it.
     """
-    filled = entries.groupBy(_bucket(F.col("k")).alias("b")).agg(F.collect_list(F.struct("k", "v")).alias("e"))
+    filled = entries.groupBy(bucket(F.col("k")).alias("b")).agg(F.collect_list(F.struct("k", "v")).alias("e"))
     slots = entries.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("slot"))
     rows = slots.join(filled, F.col("slot") == F.col("b"), "left")
     entry = F.coalesce("e", F.array().cast(filled.schema["e"].dataType)).alias("e")
@@ -80,76 +90,143 @@ def _get(table: Column, key: Column) -> Column:
     return F.element_at(F.get(table, _bucket(key)), key)
 
 
-def fold(word: Column, ranks: Column) -> Column:
-    """Ids (comma-joined decimals) of a word in hexadecimal, by ranked merges.
+def _pair_bucket(key: Column) -> Column:
+    return (key % F.lit(BUCKETS)).cast("int")
+
+
+class Fold:
+    """Column expressions that encode and decode words, given the tables of one vocabulary."""
 
-    The state holds the places where parts begin (and the end) and the rank of each adjacent pair; a merge drops one
-    place and looks up its two new pairs only. Arrays of integers are cheap to copy from step to step.
-    """
-    none, empty = F.lit(2147483647), F.array().cast("array<int>")
-    size = F.char_length(word)
-    piece = lambda start, stop: _get(ranks, F.substring(word, start, stop - start))
-    rank = lambda start, stop: F.coalesce(piece(start, stop), none)
+    def __init__(self, ranks: dict[bytes, int], pairs: Column, pieces: Column, block: int):
+        self.pairs, self.pieces, self.block = pairs, pieces, block
+        self.singles = F.lit([ranks[bytes([b])] for b in range(256)]).cast("array<bigint>")
+
+    def part(self, pair: Column) -> Column:
+        """The left part of a pair (left id << 20 | right id), with the rank of the pair."""
+        known = F.element_at(F.get(self.pairs, _pair_bucket(pair)), pair)
+        return F.coalesce(known, F.shiftright(pair, _PLACE).bitwiseOR(F.lit(_NONE << _RANK)))
+
+    def ids(self, word: Column) -> Column:
+        """The ids of a word, by ranked merges."""
+        edge = F.lit((_NONE << _RANK) | _ID).cast("long")  # before the first part and after the last: no pair has a rank
+        id_of = lambda part: part.bitwiseAND(F.lit(_ID))
+        pair = lambda left, right: F.shiftleft(left, _PLACE).bitwiseOR(right)
+
+        def merge(s: Column, low: Column) -> Column:
+            new, at = F.shiftright(low, _RANK), F.shiftright(low, _PLACE).bitwiseAND(F.lit(_PLACES)).cast("int")
+            pairs = F.array(pair(id_of(F.get(s, at - 1)), new), pair(new, id_of(F.get(s, at + 2))))
+            merged = F.concat(F.slice(s, F.lit(1), at - 1), F.transform(pairs, self.part), F.slice(s, at + 3, F.size(s)))
+            return F.when(low < F.lit(_NONE << _RANK), merged).otherwise(s)
+
+        def start(ids: Column) -> Column:
+            pairs = F.transform(ids, lambda x, i: pair(x, F.coalesce(F.get(ids, i + 1), F.lit(_ID).cast("long"))))
+            return F.concat(F.array(edge), F.transform(pairs, self.part), F.array(edge))
+
+        # array_position would do, but it leaves its loop by an exception, which costs more than the rest of a step
+        low = lambda s: F.array_min(F.transform(s, lambda x, i: x.bitwiseOR(F.shiftleft(i.cast("long"), _PLACE))))
+        single = F.transform(F.split(word, ""), lambda c: F.get(self.singles, F.ascii(c)))
+        rounds = F.array_repeat(F.lit(0), F.char_length(word) - 1)
+        folded = F.aggregate(rounds, let(single, start), lambda s, _: let(low(s), lambda x: merge(s, x)))
+        return let(folded, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: id_of(x).cast("int")))
+
+    def long_ids(self, word: Column) -> Column:
+        """The same for a long word: blocks that overlap by a quarter, joined at a common token."""
+        size, block = F.char_length(word), self.block
+        place = lambda part: F.shiftright(part, _PLACE)
+        empty = F.array().cast("array<bigint>")
+
+        def encoded(start: Column) -> Column:
+            """Tokens (place << 20 | id) of the block at byte `start`, counted from 0."""
+            def add(state: Column, i: Column) -> Column:
+                here = F.shiftleft(state["at"], _PLACE).bitwiseOR(i.cast("long"))
+                return F.struct((state["at"] + F.char_length(F.get(self.pieces, i))).alias("at"), F.concat(state["found"], F.array(here)).alias("found"))
+
+            ids = self.ids(F.substring(word, (start + 1).cast("int"), F.lit(block)))
+            return F.aggregate(ids, F.struct(start.alias("at"), empty.alias("found")), add)["found"]
+
+        def step(state: Column, _: Column) -> Column:
+            now, stop = state["now"], state["stop"]
+            late = F.filter(now, lambda x: place(x) >= stop - block // 4)
+            tail = F.when(F.size(late) > 0, late).otherwise(F.slice(now, F.lit(-1), F.lit(1)))
+
+            def joined(tail: Column) -> Column:
+                start = place(F.get(tail, F.lit(0)))
+
+                def with_next(more: Column) -> Column:
+                    common = F.get(F.filter(tail, lambda x: F.array_contains(more, x)), F.lit(0))
+                    return let(common, lambda c: F.struct(
+                        F.concat(state["done"], F.filter(now, lambda x: x < c)).alias("done"),
+                        F.filter(more, lambda x: x >= c).alias("now"),
+                        F.least(start + block, size.cast("long")).alias("stop"),
+                        c.isNull().alias("lost"),
+                    ))
+
+                return let(encoded(start), with_next)
+
+            return F.when((stop >= size) | state["lost"], state).otherwise(let(tail, joined))
 
-    def step(a: Column, _: Column) -> Column:
-        b, r = a["b"], a["r"]
+        zero = F.struct(empty.alias("done"), encoded(F.lit(0).cast("long")).alias("now"), F.lit(block).cast("long").alias("stop"), F.lit(False).alias("lost"))
+        rounds = F.array_repeat(F.lit(0), F.ceil(size * 2 / block).cast("int"))
+        ids = lambda s: F.transform(F.concat(s["done"], s["now"]), lambda x: x.bitwiseAND(F.lit(_ID)).cast("int"))
+        return let(F.aggregate(rounds, zero, step), lambda s: F.when(s["lost"], self.ids(word)).otherwise(ids(s)))
 
-        def merged(at: Column) -> Column:
-            left = F.when(at > 1, F.array(rank(F.get(b, at - 2), F.get(b, at + 1)))).otherwise(empty)
-            right = F.when(at < F.size(r), F.array(rank(F.get(b, at - 1), F.get(b, at + 2)))).otherwise(empty)
-            places = F.concat(F.slice(b, F.lit(1), at), F.slice(b, at + 2, F.size(b)))
-            before = F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0)))
-            return F.struct(places.alias("b"), F.concat(before, left, right, F.slice(r, at + 2, F.size(r))).alias("r"))
+    def code(self, word: Column) -> Column:
+        """(ids as comma-joined decimals, bytes as Latin-1) of a word: its encoding, and the decoding of that."""
+        def coded(ids: Column) -> Column:
+            return F.struct(F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias("ids"), self.decode(ids).alias("bytes"))
 
-        low = F.array_min(r)
-        return F.when(low < none, let(F.array_position(r, low).cast("int"), merged)).otherwise(a)
+        ids = lambda w: F.when(F.char_length(w) <= self.block, self.ids(w)).otherwise(self.long_ids(w))
+        return let(let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ids), coded)
 
-    at = F.sequence(F.lit(1), size + 1, F.lit(2))
-    start = F.struct(at.alias("b"), F.transform(F.slice(at, F.lit(1), F.size(at) - 2), lambda i: rank(i, i + 4)).alias("r"))
-    rounds = F.when(size > 2, F.sequence(F.lit(1), (size / 2).cast("int") - 1)).otherwise(empty)
-    places = F.aggregate(rounds, start, step, lambda a: a["b"])
-    joined = lambda b: F.array_join(F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x, i: piece(x, F.get(b, i + 1)).cast("string")), ",")
-    return let(_get(ranks, word), lambda whole: F.coalesce(whole.cast("string"), let(places, joined)))
+    def decode(self, ids: Column) -> Column:
+        """Bytes (as Latin-1) of an array of ids: the concatenation of their binary pieces."""
+        return F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "")
 
 
-def decode(ids: Column, pieces: Column) -> Column:
-    """Hexadecimal bytes of comma-joined ids: the concatenation of their binary pieces."""
-    return F.array_join(F.transform(F.split(ids, ","), lambda i: F.get(pieces, i.cast("int"))), "")
+def pair_ranks(ranks: dict[bytes, int]) -> pa.Table:
+    """Each two pieces that together are a piece (left id << 20 | right id): the left part, with its rank. Bounded by the vocabulary."""
+    k, v = [], []
+    for piece, rank in ranks.items():
+        for i in range(1, len(piece)):
+            left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if left is not None and right is not None:
+                k.append(left << _PLACE | right)
+                v.append(rank << _RANK | left)
+    return pa.table({"k": pa.array(k, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def tokenise(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str = "text", frequent: int = 100_000,
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str = "text", frequent: int = 400_000, block: int = 256,
 ) -> DataFrame:
     """One row per row of `docs`: `keep`, n_tokens, ids (comma-joined decimals), decoded (binary).
 
     Null counts as empty text: no tokens, empty ids, empty bytes. Special tokens are ordinary text. Whole texts are
-    encoded; repeated rows get the same ids; an empty table gives an empty result. Ranks must cover every byte.
+    encoded; repeated rows get the same ids; an empty table gives an empty result. Ranks must cover every byte and lie
+    below 524,287; a block holds two of the longest pieces at least.
     """
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("the ranks must hold every single byte")
+    if max(ranks.values()) >= _NONE:
+        raise ValueError(f"ranks must lie below {_NONE}")
+    block = max(block, 2 * max(map(len, ranks)))
     spark = docs.sparkSession
-    known = pa.table({"k": [k.hex().upper() for k in ranks], "v": pa.array(ranks.values(), pa.int32())})
-    vocabulary = settle(spark.createDataFrame(known), "vocabulary")
-    rank_map, pieces = _packed(vocabulary, "ranks"), _pieces(vocabulary)
+    known = pa.table({"k": [k.decode("latin-1") for k in ranks], "v": pa.array(ranks.values(), pa.int32())})
+    pieces = _pieces(settle(spark.createDataFrame(known), "vocabulary"))
+    pairs = _packed(settle(spark.createDataFrame(pair_ranks(ranks)), "pairs"), "ranks", _pair_bucket)
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({java_pattern(pattern)})"), F.lit(0))
-    one = docs.select(*keep, F.transform(found, lambda w: F.hex(w)).alias("_w"))
     # distinct words of each text first, so that the grouping sees a word once a text
-    counts = one.select(F.explode(F.array_distinct("_w")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    counts = docs.select(F.explode(F.array_distinct(found)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "k").limit(frequent).select("k")
     top = top.repartition(spark.sparkContext.defaultParallelism, "k")
-    both = lambda w, r, p: let(fold(w, r), lambda ids: F.concat(ids, F.lit(":"), decode(ids, p)))
-    bound = lambda body: let(F.col("_ranks"), lambda r: let(F.col("_pieces"), lambda p: body(r, p)))
     # each table is used once, so Spark puts the subquery in its place and no row ever holds a table
-    tables = [rank_map.alias("_ranks"), pieces.alias("_pieces")]
-    words = top.select("k", *tables).select("k", bound(lambda r, p: both(F.col("k"), r, p)).alias("v"))
+    tables = [pairs.alias("_pairs"), pieces.alias("_pieces")]
+    bound = lambda body: let(F.col("_pairs"), lambda r: let(F.col("_pieces"), lambda p: body(Fold(ranks, r, p, block))))
+    words = top.select("k", *tables).select("k", bound(lambda fold: fold.code(F.col("k"))).alias("v"))
     word_map = _packed(settle(words, "words"), "frequent")
-    coded = bound(lambda r, p: let(F.col("_words"), lambda m: F.transform("_w", lambda w: F.coalesce(_get(m, w), both(w, r, p)))))
-    one = one.select("*", *tables, word_map.alias("_words"))
-    out = one.select(*keep, coded.alias("_c"))
-    out = out.select(
-        *keep,
-        F.array_join(F.transform("_c", lambda x: F.substring_index(x, ":", 1)), ",").alias("ids"),
-        F.unhex(F.array_join(F.transform("_c", lambda x: F.substring_index(x, ":", -1)), "")).alias("decoded"),
+    coded = bound(lambda fold: let(F.col("_words"), lambda m: F.transform("_w", lambda w: F.coalesce(_get(m, w), fold.code(w)))))
+    one = docs.select(*keep, found.alias("_w"), *tables, word_map.alias("_words"))
+    out = one.select(*keep, coded.alias("_c")).select(
+        *keep, F.array_join("_c.ids", ",").alias("ids"), F.encode(F.array_join("_c.bytes", ""), "ISO-8859-1").alias("decoded")
     )
     n = F.when(F.col("ids") == "", 0).otherwise(F.char_length("ids") - F.char_length(F.replace("ids", F.lit(","))) + 1)
     return out.select(*keep, n.cast("long").alias("n_tokens"), "ids", "decoded")

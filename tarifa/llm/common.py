@@ -12,8 +12,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def let(value: Column, body) -> Column:
-    """Bind `value` once and use it many times in `body` (a lambda argument is never evaluated again)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """Bind `value` once and use it many times in `body` (a lambda argument is never evaluated again).
+
+    An aggregate over nothing, whose finish is `body`: the first element of a transform would do as well, but that
+    derives the type of its whole body for every value.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
 def words(text: Column) -> Column:
