@@ -1,9 +1,11 @@
 """Operator 2: personal data under format-preserving Feistel pseudonyms, in built-in functions only.
 
-A value found by pattern and validated (Luhn, octets, calendar) is permuted by a keyed Feistel network within its own
-format: digits stay digits, letters stay letters of their case, separators stay. Equal values get equal pseudonyms in
-every document, different values of a kind different ones. Texts are cut at the matches, the matches are replaced,
-and the parts are joined again.
+A value found by pattern and validated (Luhn, octets, calendar, number plans, lengths of addresses) is permuted by a
+keyed Feistel network within its own format: digits stay digits, letters stay letters of their case, separators stay.
+Where a permuted value would not be valid, it is permuted again until it is, so the permutation is one of the valid
+values: equal values get equal pseudonyms in every document, different values of one kind and format different ones.
+Texts are cut at the matches, the matches are replaced, and the parts are joined again. Patterns are possessive or
+bounded, and none starts within a run of its own characters, so a search takes time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from .common import let
 
 #: Patterns of the kinds, tried in this order at each place.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "secret": r"(?<![0-9a-f])[0-9a-f]{32,64}(?![0-9a-f])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
     "date": r"(?<![\d-])(?:19|20)\d\d-\d\d-\d\d(?![\d-]*\d)",
@@ -27,6 +29,8 @@ PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 _SETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 _HEX = ["0123456789abcdef"]
 _ROUNDS = 8
+_LOCAL, _HOST = 64, 253  # longest parts of a mail address
+_WALK = 32  # a permuted value is valid with a chance of 0.64 at least, so no walk of any practical number fails
 _DAY0, _SIDE = "1900-01-01", 283  # 200 years of days (73,049) fit in 283 * 283, with few walks outside
 
 
@@ -68,6 +72,30 @@ def permute(s: Column, key: str, kind: str, sets: list[str] = _SETS) -> Column:
     return F.aggregate(rounds, start, step, lambda a: F.concat(a["l"], a["r"]))
 
 
+def _walked(s: Column, key: str, kind: str, valid) -> Column:
+    """Digits permuted until they are `valid` again."""
+    once = lambda x: permute(x, key, kind, _SETS[:1])
+    return F.aggregate(F.array_repeat(F.lit(0), _WALK), once(s), lambda a, _: F.when(valid(a), a).otherwise(once(a)))
+
+
+def _plan(national: Column) -> Column:
+    """Whether ten digits fit the North American plan: area and exchange start with 2 to 9."""
+    return national.rlike("^[2-9][0-9]{2}[2-9]")
+
+
+def _social(digits: Column) -> Column:
+    """Whether nine digits are a social security number: no area 000, 666 or 9xx, group 00 or serial 0000."""
+    return digits.rlike("^(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}$")
+
+
+def _phone(m: Column, digits: Column, key: str) -> Column:
+    """The last ten digits are permuted, the country's stay; numbers of +1 or of no country keep to their plan."""
+    country, national = F.substring(digits, F.lit(1), F.char_length(digits) - 10), F.right(digits, F.lit(10))
+    own = country.isin("", "1")
+    moved = F.when(own, _walked(national, key, "phone", _plan)).otherwise(permute(national, key, "phone", _SETS[:1]))
+    return F.when(own & ~_plan(national), m).otherwise(let(moved, lambda d: _refill(m, F.concat(country, d))))
+
+
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum of a digit string, its last digit counted once."""
     n = F.char_length(digits)
@@ -131,18 +159,19 @@ def _date(m: Column, key: str) -> Column:
 
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match, or the match itself where validation fails."""
-    octets = F.forall(F.split(m, r"\."), lambda o: o.cast("int") <= 255)
+    octets = m.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.|$)){4}")
     full = lambda k: m.rlike(f"^(?:{KINDS[k]})$")
     at = F.instr(m, "@")
     host = F.regexp_extract(m, r"@(.*)\.([^.]+)$", 1)
     mail = F.concat(permute(F.substring(m, F.lit(1), at - 1), key, "email"), F.lit("@"), permute(host, key, "host"), F.lit("."), F.regexp_extract(m, r"\.([^.]+)$", 1))
     digits = F.regexp_replace(m, "[^0-9]", "")
     return (
-        F.when(full("email"), mail)
+        F.when(full("email"), F.when((at <= _LOCAL + 1) & (F.char_length(m) - at <= _HOST), mail).otherwise(m))
         .when(full("secret") & m.rlike("[a-f]"), permute(m, key, "secret", _HEX))
         .when(full("ip"), F.when(octets, _ip(m, key)).otherwise(m))
         .when(full("date"), F.when(F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).isNotNull(), _date(m, key)).otherwise(m))
-        .when(full("phone") | full("ssn"), let(permute(digits, key, "number", _SETS[:1]), lambda d: _refill(m, d)))
+        .when(full("phone"), let(digits, lambda d: _phone(m, d, key)))
+        .when(full("ssn"), let(digits, lambda d: F.when(_social(d), _refill(m, _walked(d, key, "ssn", _social))).otherwise(m)))
         .when(full("card"), F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, _card(m, key)).otherwise(m))
         .otherwise(m)
     )
@@ -151,9 +180,11 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, keep: list[str], text: str = "text") -> DataFrame:
     """One row per row of `docs`: `keep`, text (null stays null) with its values replaced, n_replaced.
 
-    Values that fail validation (a wrong Luhn digit, an octet over 255, a day that no calendar has) stay. The key
-    decides the permutation; without it pseudonyms can't be undone. Empty texts and tables pass unchanged, repeated
-    rows get the same result.
+    Values that fail validation stay: a wrong Luhn digit, an octet over 255 or with a leading zero, a day that no
+    calendar has, a social security number with area 000, 666 or 9xx, group 00 or serial 0000, a phone number of +1 or
+    of no country whose area or exchange starts with 0 or 1, a mail address with over 64 characters before or 253
+    after its sign, and runs of over 64 hexadecimal digits. The key decides the permutation; without it pseudonyms
+    can't be undone. Empty texts and tables pass unchanged, repeated rows get the same result. Texts may have any length.
     """
     t = F.col(text)
     # a match needs a digit or an at sign; texts without either skip the search

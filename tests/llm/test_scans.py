@@ -65,24 +65,38 @@ def day(m: str) -> str:
             return str(first + timedelta(x))
 
 
+def walked(digits: str, kind: str, fits) -> str:
+    while True:
+        digits = permute(digits, kind, DIGITS)
+        if fits(digits):
+            return digits
+
+
 def pseudonym(m: str) -> str:
     full = lambda k: re.search(f"^(?:{pii.KINDS[k]})$", m, re.A)
     digits = re.sub("[^0-9]", "", m)
     if full("email"):
         user, host = m.split("@")
+        if len(user) > 64 or len(host) > 253:
+            return m
         host, _, top = host.rpartition(".")
         return f"{permute(user, 'email', LETTERS)}@{permute(host, 'host', LETTERS)}.{top}"
     if full("secret") and re.search("[a-f]", m):
         return permute(m, "secret", HEX)
     if full("ip"):
-        return address(m) if all(int(o) < 256 for o in m.split(".")) else m
+        return address(m) if all(int(o) < 256 and str(int(o)) == o for o in m.split(".")) else m
     if full("date"):
         try:
             return day(m)
         except ValueError:
             return m
-    if full("phone") or full("ssn"):
-        return refill(m, permute(digits, "number", DIGITS))
+    if full("phone"):
+        country, national = digits[:-10], digits[-10:]
+        fits = (lambda n: n[0] > "1" and n[3] > "1") if country in ("", "1") else (lambda n: True)
+        return refill(m, country + walked(national, "phone", fits)) if fits(national) else m
+    if full("ssn"):
+        fits = lambda n: n[:3] not in ("000", "666") and n[0] != "9" and n[3:5] != "00" and n[5:] != "0000"
+        return refill(m, walked(digits, "ssn", fits)) if fits(digits) else m
     if full("card") and luhn(digits) % 10 == 0:
         body = permute(digits[:-1], "card", DIGITS)
         return refill(m, body + str(-luhn(body + "0") % 10))
@@ -127,3 +141,39 @@ def test_op3(spark):
         want[i] = (matched, sorted({h[1] for h in found}), max((h[0] for h in found), default=None))
     got = {r["doc_id"]: (r["n_matches"], r["licences"], r["best"]) for r in q.op3_license_scan(spark, oracle.SMALL).collect()}
     assert got == want and any(w[0] for w in want.values())
+
+
+HARD = {
+    1: "a@" + "b." * 10_000 + "c",
+    2: "x" * 1_000_000,
+    3: "x" * 200_000 + "@" + "y" * 200_000,
+    4: "010.1.1.1 and 10.1.1.1 and 256.1.1.1",
+    5: "000-00-0000, 666-12-3456, 123-45-6789 and 123-45-6780",
+    6: "(012) 345-6789, (234) 567-8901, 234-567-8902 and +44 012 345 6789",
+    7: "1 " * 100_000 + "2000-01-01-" * 20_000,
+    8: "user@one.example, user@one.example; and user@" + "h" * 300 + ".example",
+    9: "0123456789abcdef" * 5,
+}
+
+
+def test_op2_hard_texts(spark):
+    """Texts that a backtracking pattern would not survive, and values that are no valid ones."""
+    d = spark.createDataFrame(list(HARD.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in pii.pseudonymise(d, "a key that a caller would keep secret", ["doc_id"]).collect()}
+    want = {}
+    for i, t in HARD.items():
+        n = 0
+
+        def put(m):
+            nonlocal n
+            new = pseudonym(m[0])
+            n += new != m[0]
+            return new
+
+        want[i] = (re.sub(pii.PATTERN, put, t, flags=re.A), n)
+    assert got == want
+    assert [got[i][1] for i in (1, 2, 3, 4, 5, 9)] == [0, 0, 0, 1, 2, 0]
+    one, two = got[8][0].split(";")[0].split(", ")
+    assert one == two != "user@one.example" and got[8][0].endswith("h" * 300 + ".example")
+    numbers = re.findall(r"\d{3}-\d{2}-\d{4}", got[5][0])
+    assert len(set(numbers)) == 4 and numbers[:2] == ["000-00-0000", "666-12-3456"]
