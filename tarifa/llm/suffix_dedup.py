@@ -9,6 +9,9 @@ A byte is removed if a `length`-byte string that covers it also starts in a docu
 3. Where an anchor occurs in different regions, one region of each kind fetches its bytes. Its suffixes are sorted
    by mergesort: prefix polynomial hashes and binary search give the common extension of two suffixes, so a comparison
    takes log(length) steps. Neighbours with a common extension of `length` are confirmed byte by byte.
+   The regions of an anchor that occurs in over `hot` kinds of them do not meet in one place: they are cut into spans of
+   STEP neighbouring windows. Equal spans are folded, byte by byte, to the least id where they are fetched, and a span
+   goes to a bucket by the bytes that all its windows share, so equal windows still meet.
 4. Documents meet their covered intervals by bucket of their id and are cut.
 
 Rows travel as packed arrays, one row for each task and bucket, so no row stands for a single suffix.
@@ -17,6 +20,7 @@ Rows travel as packed arrays, one row for each task and bucket, so no row stands
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,10 @@ from .bytesets import Prefix, chunks, mix, release
 from .common import settle
 
 GRAM = 20
+#: Windows to a span of a hot anchor's region.
+STEP = 4
+#: Regions that a task holds before it folds and sends them, and suffixes that are sorted at once.
+_HELD, _SORTED = 1_000_000, 200_000
 _NULL = np.iinfo(np.int64).min
 
 
@@ -129,9 +137,18 @@ def _batch(rows: list) -> pa.RecordBatch:
 
 
 def _find_regions(length: int, buckets: int):
-    """Regions by bucket of their anchor; those that a smaller document of the same run of rows covers are done (kind 1)."""
+    """Regions by bucket of their anchor; those that a smaller document of the same task covers are done (kind 1)."""
+
+    def send(held: list) -> pa.RecordBatch:
+        row, h, r, a, n, o, ids, keys = (np.concatenate(x) for x in zip(*held))
+        covered, _, _ = _covered(h, r, ids[row])
+        out = list(_emit(_home(ids, buckets)[row[covered]], 1, row[covered], ids, keys, a=a[covered], n=n[covered]))
+        rest = ~covered
+        out += _emit(_anchor_home(h[rest], buckets), 0, row[rest], ids, keys, h=h[rest], r=r[rest], a=a[rest], n=n[rest], o=o[rest])
+        return _batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, count = [], 0, 0
         for batch in batches:
             ids = batch.column("doc_id").fill_null(int(_NULL)).to_numpy()
             keys = batch.column("key").to_numpy()
@@ -139,20 +156,20 @@ def _find_regions(length: int, buckets: int):
                 row, h, r, a, n, o = regions(data, offsets, length)
                 if not len(row):
                     continue
-                own, key = ids[i:j], keys[i:j]
-                a, n, o = a.astype(np.uint32), n.astype(np.uint8), o.astype(np.uint8)
-                covered, _ = _covered(h, r, own[row])
-                out = list(_emit(_home(own, buckets)[row[covered]], 1, row[covered], own, key, a=a[covered], n=n[covered]))
-                rest = ~covered
-                row, h, r, a, n, o = row[rest], h[rest], r[rest], a[rest], n[rest], o[rest]
-                out += _emit(_anchor_home(h, buckets), 0, row, own, key, h=h, r=r, a=a, n=n, o=o)
-                yield _batch(out)
+                held.append((row + rows, h, r, a.astype(np.uint32), n.astype(np.uint8), o.astype(np.uint8), ids[i:j], keys[i:j]))
+                rows, count = rows + j - i, count + len(row)
+                if count > _HELD:
+                    yield send(held)
+                    held, rows, count = [], 0, 0
+        if held:
+            yield send(held)
+        release()
 
     return run
 
 
-def _covered(h: np.ndarray, r: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which regions occur in a smaller document, and which of the others share their anchor with other regions."""
+def _covered(h: np.ndarray, r: np.ndarray, ids: np.ndarray, hot: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which regions occur in a smaller document, which of the others share their anchor with other regions, and whose anchor is hot."""
     order = np.lexsort((ids, r, h))
     h, r, ids = h[order], r[order], ids[order]
     new_h = np.diff(h, prepend=~h[:1]) != 0
@@ -165,9 +182,9 @@ def _covered(h: np.ndarray, r: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray,
     starts = np.flatnonzero(new_h)
     apart = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts) if len(starts) else np.zeros(0, bool)
     ask = ~covered & ((kinds > 1) & apart)[anchor]
-    back_c, back_a = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    back_c[order], back_a[order] = covered, ask
-    return back_c, back_a
+    back = np.zeros((3, len(order)), bool)
+    back[:, order] = covered, ask, (kinds > hot)[anchor]
+    return back[0], back[1], back[2]
 
 
 def _rows_of(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,14 +195,14 @@ def _rows_of(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row, rows["i"].copy(), rows["k"].copy()
 
 
-def _match_regions(buckets: int):
+def _match_regions(buckets: int, hot: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [(int(b), 1, p) for b, k, p in zip(pdf["bucket"], pdf["kind"], pdf["payload"]) if k == 1]
         open_ = pdf.loc[pdf["kind"] == 0, "payload"]
         if len(open_):
             x = _unpack(open_, _REGION)
-            covered, ask = _covered(x["h"], x["r"], x["id"])
-            for kind, mask, names in ((1, covered, _SPAN), (2, ask, _ASK)):
+            covered, ask, many = _covered(x["h"], x["r"], x["id"], hot)
+            for kind, mask, names in ((1, covered, _SPAN), (2, ask & ~many, _ASK), (4, ask & many, _ASK)):
                 row, ids, keys = _rows_of(x["id"][mask], x["key"][mask])
                 out += _emit(_home(ids, buckets)[row], kind, row, ids, keys, **{k: x[k][mask] for k in names})
         release()
@@ -194,35 +211,71 @@ def _match_regions(buckets: int):
     return run
 
 
-def _fetch(buckets: int):
-    """Cut the asked regions out of the documents of a bucket, for the bucket of their anchor."""
+def _spans(x: dict[str, np.ndarray], texts: dict, length: int) -> tuple[list, list]:
+    """Spans of STEP windows of hot regions: (those with the least id of equal ones, those that such a one covers).
+
+    A window's place is counted back from its anchor, so equal windows lie in spans of the same number.
+    """
+    least: dict[tuple, int] = {}
+    every = []
+    for i, k, h, a, n, o in zip(*(x[c].tolist() for c in ("id", "key", "h", "a", "n", "o"))):
+        text, last = texts[i, k], n - length
+        for q in range((o - last) // STEP, o // STEP + 1):
+            lo, hi = max(0, o - STEP * q - STEP + 1), min(last, o - STEP * q) + length
+            same = (h, q, text[a + lo : a + hi])
+            every.append((same, i, k, a + lo, o - lo))
+            if i < least.setdefault(same, i):
+                least[same] = i
+    kept = [x for x in every if x[1] == least[x[0]]]
+    return kept, [x for x in every if x[1] > least[x[0]]]
+
+
+def _fetch(length: int, buckets: int):
+    """Cut the asked regions out of the documents of a bucket, for the bucket of their anchor (or of their bytes, if it is hot)."""
+
+    def send(x: dict[str, np.ndarray], cut: list[bytes], home: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        order = np.argsort(home, kind="stable")
+        edges = np.flatnonzero(np.diff(home[order], prepend=-1, append=-1))
+        for s, e in zip(edges, edges[1:]):
+            part = order[s:e]
+            yield int(home[part[0]]), 3, pickle.dumps({k: v[part] for k, v in x.items()} | {"bytes": b"".join([cut[p] for p in part])}, 5)
 
     def run(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if asked.empty:
             return pd.DataFrame({"bucket": [], "kind": [], "payload": []})
-        x = _unpack(asked["payload"], _ASK)
         texts = dict(zip(zip(docs["doc_id"].fillna(_NULL).astype("int64"), docs["key"]), docs["text"]))
-        cut = np.array([texts[i, k][a : a + n] for i, k, a, n in zip(x["id"], x["key"], x["a"].tolist(), x["n"].tolist())], dtype=object)
-        home = _anchor_home(x["h"], buckets)
-        order = np.argsort(home, kind="stable")
-        edges = np.flatnonzero(np.diff(home[order], prepend=-1, append=-1))
+        plain, hot = (asked.loc[asked["kind"] == kind, "payload"] for kind in (2, 4))
         out = []
-        for s, e in zip(edges, edges[1:]):
-            part = order[s:e]
-            out.append((int(home[part[0]]), 3, pickle.dumps({k: v[part] for k, v in x.items()} | {"bytes": b"".join(cut[part])}, 5)))
+        if len(plain):
+            x = _unpack(plain, _ASK)
+            cut = [texts[i, k][a : a + n] for i, k, a, n in zip(x["id"], x["key"], x["a"].tolist(), x["n"].tolist())]
+            out += send(x, cut, _anchor_home(x["h"], buckets))
+        if len(hot):
+            kept, covered = _spans(_unpack(hot, _ASK), texts, length)
+            if covered:
+                row, ids, keys = _rows_of(np.array([x[1] for x in covered], np.int64), np.array([x[2] for x in covered], np.int64))
+                a, n = np.array([x[3] for x in covered], np.uint32), np.array([len(x[0][2]) for x in covered], np.uint8)
+                out += _emit(_home(ids, buckets)[row], 1, row, ids, keys, a=a, n=n)
+            cut = [x[0][2] for x in kept]
+            # the bytes that all windows of the span share
+            shared = [zlib.crc32(c[x[4] - STEP * x[0][1] :][: length - STEP + 1], x[0][1]) for x, c in zip(kept, cut)]
+            columns = {"id": (1, None, np.int64), "key": (2, None, np.int64), "h": (0, 0, np.uint64), "a": (3, None, np.uint32), "o": (4, None, np.uint8)}
+            x = {name: np.array([r[c] if f is None else r[c][f] for r in kept], kind) for name, (c, f, kind) in columns.items()}
+            x["n"] = np.array([len(c) for c in cut], np.uint8)
+            out += send(x, cut, _anchor_home(mix(np.array(shared, np.uint64) ^ x["h"]), buckets))
         release()
         return pd.DataFrame(out, columns=["bucket", "kind", "payload"])
 
     return run
 
 
-def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, limit: int, prefix: Prefix | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Mergesort of the suffixes at `starts` within each group, by at most `limit` bytes.
 
     Returns the order (groups in sequence) and the common extension of each suffix with the one before it in the
     order (0 at the start of a group). All merges of a level run side by side; every place is found by binary search.
     """
-    prefix = Prefix(data)
+    prefix = prefix or Prefix(data)
 
     def extension(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low, high = np.zeros(len(a), np.int64), np.full(len(a), limit, np.int64)
@@ -273,11 +326,33 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, limit:
     return order, common
 
 
+def _repeats(data: np.ndarray, starts: np.ndarray, group: np.ndarray, ids: np.ndarray, length: int, prefix: Prefix) -> np.ndarray:
+    """Which suffixes agree to `length` bytes with one of a smaller id in their group."""
+    order, common = suffix_sort(data, starts, group, length, prefix)
+    same = common == length
+    # collision check: neighbours with equal hashes are compared byte by byte
+    here = np.flatnonzero(same)
+    reach = np.arange(length)
+    for s in range(0, len(here), 50_000):
+        t = here[s : s + 50_000]
+        a, b = starts[order[t]], starts[order[t - 1]]
+        same[t] = (data[a[:, None] + reach] == data[b[:, None] + reach]).all(1)
+    kind = np.cumsum(~same) - 1
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(~same))
+    covered = np.zeros(len(starts), bool)
+    covered[order] = ids[order] > least[kind]
+    return covered
+
+
 def _match_suffixes(length: int, buckets: int):
-    """Compare the suffixes of fetched regions that lie at the same distance from the same anchor."""
+    """Compare the suffixes of fetched regions that lie at the same distance from the same anchor; others pass."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [pickle.loads(p) for p in pdf["payload"]]
+        done = pdf["kind"] == 1
+        out = [(int(b), 1, p) for b, p in zip(pdf.loc[done, "bucket"], pdf.loc[done, "payload"])]
+        parts = [pickle.loads(p) for p in pdf.loc[~done, "payload"]]
+        if not parts:
+            return pd.DataFrame(out, columns=["bucket", "kind", "payload"])
         x = {k: np.concatenate([p[k] for p in parts]) for k in ("id", "key", "h", "a", "n", "o")}
         data = np.frombuffer(b"".join(p["bytes"] for p in parts), dtype=np.uint8)
         n = x["n"].astype(np.int64)
@@ -285,24 +360,18 @@ def _match_suffixes(length: int, buckets: int):
         windows = n - length + 1
         of = np.repeat(np.arange(len(n)), windows)
         shift = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        starts = at[of] + shift
         place = shift - x["o"][of].astype(np.int64)
         anchor = np.unique(x["h"], return_inverse=True)[1]
         group = anchor[of] * 256 + place + 128
-        ids = x["id"][of]
-        order, common = suffix_sort(data, starts, group, length)
-        same = common == length
-        # collision check: neighbours with equal hashes are compared byte by byte
-        here = np.flatnonzero(same)
-        for s in range(0, len(here), 200_000):
-            t = here[s : s + 200_000]
-            reach = np.arange(length)
-            a, b = starts[order[t]], starts[order[t - 1]]
-            same[t] = (data[a[:, None] + reach] == data[b[:, None] + reach]).all(1)
-        kind = np.cumsum(~same) - 1
-        least = np.minimum.reduceat(ids[order], np.flatnonzero(~same)) if len(order) else ids
+        by = np.argsort(group, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(group[by])) + 1, len(by))
         covered = np.zeros(len(of), bool)
-        covered[order] = ids[order] > least[kind] if len(order) else False
+        prefix, s = Prefix(data), 0
+        while s < len(by):  # whole groups, some at a time
+            e = int(ends[max(np.searchsorted(ends, s + _SORTED, side="right") - 1, np.searchsorted(ends, s, side="right"))])
+            t = by[s:e]
+            covered[t] = _repeats(data, at[of[t]] + shift[t], group[t], x["id"][of[t]], length, prefix)
+            s = e
         hit = np.flatnonzero(covered)
         new = np.ones(len(hit), bool)
         new[1:] = (of[hit][1:] != of[hit][:-1]) | (shift[hit][1:] != shift[hit][:-1] + 1)
@@ -310,7 +379,7 @@ def _match_suffixes(length: int, buckets: int):
         l = np.append(f[1:], len(hit)) - 1 if len(f) else f
         who, lo, hi = of[hit[f]], shift[hit[f]], shift[hit[l]] + length
         row, rid, rkey = _rows_of(x["id"][who], x["key"][who])
-        out = list(_emit(_home(rid, buckets)[row], 1, row, rid, rkey, a=(x["a"][who] + lo).astype(np.uint32), n=(hi - lo).astype(np.uint8)))
+        out += _emit(_home(rid, buckets)[row], 1, row, rid, rkey, a=(x["a"][who] + lo).astype(np.uint32), n=(hi - lo).astype(np.uint8))
         release()
         return pd.DataFrame(out, columns=["bucket", "kind", "payload"])
 
@@ -345,15 +414,15 @@ def _cut(docs: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": docs["doc_id"], "n_bytes": [len(t) for t in docs["text"]], "spans": found, "kept": kept})
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, bucket_bytes: int = 4_000_000) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, bucket_bytes: int = 4_000_000, hot: int = 500) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, spans (maximal removed runs of bytes, start and stop), kept (binary).
 
     Texts count as UTF-8 bytes, null as none; matches never cross rows. Ids are integers; a null id counts as smaller
     than every other. Rows with one id are one document: they never remove bytes from each other. A text shorter
-    than `length` is left whole. An empty table gives an empty result. `length` lies between 21 and 127.
+    than `length` is left whole. An empty table gives an empty result. `length` lies between 24 and 127.
     """
-    if not GRAM < length < 128:
-        raise ValueError("length lies between 21 and 127")
+    if not GRAM + STEP <= length < 128:
+        raise ValueError("length lies between 24 and 127")
     t = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("key"), t.alias("text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
@@ -361,10 +430,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     found = base.mapInArrow(_find_regions(length, buckets), _SCHEMA)
     # a group is a bucket of anchors, or (below 0) what is already done
     group = F.when(F.col("kind") == 0, F.col("bucket")).otherwise(-1 - F.col("bucket"))
-    matched = settle(found.groupBy(group.alias("group")).applyInPandas(_match_regions(buckets), _SCHEMA), "regions")
+    matched = settle(found.groupBy(group.alias("group")).applyInPandas(_match_regions(buckets, hot), _SCHEMA), "regions")
     homes = base.select(home_of(F.col("doc_id"), buckets).alias("bucket"), "doc_id", "key", "text")
-    asked, spans = matched.where("kind = 2"), matched.where("kind = 1")
-    fetched = homes.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(_fetch(buckets), _SCHEMA)
+    asked, spans = matched.where("kind <> 1"), matched.where("kind = 1")
+    fetched = homes.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(_fetch(length, buckets), _SCHEMA)
     more = fetched.groupBy("bucket").applyInPandas(_match_suffixes(length, buckets), _SCHEMA)
     # one plan, so that Spark deals the documents to their buckets once for both uses
     return homes.groupBy("bucket").cogroup(spans.unionByName(more).groupBy("bucket")).applyInPandas(
