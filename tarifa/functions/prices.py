@@ -61,30 +61,39 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-def _separated(x: Column) -> Column:
-    """Number text whose last of ',' and '.' is the decimal sign."""
-    comma, dot = F.instr(F.reverse(x), ","), F.instr(F.reverse(x), ".")
-    commas = F.char_length(x) - F.char_length(F.replace(x, F.lit(",")))
-    dots = F.char_length(x) - F.char_length(F.replace(x, F.lit(".")))
-    both = F.when(comma < dot, F.replace(F.replace(x, F.lit(".")), F.lit(","), F.lit("."))).otherwise(F.replace(x, F.lit(",")))
-    only_comma = F.when((commas == 1) & (comma <= 3), F.replace(x, F.lit(","), F.lit("."))).otherwise(F.replace(x, F.lit(",")))
-    only_dot = F.when((dots == 1) & (dot <= 3), x).otherwise(F.replace(x, F.lit(".")))
-    return F.when((comma > 0) & (dot > 0), both).when(comma > 0, only_comma).otherwise(only_dot)
+def _last_sign(x: Column) -> Column:
+    """Number text with both signs, the last of which is the decimal one."""
+    return F.when(x.rlike(r",[^.]*$"), F.regexp_replace(F.replace(x, F.lit(".")), "^([^,]*),", "$1.")).otherwise(F.replace(x, F.lit(",")))
+
+
+def _both_signs(x: Column) -> Column:
+    return F.contains(x, F.lit(",")) & F.contains(x, F.lit("."))
 
 
 def parse_price_page(text: Column) -> Column:
-    """STR-02: a price label of a page, 0 when there is none."""
-    digits = F.regexp_replace(text, r"[^0-9.,]", "")
-    return F.coalesce(_separated(digits).try_cast("double"), F.lit(0.0))
+    """STR-02: a price label of a page, 0 when there is none. A first comma without a dot is the decimal sign."""
+    x = F.regexp_replace(text, r"[^0-9.,]", "")
+    comma = F.regexp_replace(x, "^([^,]*),", "$1.")
+    dot = F.when(x.rlike(r"^\d*\.\d{0,2}$"), x).otherwise(F.replace(x, F.lit(".")))
+    number = F.when(_both_signs(x), _last_sign(x)).when(F.contains(x, F.lit(",")), comma).otherwise(dot)
+    return F.coalesce(F.regexp_extract(number, r"^\d*(?:\.\d*)?", 0).try_cast("double"), F.lit(0.0))
+
+
+def parse_price_web(text: Column) -> Column:
+    """STR-03: as STR-02, null when there is none."""
+    return F.nullif(parse_price_page(text), F.lit(0.0))
 
 
 def parse_price_search(text: Column) -> Column:
-    """STR-01: the amount beside a currency mark, else the first grouped or plain amount; null when there is none."""
-    mark, number = r"(?:₺|TL|TRY)", r"\d[\d.,]*"
-    t = F.regexp_replace(text, "\u00a0", " ")
-    picks = [F.regexp_extract(t, rf"(?i){mark}\s*({number})", 1), F.regexp_extract(t, rf"(?i)({number})\s*{mark}", 1), F.regexp_extract(t, r"(\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?)", 1), F.regexp_extract(t, r"(\d+[.,]\d{1,2}|\d{2,})", 1)]
-    found = F.coalesce(*[F.nullif(F.regexp_replace(p, r"[.,]+$", ""), F.lit("")) for p in picks])
-    return _separated(found).try_cast("double")
+    """STR-01: the first amount beside a currency mark, else the first grouped, else the first of two digits or with decimals."""
+    mark, cents = "(?:TL|TRY|₺)", r"(?:[.,]\d{1,2})?"
+    grouped = rf"\d{{1,3}}(?:[.,]\d{{3}})+{cents}"
+    amount = rf"(?:{grouped}|\d{{2,}}{cents})"
+    beside = F.regexp_extract(text, rf"(?i)({amount}\s*{mark}|{mark}\s*{amount})", 1)
+    picks = [F.regexp_extract(beside, f"({amount})", 1), F.regexp_extract(text, f"({grouped})", 1), F.regexp_extract(text, rf"(\d{{2,}}{cents}|\d+[.,]\d{{1,2}})", 1)]
+    x = F.coalesce(*[F.nullif(p, F.lit("")) for p in picks])
+    plain = F.when(x.rlike(r"^\d+[.,]\d{1,2}$"), F.replace(x, F.lit(","), F.lit("."))).otherwise(F.regexp_replace(x, "[.,]", ""))
+    return F.when(_both_signs(x), _last_sign(x)).otherwise(plain).try_cast("double")
 
 
 def tr_number(x: Column, decimals: int = 2) -> Column:

@@ -64,37 +64,3 @@ def hours_between(earlier: Column, later: Column) -> Column:
 def freshness(hours: Column, missing: Column) -> Column:
     """CSE-01: no data first, then unknown, fresh to 24 h, ageing to 72 h, stale."""
     return F.when(missing, "no-data").when(hours.isNull(), "unknown").when(hours <= 24, "fresh").when(hours <= 72, "ageing").otherwise("stale")
-
-
-def codes(x: Column) -> Column:
-    """COD-01: barcodes and part numbers of a title, longest first, one of each normal form."""
-    raw = F.concat(
-        F.regexp_extract_all(x, F.lit(r"(?<![A-Za-z0-9_])(\d{8,14})(?![A-Za-z0-9_])"), F.lit(1)),
-        F.regexp_extract_all(x, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)(?![A-Za-z0-9_])"), F.lit(1)),
-    )
-    norm = lambda c: F.upper(F.replace(c, F.lit("-")))
-    shared = r"^(?:[IR][3579]\d{3,5}[A-Z]*|(?:RTX|GTX|RX)\d{3,4}[A-Z]*|DDR\d.*|\d+(?:GB|TB|MB|ML|LT|KG|GR|MM|CM|MHZ|HZ|MAH|W|V)|\d+X\d+(?:X\d+)?(?:CM|MM)?)$"
-    good = F.filter(raw, lambda c: norm(c).rlike(r"^\d{8,14}$") | ((F.char_length(norm(c)) >= 5) & norm(c).rlike("[A-Z]") & norm(c).rlike(r"\d") & ~norm(c).rlike(shared)))
-    ranked = F.array_sort(F.transform(F.array_distinct(F.transform(good, norm)), lambda n: F.struct((-F.char_length(n)).alias("l"), n.alias("n"))))
-    return F.transform(ranked, lambda s: s["n"])
-
-
-def spec_axis(x: Column, units: dict[str, int]) -> Column:
-    """SPC-01: sorted distinct values on one axis; `units` maps a unit to its factor."""
-    found = []
-    for unit, factor in units.items():
-        got = F.regexp_extract_all(F.lower(x), F.lit(rf"(\d+(?:[.,]\d+)?)\s*{unit}(?![a-z0-9])"), F.lit(1))
-        found.append(F.transform(got, lambda v, f=factor: F.replace(v, F.lit(","), F.lit(".")).cast("double") * f))
-    return F.array_sort(F.array_distinct(F.concat(*found)))
-
-
-AXES = {"gb": {"gb": 1, "tb": 1024}, "ml": {"ml": 1, "lt": 1000, "l": 1000}, "g": {"g": 1, "gr": 1, "kg": 1000}, "w": {"w": 1}}
-
-
-def conflicting_specs(a: Column, b: Column) -> Column:
-    """SPC-02: an axis that both have with different values."""
-    out = F.lit(False)
-    for units in AXES.values():
-        x, y = spec_axis(a, units), spec_axis(b, units)
-        out = out | ((F.size(x) > 0) & (F.size(y) > 0) & (x != y))
-    return out

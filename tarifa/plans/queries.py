@@ -281,25 +281,6 @@ def text_fold_tokens(spark, d):
     return t.tracked_products(spark, d).select("product_id", F.array_join(text.tokens(F.col("product_name")), " ").alias("tokens"))
 
 
-@query("""SELECT id, search::DOUBLE AS search, page::DOUBLE AS page FROM (VALUES (1, 99.99, 99.99), (2, 1290.0, 12901890.0), (3, 99.0, 899.0), (4, NULL, 8.0), (5, 1299.5, 1299.5), (6, 99999.9, 99999.9), (7, 1299.0, 1299.0), (8, NULL, 0.0)) v(id, search, page)""")
-def price_strings(spark, d):
-    rows = [(1, "₺99,99"), (2, "₺1.290 - ₺1.890"), (3, "8 ay 99 TL"), (4, "8 ay"), (5, "1,299.50"), (6, "99.999,90"), (7, "1.299"), (8, "yok")]
-    x = spark.createDataFrame(rows, "id int, label string")
-    return x.select("id", prices.parse_price_search(F.col("label")).alias("search"), prices.parse_price_page(F.col("label")).alias("page"))
-
-
-@query()
-def product_codes(spark, d):
-    return t.tracked_products(spark, d).select("product_id", text.codes(F.concat_ws(" ", "product_name", F.format_string("MX-%05dA", "product_id"))).alias("codes"))
-
-
-@query()
-def spec_conflicts(spark, d):
-    p = t.tracked_products(spark, d).select("product_id", F.format_string("%s %dGB %d ml", "product_name", F.col("product_id") % 4, F.col("product_id") % 3).alias("title"))
-    q = p.select((F.col("product_id") - 1).alias("product_id"), F.col("title").alias("other"))
-    return p.join(q, "product_id").select("product_id", text.conflicting_specs(F.col("title"), F.col("other")).alias("conflict"))
-
-
 _RULES = """r AS (SELECT c_custkey AS user_id, NULL::BIGINT AS product_id, unnest(['PRICE_DROP', 'PRICE_INCREASE', 'PRICE_THRESHOLD', 'PERCENTAGE_CHANGE', 'OUT_OF_STOCK', 'BACK_IN_STOCK', 'COMPETITOR_CHEAPER', 'COMPETITOR_PRICE_CHANGE', 'LOW_MARGIN']) AS rule_type, true AS is_active FROM customer WHERE c_custkey < 50
     UNION ALL SELECT p_partkey % 50, p_partkey, 'PRICE_DROP', p_partkey % 26 <> 0 FROM part WHERE p_partkey % 13 = 0),
     rr AS (SELECT p.product_id, rule_type, 'product' AS scope FROM r JOIN p ON p.product_id = r.product_id AND p.user_id = r.user_id WHERE is_active

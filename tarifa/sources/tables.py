@@ -89,3 +89,27 @@ def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_partkey") % 50).alias("user_id"), F.col("p_partkey").alias("product_id"), F.lit("PRICE_DROP").alias("rule_type"), (F.col("p_partkey") % 26 != 0).alias("is_active")
     )
     return everyone.unionByName(own)
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A title with a product code, storage and a count of parts for every product (short codes for odd ones)."""
+    k = F.col("p_partkey")
+    code = F.when(k % 2 == 0, F.format_string("ZX%06dTRK", k)).otherwise(F.format_string("Q%04dA", k % 10000))
+    return read(spark, sf_dir, "part").select(
+        k.alias("product_id"), F.format_string("%s %s %s %dGB %d parçalı", "p_brand", "p_name", code, 8 * (1 + k % 3), 2 + k % 4).alias("title"),
+    )
+
+
+def listing_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of competitors' listings: the product's own with twelve kinds of differences."""
+    c = competitors(spark, sf_dir).select("product_id", "seller_id", F.col("price").alias("listing_price"), "match_score")
+    j = c.join(titles(spark, sf_dir), "product_id")
+    t, k = F.col("title"), (F.col("product_id") + F.col("seller_id")) % 12
+    code = F.regexp_extract(t, "(ZX[0-9]{6}TRK|Q[0-9]{4}A)", 1)
+    kinds = [
+        t, F.replace(t, code, F.concat(code, F.lit("K"))), F.replace(t, code, F.concat(code, F.lit("1X"))), F.replace(t, code, F.concat(code, F.lit(" 015"))),
+        F.replace(t, F.lit("8GB"), F.lit("0,5 TB")), F.concat(t, F.lit(" kılıfı")), F.concat(F.lit("Koli  bandı "), t), F.replace(t, code, F.lit("")),
+        F.concat(F.lit("Başka ürün "), F.replace(t, code, F.lit("RTX4060"))), F.lower(t), F.regexp_replace(t, "[0-9]+ parçalı", "12 PARÇALI"), F.replace(t, code, F.concat(F.left(code, F.lit(3)), F.lit("-"), F.substring(code, F.lit(4), F.lit(20)))),
+    ]
+    listing = F.element_at(F.array(*kinds), (k + 1).cast("int"))
+    return j.select("product_id", "seller_id", "title", listing.alias("listing"), "listing_price", "match_score")

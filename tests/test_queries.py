@@ -6,7 +6,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-from tarifa.plans import queries as price
+from tarifa.plans import registry as price
 
 
 @pytest.mark.parametrize("name", sorted(price.ORACLE_SQL))
