@@ -1,4 +1,4 @@
-"""Column functions over prices (NUM-*, STR-01..03, FMT-01)."""
+"""Column functions over prices (NUM-*, STR-01..03)."""
 
 from __future__ import annotations
 
@@ -56,11 +56,6 @@ def undercut(cheapest: Column) -> Column:
     return F.when(cheapest > 1, cheapest - 1)
 
 
-def round_half_up(x: Column) -> Column:
-    """NUM-09: halves go toward plus infinity."""
-    return F.floor(x + 0.5)
-
-
 def _last_sign(x: Column) -> Column:
     """Number text with both signs, the last of which is the decimal one."""
     return F.when(x.rlike(r",[^.]*$"), F.regexp_replace(F.replace(x, F.lit(".")), "^([^,]*),", "$1.")).otherwise(F.replace(x, F.lit(",")))
@@ -94,8 +89,3 @@ def parse_price_search(text: Column) -> Column:
     x = F.coalesce(*[F.nullif(p, F.lit("")) for p in picks])
     plain = F.when(x.rlike(r"^\d+[.,]\d{1,2}$"), F.replace(x, F.lit(","), F.lit("."))).otherwise(F.regexp_replace(x, "[.,]", ""))
     return F.when(_both_signs(x), _last_sign(x)).otherwise(plain).try_cast("double")
-
-
-def tr_number(x: Column, decimals: int = 2) -> Column:
-    """FMT-01: 1.234,50, and an em dash for null."""
-    return F.coalesce(F.translate(F.format_number(x, decimals), ",.", ".,"), F.lit("—"))

@@ -390,17 +390,6 @@ def competitor_diffs(spark, d):
     return a.select("product_id", "seller_id", ((F.col("price") - F.col("own_price")) / F.col("own_price") * 100).alias("diff_pct"), (F.col("price") == low).alias("cheapest"))
 
 
-@query("""SELECT product_id, count(*) AS listings, count_if(usable) / count(*) AS quality, count_if(st) / count(*) AS stale_ratio,
-    CASE WHEN count_if(usable) = 0 THEN 'none' WHEN count_if(usable) / count(*) >= 0.8 AND count_if(st) / count(*) <= 0.5 THEN 'strong' WHEN count_if(usable) / count(*) >= 0.5 THEN 'cautious' ELSE 'low' END AS confidence FROM a GROUP BY product_id""", "a")
-def listing_confidence(spark, d):
-    """AGG-24 with a label by its ratios."""
-    n = F.count("*")
-    g = _assessed(spark, d).groupBy("product_id").agg(n.alias("listings"), (F.count_if("usable") / n).alias("quality"), (F.count_if(F.array_contains("issues", "stale")) / n).alias("stale_ratio"))
-    q = F.col("quality")
-    label = F.when(q == 0, "none").when((q >= 0.8) & (F.col("stale_ratio") <= 0.5), "strong").when(q >= 0.5, "cautious").otherwise("low")
-    return g.withColumn("confidence", label)
-
-
 @query("SELECT product_id, product_name FROM p WHERE product_id > 100 ORDER BY product_id LIMIT 500", "p")
 def keyset_page(spark, d):
     """SRT-06: the page of 500 after a cursor."""

@@ -91,6 +91,19 @@ def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return everyone.unionByName(own)
 
 
+#: Hosts of listings' URLs, some of which only hold a known domain's name.
+LISTING_HOSTS = ["www.trendyol.com", "www.hepsiburada.com", "m.n11.com", "xn11.com", "www.amazon.com.tr", "gratis.com", "www.grfratis.com", "shop.example.org", "WWW.Koctas.com.tr", "akakce.com"]
+
+
+def listing_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A URL for every competitor's listing."""
+    p, s = F.col("product_id"), F.col("seller_id")
+    host = F.element_at(F.array(*[F.lit(h) for h in LISTING_HOSTS]), (1 + (p + s) % len(LISTING_HOSTS)).cast("int"))
+    query = F.when(s % 3 == 0, F.concat(F.lit("?merchantId="), s.cast("string"), F.lit("&x=1"))).when(s % 3 == 1, "/").otherwise("#top")
+    url = F.concat(F.lit("https://"), host, F.lit("/urun-adi-"), p.cast("string"), F.lit("-p-"), (p * 7 + s % 4).cast("string"), query)
+    return competitors(spark, sf_dir).select(p, s, "price", "match_score", "last_scraped_at", url.alias("url"))
+
+
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A title with a product code, storage and a count of parts for every product (short codes for odd ones)."""
     k = F.col("p_partkey")
