@@ -26,18 +26,26 @@ def words(text: Column) -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which every machine of a cluster can read."""
+    """A fresh folder below spark.checkpoint.dir, which every machine of a cluster can read; only a local master does without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local"):  # tests and single machines
         base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def settle(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    With `free` the driver collects its garbage then: Spark deletes the shuffle files of a finished plan only when
+    nothing on the driver refers to it any more, and a large one would lie beside the next.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

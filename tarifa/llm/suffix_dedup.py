@@ -430,7 +430,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     found = base.mapInArrow(_find_regions(length, buckets), _SCHEMA)
     # a group is a bucket of anchors, or (below 0) what is already done
     group = F.when(F.col("kind") == 0, F.col("bucket")).otherwise(-1 - F.col("bucket"))
-    matched = settle(found.groupBy(group.alias("group")).applyInPandas(_match_regions(buckets, hot), _SCHEMA), "regions")
+    matched = settle(found.groupBy(group.alias("group")).applyInPandas(_match_regions(buckets, hot), _SCHEMA), "regions", free=True)
     homes = base.select(home_of(F.col("doc_id"), buckets).alias("bucket"), "doc_id", "key", "text")
     asked, spans = matched.where("kind <> 1"), matched.where("kind = 1")
     fetched = homes.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(_fetch(length, buckets), _SCHEMA)
