@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,33 +20,91 @@ def resolve_rules(rules: DataFrame, products: DataFrame) -> DataFrame:
     return mine.withColumn("scope", F.lit("product")).unionByName(globals_.withColumn("scope", F.lit("account")))
 
 
-def fires(rule: Column, threshold: Column, margin: Column, cheapest: Column) -> Column:
-    """ALR-03, ALR-04: the truth table for one observation with price, change, pct, stock and previous stock."""
+MOVEMENT = ("PRICE_DROP", "PRICE_INCREASE", "PERCENTAGE_CHANGE")
+LEVEL = ("PRICE_THRESHOLD", "COMPETITOR_CHEAPER", "LOW_MARGIN")
+
+
+def event_types() -> Column:
+    """ALR-01: what an observation tells: price-change, stock-change, competitor-price-change; empty for no event."""
+    changed = F.col("price_change").isNotNull() & (F.col("price_change") != 0)
+    stock = F.col("previous_stock").isNotNull() & (F.col("previous_stock") != F.col("in_stock"))
+    return F.array_compact(F.array(
+        F.when(changed, F.lit("price-change")), F.when(stock, F.lit("stock-change")), F.when(F.size("moves") > 0, F.lit("competitor-price-change"))
+    ))
+
+
+def significant_moves(moves: Column, user_floor: Column, rule_floor: Column) -> Column:
+    """ALR-05: of competitors' (previous, current) prices those that moved by the larger floor at least."""
+    floor_ = F.greatest(F.coalesce(user_floor, F.lit(0.0)), F.coalesce(rule_floor, F.lit(0.0)))
+    real = lambda x: ~F.isnan(x) & (x > 0) & (x < float("inf"))
+    pct = lambda m: F.abs((m["current"] - m["previous"]) / m["previous"] * 100)
+    return F.filter(moves, lambda m: real(m["previous"]) & real(m["current"]) & (m["current"] != m["previous"]) & (pct(m) >= floor_))
+
+
+def fires(rule: Column, threshold: Column, direction: Column, margin: Column, cheapest: Column) -> Column:
+    """ALR-03, ALR-04: the truth table for one observation (price, price_change, price_change_pct, in_stock, previous_stock, moves, alert_threshold_pct)."""
     change, pct, price = F.col("price_change"), F.col("price_change_pct"), F.col("price")
     moved = change.isNotNull() & (change != 0)
     loud = pct.isNull() | (F.abs(pct) >= F.coalesce(F.col("alert_threshold_pct"), F.lit(0.0)))
     was, now = F.col("previous_stock"), F.col("in_stock")
+    reached = F.when(direction == "below", price <= threshold).otherwise(price >= threshold)
     return F.coalesce(
         F.when(rule == "PRICE_DROP", moved & (change < 0) & loud)
         .when(rule == "PRICE_INCREASE", moved & (change > 0) & loud)
         .when(rule == "PERCENTAGE_CHANGE", moved & (F.abs(pct) >= threshold) & loud)
-        .when(rule == "PRICE_THRESHOLD", moved & (price <= threshold))
+        .when(rule == "PRICE_THRESHOLD", moved & reached)
         .when(rule == "OUT_OF_STOCK", was & ~now)
         .when(rule == "BACK_IN_STOCK", ~was & now)
         .when(rule == "COMPETITOR_CHEAPER", (cheapest < price) & (price > 0))
+        .when(rule == "COMPETITOR_PRICE_CHANGE", F.size(significant_moves(F.col("moves"), F.col("alert_threshold_pct"), threshold)) > 0)
         .when(rule == "LOW_MARGIN", moved & (margin < threshold)),
         F.lit(False),
     )
 
 
-def winners(fired: DataFrame) -> DataFrame:
-    """ALR-06: of the movement rules that fired for one event, PERCENTAGE_CHANGE or else the first by name."""
-    first = F.min(F.struct((F.col("rule_type") != "PERCENTAGE_CHANGE").alias("o"), F.col("rule_type"))).alias("w")
-    return fired.groupBy("event_id").agg(first).select("event_id", F.col("w.rule_type").alias("rule_type"))
+def fold_alerts(rows: pd.DataFrame, state: dict[str, tuple[bool, float]]) -> list[tuple[int, str]]:
+    """ALR-06, STM-03, STM-04 for one product: (event, rule) of the alerts that go out, in order of events and rules.
+
+    `state` holds for each rule whether its condition held (level rules) and when it was last sent; it is updated.
+    Of the movement rules that fire and may be sent one wins: PERCENTAGE_CHANGE, or else the first. A level rule is
+    sent when its condition becomes true; that moves the state before the cooldown is asked, so an edge within the
+    cooldown is swallowed until the condition has been false once.
+    """
+    sent = []
+    for event, group in rows.groupby("event_no", sort=True):
+        rules = list(group.sort_values("rule_no").itertuples())
+        now = rules[0].at
+        cooling = {r.rule_type: now - state.get(r.rule_type, (False, float("-inf")))[1] < max(60, int(r.cooldown_minutes * 60)) for r in rules}
+        movement = [r.rule_type for r in rules if r.rule_type in MOVEMENT and r.fired and not cooling[r.rule_type]]
+        winner = "PERCENTAGE_CHANGE" if "PERCENTAGE_CHANGE" in movement else movement[0] if movement else None
+        for r in rules:
+            if r.rule_type in MOVEMENT and winner is not None and r.rule_type != winner:
+                continue
+            active, last = state.get(r.rule_type, (False, float("-inf")))
+            alert = bool(r.fired)
+            if r.rule_type in LEVEL:
+                alert, active = alert and not active, bool(r.fired)
+            if alert and not cooling[r.rule_type]:
+                last = now
+                sent.append((event, r.rule_type))
+            state[r.rule_type] = (active, last)
+    return sent
+
+
+def alerts_sent(evaluated: DataFrame) -> DataFrame:
+    """The alerts of every product, from (product_id, event_no, at seconds, rule_no, rule_type, fired, cooldown_minutes); a group is one product."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = fold_alerts(pdf, {})
+        return pd.DataFrame({"product_id": pdf["product_id"].iloc[0], "event_no": [e for e, _ in found], "rule_type": [r for _, r in found]})
+
+    return evaluated.groupBy("product_id").applyInPandas(run, "product_id long, event_no long, rule_type string")
 
 
 def delivery_summary(deliveries: DataFrame, key: str) -> DataFrame:
-    """AGG-20: SENT if any was sent, else FAILED if any failed, else SKIPPED; with the numbers."""
+    """AGG-20: SENT if any was sent (with why others failed), else FAILED if any failed, else SKIPPED (with why); with the numbers."""
     s = F.col("status")
-    g = deliveries.groupBy(key).agg(F.count_if(s == "SENT").alias("sent"), F.count_if(s == "FAILED").alias("failed"), F.count_if(s == "SKIPPED").alias("skipped"))
-    return g.withColumn("status", F.when(F.col("sent") > 0, "SENT").when(F.col("failed") > 0, "FAILED").otherwise("SKIPPED"))
+    why = lambda k: F.array_join(F.array_sort(F.collect_set(F.when(s == k, F.col("error")))), " · ")
+    g = deliveries.groupBy(key).agg(F.count_if(s == "SENT").alias("sent"), F.count_if(s == "FAILED").alias("failed"), F.count_if(s == "SKIPPED").alias("skipped"), why("FAILED").alias("_failed"), why("SKIPPED").alias("_skipped"))
+    status = F.when(F.col("sent") > 0, "SENT").when(F.col("failed") > 0, "FAILED").otherwise("SKIPPED")
+    return g.select(key, "sent", "failed", "skipped", status.alias("status"), F.when(status == "SKIPPED", F.col("_skipped")).otherwise(F.col("_failed")).alias("reasons"))

@@ -7,6 +7,29 @@ from pyspark.sql import functions as F
 
 KEEP_DAYS = {"FREE": 7, "STARTER": 30, "PRO": 365}  # fixed values; ENTERPRISE keeps everything
 GRACE_DAYS = 3
+#: Limits and features of the plans, from the least one up.
+PLANS = {
+    "FREE": {"products": 5, "rules": 3, "tags": 0, "interval": 1440, "marketplaces": 1, "history_days": 7, "channels": ["EMAIL"], "features": []},
+    "STARTER": {"products": 50, "rules": 20, "tags": 10, "interval": 1440, "marketplaces": 2, "history_days": 30, "channels": ["EMAIL", "TELEGRAM"], "features": ["bulk", "tags"]},
+    "PRO": {"products": 500, "rules": 100, "tags": 20, "interval": 720, "marketplaces": 99, "history_days": 365, "channels": ["EMAIL", "TELEGRAM", "WEBHOOK"], "features": ["bulk", "tags", "analytics", "auto_rules"]},
+    "ENTERPRISE": {"products": 99999, "rules": 99999, "tags": 99999, "interval": 360, "marketplaces": 99, "history_days": 99999, "channels": ["EMAIL", "TELEGRAM", "WEBHOOK"], "features": ["bulk", "tags", "analytics", "auto_rules", "api"]},
+}
+
+
+def limit_of(plan: Column, name: str) -> Column:
+    """ENT-02: a limit of a plan; an unknown plan counts as FREE."""
+    out = F.lit(PLANS["FREE"][name])
+    for p in ("STARTER", "PRO", "ENTERPRISE"):
+        out = F.when(plan == p, F.lit(PLANS[p][name])).otherwise(out)
+    return out
+
+
+def least_plan(feature: Column) -> Column:
+    """ENT-02: the least plan that has a feature."""
+    out = F.lit("ENTERPRISE")
+    for name in reversed(PLANS):
+        out = F.when(feature.isin(PLANS[name]["features"] or [""]), name).otherwise(out)
+    return out
 
 
 def effective_plan(now: Column) -> Column:
@@ -15,13 +38,18 @@ def effective_plan(now: Column) -> Column:
     return F.when((F.col("plan") != "FREE") & (F.col("plan_status") == "ACTIVE") & live, F.col("plan")).otherwise("FREE")
 
 
-def due_for_scan(products: DataFrame, users: DataFrame, last: DataFrame, now: Column, interval: int = 1440) -> DataFrame:
-    """DUE-01: products to scan, never scanned first. `last` has product_id and last_scraped_at."""
+def due_for_scan(products: DataFrame, users: DataFrame, last: DataFrame, now: Column) -> DataFrame:
+    """DUE-01: products to scan by the interval of their owner's plan. `last` has product_id and last_scraped_at.
+
+    The order (never scanned first) is the caller's to ask for: a global sort of all due rows serves no one.
+    """
     j = products.where(F.col("status").isin("ACTIVE", "OUT_OF_STOCK", "ERROR")).join(users, "user_id").join(last, "product_id", "left")
-    wait = F.make_dt_interval(mins=F.when(F.col("status") == "ERROR", F.greatest(F.lit(interval), F.lit(1440))).otherwise(F.lit(interval)))
-    fresh = F.col("last_scraped_at").isNull() | (F.col("last_scraped_at") + wait <= now)
+    interval = limit_of(F.col("plan"), "interval")
+    wait = F.make_dt_interval(mins=F.when(F.col("status") == "ERROR", F.greatest(interval, F.lit(1440))).otherwise(interval))
+    seen = F.col("last_scraped_at")
+    due = seen.isNull() | ((seen < now - F.make_dt_interval(mins=F.lit(5))) & (seen + wait <= now))
     paid = F.col("plan_expires_at").isNull() | (F.col("plan_expires_at") + F.make_dt_interval(days=F.lit(GRACE_DAYS)) >= now)
-    return j.where(fresh & paid).select("product_id", "last_scraped_at").orderBy(F.asc_nulls_first("last_scraped_at"), "product_id")
+    return j.where(due & paid).select("product_id", "last_scraped_at")
 
 
 def due_for_discovery(products: DataFrame, users: DataFrame, last: DataFrame, now: Column, batch: int = 10) -> DataFrame:

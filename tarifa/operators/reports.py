@@ -14,7 +14,8 @@ def period_report(changes: DataFrame, now: Column) -> DataFrame:
     real = F.col("price_change").isNotNull() & (F.col("price_change") != 0)
     spans = {"today": 24, "7d": 168, "30d": 720}
     inside = {k: real & (F.col("scraped_at") >= now - F.make_dt_interval(hours=F.lit(h))) for k, h in spans.items()}
-    one = changes.agg(*[F.count_if(c).alias(f"n_{k}") for k, c in inside.items()], *[F.countDistinct(F.when(c, F.col("product_id"))).alias(f"p_{k}") for k, c in inside.items()])
+    widest = now - F.make_dt_interval(hours=F.lit(max(spans.values())))
+    one = changes.where(F.col("scraped_at") >= widest).agg(*[F.count_if(c).alias(f"n_{k}") for k, c in inside.items()], *[F.countDistinct(F.when(c, F.col("product_id"))).alias(f"p_{k}") for k, c in inside.items()])
     rows = F.array(*[F.struct(F.lit(k).alias("period"), F.col(f"n_{k}").alias("changes"), F.col(f"p_{k}").alias("products")) for k in spans])
     return one.select(F.inline(rows))
 
@@ -73,12 +74,15 @@ def catalog_gap(assessed: DataFrame, k: int = 50) -> DataFrame:
     return g.select("product_id", gap.alias("gap")).orderBy(F.desc_nulls_last("gap"), "product_id").limit(k)
 
 
-def quick_filters(pressures: DataFrame, products: DataFrame) -> DataFrame:
-    """FLT-08: which quick filters each product passes."""
+def quick_filters(pressures: DataFrame, products: DataFrame, last: DataFrame, since: Column) -> DataFrame:
+    """FLT-08: which quick filters each product passes; `last` has the newest time and change of each product."""
     band = margin_band(margin_pct(F.col("current_price"), F.col("cost")))
-    j = products.join(pressures.drop("own_price"), "product_id", "left")
-    none = F.coalesce("usable", F.lit(0)) == 0
-    return j.select("product_id", none.alias("no_competitor"), (F.coalesce("cheaper", F.lit(0)) > 0).alias("cheaper_competitor"), F.coalesce(band.isin("loss", "thin"), F.lit(False)).alias("loss"), (F.col("status") == "ACTIVE").alias("active"))
+    j = products.join(pressures.drop("own_price"), "product_id", "left").join(last, "product_id", "left")
+    return j.select(
+        "product_id", (F.coalesce("usable", F.lit(0)) == 0).alias("no_competitor"), F.coalesce(F.col("current_price") > F.col("min_price"), F.lit(False)).alias("cheaper_competitor"),
+        F.coalesce(band.isin("loss", "thin"), F.lit(False)).alias("loss"), (F.col("status") == "ACTIVE").alias("active"),
+        (F.col("ts").isNull() | (F.col("ts") < since)).alias("stale"), F.coalesce(F.col("change") != 0, F.lit(False)).alias("changed"),
+    )
 
 
 def page(rows: DataFrame, order: list, offset: int, limit: int, most: int = 50) -> DataFrame:

@@ -49,7 +49,10 @@ def failure_runs(attempts: DataFrame, key: str, failed, length: int = 5) -> Data
 
 
 def sliding_limiter(hits: DataFrame, key: str, seconds: int, limit: int) -> DataFrame:
-    """STM-07: hits in (t - window, t] by whole seconds, rejected ones included; admitted while at most `limit`."""
+    """STM-07: hits in (t - window, t] by whole seconds, rejected ones included; of one second those that came before. Admitted while at most `limit`."""
     w = Window.partitionBy(key).orderBy("second").rangeBetween(-(seconds - 1), 0)
-    h = hits.withColumn("second", F.unix_seconds(F.col("ts").cast("timestamp"))).withColumn("hits", F.count("*").over(w))
+    peers = Window.partitionBy(key, "second")
+    h = hits.withColumn("second", F.unix_seconds(F.col("ts").cast("timestamp")))
+    later = F.count("*").over(peers) - F.row_number().over(peers.orderBy("event_id"))
+    h = h.withColumn("hits", F.count("*").over(w) - later)
     return h.withColumn("admitted", F.col("hits") <= limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import prices, text
+from ..functions import labels, prices, text
 from ..operators import alerts, lifecycle, quality, reports, timeseries
 from ..sources import tables as t
 
@@ -124,10 +124,13 @@ def history_dedup(spark, d):
     return t.competitors(spark, d)
 
 
-@query("""SELECT period, count(*) AS changes, count(DISTINCT product_id) AS products FROM m, (VALUES ('today', 24), ('7d', 168), ('30d', 720)) v(period, hours)
-    WHERE price_change IS NOT NULL AND price_change <> 0 AND scraped_at >= TIMESTAMP '2001-11-05' - to_hours(hours) GROUP BY period""", "m")
+@query("""SELECT period, count(*) FILTER (price_change <> 0) AS changes, count(DISTINCT product_id) FILTER (price_change <> 0) AS products, (SELECT count(*) FROM p LEFT JOIN (SELECT product_id, max(scraped_at) AS ts FROM h GROUP BY 1) USING (product_id) WHERE ts IS NULL OR ts < TIMESTAMP '2001-11-05' - INTERVAL 24 HOUR) AS stale,
+    (SELECT count(*) FROM g WHERE cheaper > 0) AS pressure FROM m, (VALUES ('today', 24), ('7d', 168), ('30d', 720)) v(period, hours) WHERE scraped_at >= TIMESTAMP '2001-11-05' - to_hours(hours) GROUP BY period""", "mpg")
 def period_report(spark, d):
-    return reports.period_report(_moves(spark, d), t.as_of())
+    day = t.as_of() - F.make_dt_interval(hours=F.lit(24))
+    stale = t.tracked_products(spark, d).join(_last(spark, d), "product_id", "left").agg(F.count_if(F.col("last_scraped_at").isNull() | (F.col("last_scraped_at") < day)).alias("n"))
+    pressed = quality.pressure(_assessed(spark, d)).agg(F.count_if(F.col("cheaper") > 0).alias("n"))
+    return reports.period_report(_moves(spark, d), t.as_of()).select("*", stale.scalar().alias("stale"), pressed.scalar().alias("pressure"))
 
 
 @query(f"SELECT product_id, count_if(price_change IS NOT NULL AND price_change <> 0) AS moves, max(abs(coalesce(price_change_pct, 0.0))) AS max_pct FROM m WHERE scraped_at >= {_DAY} GROUP BY product_id ORDER BY moves DESC, max_pct DESC, product_id LIMIT 5", "m")
@@ -226,9 +229,11 @@ def own_price_asof(spark, d):
     return t.tracked_products(spark, d).join(last, "product_id", "left").select("product_id", F.coalesce("current_price", "last_price").alias("price"))
 
 
-@query("""SELECT product_id, coalesce(usable, 0) = 0 AS no_competitor, coalesce(cheaper, 0) > 0 AS cheaper_competitor, coalesce((current_price - cost) / current_price * 100 < 10, false) AS loss, status = 'ACTIVE' AS active FROM p LEFT JOIN g USING (product_id)""", "gp")
+@query("""SELECT product_id, coalesce(usable, 0) = 0 AS no_competitor, coalesce(current_price > min_price, false) AS cheaper_competitor, coalesce((current_price - cost) / current_price * 100 < 10, false) AS loss, status = 'ACTIVE' AS active,
+    ts IS NULL OR ts < TIMESTAMP '2001-11-05' - INTERVAL 24 HOUR AS stale, coalesce(pc <> 0, false) AS changed FROM p LEFT JOIN g USING (product_id) LEFT JOIN (SELECT product_id, max(scraped_at) AS ts, max_by(price_change, [epoch(scraped_at), l_orderkey, l_linenumber]) AS pc FROM m GROUP BY 1) USING (product_id)""", "gpm")
 def catalog_filtered(spark, d):
-    return reports.quick_filters(quality.pressure(_assessed(spark, d)), t.tracked_products(spark, d))
+    last = _moves(spark, d).groupBy("product_id").agg(F.max("scraped_at").alias("ts"), F.max_by("price_change", F.struct(*timeseries.ORDER)).alias("change"))
+    return reports.quick_filters(quality.pressure(_assessed(spark, d)), t.tracked_products(spark, d), last, _day())
 
 
 @query("SELECT product_id, (own_price - min_price) / min_price AS gap FROM g ORDER BY gap DESC NULLS LAST, product_id LIMIT 50", "g")
@@ -292,19 +297,60 @@ def resolve_rules(spark, d):
     return alerts.resolve_rules(t.alert_rules(spark, d), t.tracked_products(spark, d))
 
 
-@query(", " + _RULES + f""" SELECT m.product_id, l_orderkey, l_linenumber, rule_type FROM m JOIN p USING (product_id) JOIN rr USING (product_id) LEFT JOIN u ON u.user_id = p.user_id LEFT JOIN g ON g.product_id = m.product_id WHERE scraped_at >= {_DAY} AND coalesce(CASE rule_type
-    WHEN 'PRICE_DROP' THEN price_change < 0 AND abs(price_change_pct) >= coalesce(u.user_id % 11, 0) WHEN 'PRICE_INCREASE' THEN price_change > 0 AND abs(price_change_pct) >= coalesce(u.user_id % 11, 0)
-    WHEN 'PERCENTAGE_CHANGE' THEN price_change <> 0 AND abs(price_change_pct) >= 10 AND abs(price_change_pct) >= coalesce(u.user_id % 11, 0)
-    WHEN 'PRICE_THRESHOLD' THEN price_change <> 0 AND price <= 10 WHEN 'OUT_OF_STOCK' THEN previous_stock AND NOT in_stock WHEN 'BACK_IN_STOCK' THEN NOT previous_stock AND in_stock
-    WHEN 'COMPETITOR_CHEAPER' THEN min_price < price WHEN 'LOW_MARGIN' THEN price_change <> 0 AND (price - cost) / price * 100 < 10 END, false)""", "mpgu")
-def alert_candidates(spark, d):
-    m = _moves(spark, d).where(F.col("scraped_at") >= _day())
+#: Thresholds of rules by type, the side of PRICE_THRESHOLD by product, and competitors' moves of the same product and second.
+_EVALUATED = """ec AS (SELECT product_id, scraped_at, list({'previous': previous_price, 'current': price}) AS moves FROM (SELECT *, lag(price) OVER (PARTITION BY product_id, seller_id ORDER BY scraped_at, l_orderkey, l_linenumber) AS previous_price FROM h) WHERE previous_price IS NOT NULL GROUP BY ALL),
+    e0 AS (SELECT m.*, p.user_id, p.cost, coalesce(moves, []) AS moves, (u.user_id % 11)::DOUBLE AS floor_pct, g.min_price FROM m JOIN p USING (product_id) LEFT JOIN u ON u.user_id = p.user_id LEFT JOIN g ON g.product_id = m.product_id LEFT JOIN ec ON ec.product_id = m.product_id AND ec.scraped_at = m.scraped_at),
+    e1 AS (SELECT e0.*, rule_type, coalesce(CASE rule_type
+    WHEN 'PRICE_DROP' THEN price_change < 0 AND abs(price_change_pct) >= coalesce(floor_pct, 0) WHEN 'PRICE_INCREASE' THEN price_change > 0 AND abs(price_change_pct) >= coalesce(floor_pct, 0)
+    WHEN 'PERCENTAGE_CHANGE' THEN price_change <> 0 AND abs(price_change_pct) >= 10 AND abs(price_change_pct) >= coalesce(floor_pct, 0)
+    WHEN 'PRICE_THRESHOLD' THEN price_change <> 0 AND CASE WHEN product_id % 2 = 0 THEN price <= 1500 ELSE price >= 1500 END WHEN 'OUT_OF_STOCK' THEN previous_stock AND NOT in_stock WHEN 'BACK_IN_STOCK' THEN NOT previous_stock AND in_stock
+    WHEN 'COMPETITOR_CHEAPER' THEN min_price < price WHEN 'COMPETITOR_PRICE_CHANGE' THEN len(list_filter(moves, lambda x: x.previous > 0 AND x.current > 0 AND x.current <> x.previous AND abs((x.current - x.previous) / x.previous * 100) >= greatest(coalesce(floor_pct, 0), 10))) > 0
+    WHEN 'LOW_MARGIN' THEN price_change <> 0 AND (price - cost) / price * 100 < 10 END, false) AS fired FROM e0 JOIN rr USING (product_id) WHERE price_change <> 0 OR previous_stock <> in_stock OR len(moves) > 0)"""
+
+
+def _evaluated(spark, d, since=None):
+    """Every event of a product with each of its rules: event_no, at, rule_no, fired and what the rules look at."""
+    h = t.price_history(spark, d)
+    rivals = timeseries.moves(h, ["product_id", "seller_id"]).where("previous_price IS NOT NULL")
+    rivals = rivals.groupBy("product_id", "scraped_at").agg(F.collect_list(F.struct(F.col("previous_price").alias("previous"), F.col("price").alias("current"))).alias("moves"))
+    m = _moves(spark, d)
+    if since is not None:
+        m, rivals = m.where(F.col("scraped_at") >= since), rivals.where(F.col("scraped_at") >= since)
     p, u = t.tracked_products(spark, d), t.users(spark, d)
-    rules = alerts.resolve_rules(t.alert_rules(spark, d), p)
     g = quality.pressure(_assessed(spark, d)).select("product_id", "min_price")
-    j = m.join(p.select("product_id", "user_id", "cost"), "product_id").join(rules, "product_id").join(u.select("user_id", "alert_threshold_pct"), "user_id", "left").join(g, "product_id", "left")
+    none = F.array().cast(rivals.schema["moves"].dataType)
+    e = m.join(p.select("product_id", "user_id", "cost"), "product_id").join(rivals, ["product_id", "scraped_at"], "left").withColumn("moves", F.coalesce("moves", none))
+    e = e.withColumn("event_types", alerts.event_types()).where(F.size("event_types") > 0)
+    j = e.join(alerts.resolve_rules(t.alert_rules(spark, d), p), "product_id").join(u.select("user_id", "alert_threshold_pct"), "user_id", "left").join(g, "product_id", "left")
     margin = prices.margin_pct(F.col("price"), F.col("cost"))
-    return j.where(alerts.fires(F.col("rule_type"), F.lit(10.0), margin, F.col("min_price"))).select("product_id", "l_orderkey", "l_linenumber", "rule_type")
+    limit = F.when(F.col("rule_type") == "PRICE_THRESHOLD", 1500.0).otherwise(10.0)
+    side = F.when(F.col("product_id") % 2 == 0, "below").otherwise("above")
+    return j.withColumn("fired", alerts.fires(F.col("rule_type"), limit, side, margin, F.col("min_price")))
+
+
+@query(", " + _RULES + ", " + _EVALUATED + f" SELECT product_id, l_orderkey, l_linenumber, rule_type FROM e1 WHERE fired AND scraped_at >= {_DAY}", "mpgu")
+def alert_candidates(spark, d):
+    """ALR-01..05, ALR-07, ALR-08."""
+    return _evaluated(spark, d, _day()).where("fired").select("product_id", "l_orderkey", "l_linenumber", "rule_type")
+
+
+@query()
+def alerts_sent(spark, d):
+    """ALR-06, STM-03, STM-04: the alerts of two days, folded by product; tested against a plain version."""
+    e = _evaluated(spark, d, t.as_of() - F.make_dt_interval(hours=F.lit(48)))
+    at = F.unix_seconds(F.col("scraped_at").cast("timestamp"))
+    event = at * 1_000_000 + F.col("l_orderkey") % 100_000 * 10 + F.col("l_linenumber")
+    cooldown = F.when(F.col("rule_type") == "OUT_OF_STOCK", 120).otherwise(30)
+    order = F.array_position(F.array(*[F.lit(r) for r in t.RULE_TYPES]), F.col("rule_type")) + F.when(F.col("scope") == "product", 0).otherwise(100)
+    e = e.select("product_id", event.alias("event_no"), at.alias("at"), order.alias("rule_no"), "rule_type", "fired", cooldown.alias("cooldown_minutes"))
+    return alerts.alerts_sent(e)
+
+
+@query(f"SELECT product_id, count(*) AS events, count_if(price_change <> 0) AS price_events, count_if(previous_stock <> in_stock) AS stock_events FROM m WHERE price_change <> 0 OR previous_stock <> in_stock GROUP BY product_id", "m")
+def alert_events(spark, d):
+    """ALR-01 without competitors' moves."""
+    e = _moves(spark, d).withColumn("moves", F.array()).withColumn("types", alerts.event_types()).where(F.size("types") > 0)
+    return e.groupBy("product_id").agg(F.count("*").alias("events"), F.count_if(F.array_contains("types", "price-change")).alias("price_events"), F.count_if(F.array_contains("types", "stock-change")).alias("stock_events"))
 
 
 @query("""SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS nth FROM
@@ -313,9 +359,11 @@ def failure_runs(spark, d):
     return timeseries.failure_runs(t.read(spark, d, "events"), "user_id", F.col("event_type") == "error").select("event_id", "user_id")
 
 
-@query("""SELECT event_id, count(*) OVER w AS hits, count(*) OVER w <= 2 AS admitted FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)""")
+@query("""SELECT event_id, count(*) OVER w - later AS hits, count(*) OVER w - later <= 2 AS admitted FROM (SELECT *, count(*) OVER (PARTITION BY user_id, s) - row_number() OVER (PARTITION BY user_id, s ORDER BY event_id) AS later FROM (SELECT *, CAST(floor(epoch(ts) / 600) * 600 AS BIGINT) AS s FROM events)) WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)""")
 def sliding_window_limiter(spark, d):
-    return timeseries.sliding_limiter(t.read(spark, d, "events"), "user_id", 3600, 2).select("event_id", "hits", "admitted")
+    """STM-07, times cut to ten minutes so that hits share a second."""
+    ts = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 600) * 600)
+    return timeseries.sliding_limiter(t.read(spark, d, "events").withColumn("ts", ts), "user_id", 3600, 2).select("event_id", "hits", "admitted")
 
 
 _LAST = "LEFT JOIN (SELECT product_id, max(scraped_at) AS last_scraped_at FROM h GROUP BY 1) l USING (product_id)"
@@ -325,7 +373,7 @@ def _last(spark, d):
     return t.price_history(spark, d).groupBy("product_id").agg(F.max("scraped_at").alias("last_scraped_at"))
 
 
-@query(f"""SELECT product_id, last_scraped_at FROM p JOIN u USING (user_id) {_LAST} WHERE status IN ('ACTIVE', 'OUT_OF_STOCK', 'ERROR') AND (last_scraped_at IS NULL OR last_scraped_at + INTERVAL 1440 MINUTE <= TIMESTAMP '2001-11-05')
+@query(f"""SELECT product_id, last_scraped_at FROM p JOIN u USING (user_id) {_LAST} WHERE status IN ('ACTIVE', 'OUT_OF_STOCK', 'ERROR') AND (last_scraped_at IS NULL OR (last_scraped_at < TIMESTAMP '2001-11-05' - INTERVAL 5 MINUTE AND last_scraped_at + to_minutes(CASE WHEN status = 'ERROR' OR plan IN ('FREE', 'STARTER') THEN 1440 WHEN plan = 'PRO' THEN 720 ELSE 360 END) <= TIMESTAMP '2001-11-05'))
     AND (plan_expires_at IS NULL OR plan_expires_at + INTERVAL 3 DAY >= TIMESTAMP '2001-11-05')""", "hpu")
 def due_for_scan(spark, d):
     return lifecycle.due_for_scan(t.tracked_products(spark, d), t.users(spark, d), _last(spark, d), t.as_of())
@@ -352,8 +400,8 @@ def capacity_pause(spark, d):
     return lifecycle.over_capacity(t.tracked_products(spark, d), 5)
 
 
-@query("""SELECT o_custkey AS user_id, count_if(o_orderstatus = 'F') AS sent, count_if(o_orderstatus = 'O') AS failed, count_if(o_orderstatus NOT IN ('F', 'O')) AS skipped,
-    CASE WHEN count_if(o_orderstatus = 'F') > 0 THEN 'SENT' WHEN count_if(o_orderstatus = 'O') > 0 THEN 'FAILED' ELSE 'SKIPPED' END AS status FROM orders GROUP BY 1""")
+@query("""SELECT user_id, sent, failed, skipped, CASE WHEN sent > 0 THEN 'SENT' WHEN failed > 0 THEN 'FAILED' ELSE 'SKIPPED' END AS status, coalesce(CASE WHEN sent = 0 AND failed = 0 THEN sr ELSE fr END, '') AS reasons FROM (SELECT o_custkey AS user_id, count_if(o_orderstatus = 'F') AS sent, count_if(o_orderstatus = 'O') AS failed, count_if(o_orderstatus NOT IN ('F', 'O')) AS skipped,
+    string_agg(DISTINCT CASE WHEN o_orderkey % 4 <> 0 THEN 'no channel ' || o_orderkey % 3 END, ' · ' ORDER BY CASE WHEN o_orderkey % 4 <> 0 THEN 'no channel ' || o_orderkey % 3 END) FILTER (o_orderstatus = 'O') AS fr, string_agg(DISTINCT CASE WHEN o_orderkey % 4 <> 0 THEN 'no channel ' || o_orderkey % 3 END, ' · ' ORDER BY CASE WHEN o_orderkey % 4 <> 0 THEN 'no channel ' || o_orderkey % 3 END) FILTER (o_orderstatus NOT IN ('F', 'O')) AS sr FROM orders GROUP BY 1)""")
 def delivery_summary(spark, d):
     return alerts.delivery_summary(t.notifications(spark, d), "user_id")
 
@@ -396,12 +444,13 @@ def keyset_page(spark, d):
     return t.tracked_products(spark, d).where("product_id > 100").select("product_id", "product_name").orderBy("product_id").limit(500)
 
 
-@query("SELECT user_id, count(*) AS used, greatest(0, 5 - count(*)) AS remaining, least(100, CAST(floor(100.0 * count(*) / 5 + 0.5) AS BIGINT)) AS used_pct FROM p GROUP BY user_id", "p")
+@query("""SELECT user_id, used, greatest(0, cap - used) AS remaining, pct AS used_pct, pct >= 80 AS near, pct >= 100 AS reached FROM (SELECT *, least(100, CAST(floor(100.0 * used / cap + 0.5) AS BIGINT)) AS pct FROM (SELECT user_id, count(*) AS used, any_value(CASE WHEN plan <> 'FREE' AND plan_status = 'ACTIVE' AND (plan_expires_at IS NULL OR plan_expires_at + INTERVAL 3 DAY >= TIMESTAMP '2001-11-05') THEN CASE plan WHEN 'STARTER' THEN 50 WHEN 'PRO' THEN 500 ELSE 99999 END ELSE 5 END) AS cap FROM p JOIN u USING (user_id) GROUP BY user_id))""", "pu")
 def plan_usage(spark, d):
-    """AGG-23, CSE-11: against five products, the least plan's number."""
-    n = F.count("*")
-    g = t.tracked_products(spark, d).groupBy("user_id").agg(n.alias("used"))
-    return g.select("user_id", "used", F.greatest(F.lit(0), 5 - F.col("used")).alias("remaining"), F.least(F.lit(100), F.floor(100.0 * F.col("used") / 5 + 0.5)).alias("used_pct"))
+    """AGG-23, CSE-11, ENT-02: products against the limit of the effective plan."""
+    g = t.tracked_products(spark, d).groupBy("user_id").agg(F.count("*").alias("used")).join(t.users(spark, d), "user_id")
+    cap = lifecycle.limit_of(lifecycle.effective_plan(t.as_of()), "products")
+    u = labels.usage(F.col("used"), cap)
+    return g.select("user_id", "used", F.greatest(F.lit(0), cap - F.col("used")).alias("remaining"), u["percent"].alias("used_pct"), u["near"].alias("near"), u["reached"].alias("reached"))
 
 
 @query("SELECT count(DISTINCT marketplace) AS marketplaces, max(scraped_at) AS newest FROM h JOIN p USING (product_id)", "hp")

@@ -1,4 +1,4 @@
 """All queries of the price side and their SQL."""
 
-from . import labels, linkage, queries  # noqa: F401  importing a module registers its queries
+from . import extract, labels, linkage, queries  # noqa: F401  importing a module registers its queries
 from .queries import ORACLE_SQL, QUERIES  # noqa: F401

@@ -73,6 +73,7 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("date").alias("sent_at"),
         status.alias("status"), F.col("o_orderpriority").alias("rule_type"), (F.col("o_orderkey") % 3 == 0).alias("is_read"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("no channel "), (F.col("o_orderkey") % 3).cast("string"))).alias("error"),
     )
 
 
@@ -126,3 +127,26 @@ def listing_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     listing = F.element_at(F.array(*kinds), (k + 1).cast("int"))
     return j.select("product_id", "seller_id", "title", listing.alias("listing"), "listing_price", "match_score")
+
+
+#: Blocks of product data that stand in for those of real pages, by page.
+PAGE_BLOCKS = [
+    '<script type="application/ld+json">{"@type":"Product","name":"Item %d","image":["a.jpg","b.jpg"],"category":"Home","aggregateRating":{"ratingValue":"4.5","reviewCount":"12"},"offers":{"price":"1.%d99,90","priceCurrency":"TRY","availability":"https://schema.org/InStock","seller":{"name":"Shop %d"}}}</script>',
+    '<script type="application/ld+json">{"@graph":[{"@type":"WebPage"},{"@type":"Product","name":"Graph %d","image":"c.jpg","offers":[{"price":1%d.5,"availability":"OutOfStock"}]}]}</script>',
+    '<script type="application/ld+json">{"@type":"ProductGroup","name":"Group %d","image":{"contentUrl":["d.jpg"]},"hasVariant":[{"offers":{"price":9%d}}]}</script>',
+    '<script type="application/ld+json">{"@type":"Product",</script><meta property="og:title" content="Open %d"><meta content="2%d,75" property="product:price:amount"><meta property="og:image" content="e.jpg">',
+    '<script id="__NEXT_DATA__" type="application/json">{"props":{"a":[{"totalPrice":"3%d,5"}],"b":{"note":"x"}}}</script>',
+    '<script type="application/ld+json">{"@type":"Product","name":"Many %d","offers":{"@type":"AggregateOffer","lowPrice":"4%d","highPrice":90}}</script>',
+    '<p>Just a moment %d %d</p>',
+    '<script>window.__STATE__ = {"merchant":{"id":"1"},"price":{"discountedPrice":0,"sellingPrice":14%d.9},"sellers":[{"id":"1","name":"Own","price":5},{"id":"%d7","name":"Rival","price":{"sellingPrice":6}}]};</script>',
+    '<meta name="description" content="Now %d TL"><b>Tükendi</b><i data-price="">%d</i>',
+    "<i>%d %d</i>",
+]
+
+
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a block of product data at their end."""
+    k = F.col("page_id")
+    digit = (1 + k % 9).cast("string")
+    block = F.replace(F.element_at(F.array(*[F.lit(b) for b in PAGE_BLOCKS]), (1 + k % len(PAGE_BLOCKS)).cast("int")), F.lit("%d"), digit)
+    return read(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", block).alias("html"))
