@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import let, settle
 
-BUCKETS = 262_139
+BUCKETS = 1 << 18
 #: A part: rank << 44 | id, and for a moment its index << 20. Ids and ranks stay below 2**19, indices below 2**24.
 _PLACE, _RANK = 20, 44
 _NONE, _ID, _PLACES = (1 << 19) - 1, (1 << 20) - 1, (1 << 24) - 1
@@ -60,7 +60,7 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
 
 
 def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    return F.hash(key).bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def _packed(entries: DataFrame, name: str, bucket=_bucket) -> Column:
@@ -91,7 +91,7 @@ def _get(table: Column, key: Column) -> Column:
 
 
 def _pair_bucket(key: Column) -> Column:
-    return (key % F.lit(BUCKETS)).cast("int")
+    return (key % F.lit(262_139)).cast("int")  # a prime, as the ids of a pair are no random numbers
 
 
 class Fold:
@@ -171,9 +171,10 @@ class Fold:
         return let(F.aggregate(rounds, zero, step), lambda s: F.when(s["lost"], self.ids(word)).otherwise(ids(s)))
 
     def code(self, word: Column) -> Column:
-        """(ids as comma-joined decimals, bytes as Latin-1) of a word: its encoding, and the decoding of that."""
+        """(ids as comma-joined decimals, text) of a word: its encoding, and the decoding of that."""
         def coded(ids: Column) -> Column:
-            return F.struct(F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias("ids"), self.decode(ids).alias("bytes"))
+            decoded = F.decode(F.encode(self.decode(ids), "ISO-8859-1"), "UTF-8")
+            return F.struct(F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias("ids"), decoded.alias("text"))
 
         ids = lambda w: F.when(F.char_length(w) <= self.block, self.ids(w)).otherwise(self.long_ids(w))
         return let(let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ids), coded)
@@ -226,7 +227,7 @@ def tokenise(
     coded = bound(lambda fold: let(F.col("_words"), lambda m: F.transform("_w", lambda w: F.coalesce(_get(m, w), fold.code(w)))))
     one = docs.select(*keep, found.alias("_w"), *tables, word_map.alias("_words"))
     out = one.select(*keep, coded.alias("_c")).select(
-        *keep, F.array_join("_c.ids", ",").alias("ids"), F.encode(F.array_join("_c.bytes", ""), "ISO-8859-1").alias("decoded")
+        *keep, F.array_join("_c.ids", ",").alias("ids"), F.array_join("_c.text", "").cast("binary").alias("decoded")
     )
-    n = F.when(F.col("ids") == "", 0).otherwise(F.char_length("ids") - F.char_length(F.replace("ids", F.lit(","))) + 1)
+    n = F.when(F.col("ids") == "", 0).otherwise(F.octet_length("ids") - F.octet_length(F.replace("ids", F.lit(","))) + 1)
     return out.select(*keep, n.cast("long").alias("n_tokens"), "ids", "decoded")
