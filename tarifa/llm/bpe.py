@@ -19,6 +19,7 @@ All neighbours of the joined sequence are neighbours within a block. Where block
 from __future__ import annotations
 
 import base64
+import json
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import let, settle
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 19
 #: A part: rank << 44 | id, and for a moment its index << 20. Ids and ranks stay below 2**19, indices below 2**24.
 _PLACE, _RANK = 20, 44
 _NONE, _ID, _PLACES = (1 << 19) - 1, (1 << 20) - 1, (1 << 24) - 1
@@ -100,12 +101,33 @@ class Fold:
     def __init__(self, ranks: dict[bytes, int], pairs: Column, pieces: Column, block: int):
         self.pairs, self.pieces, self.block = pairs, pieces, block
         self.singles = F.lit([ranks[bytes([b])] for b in range(256)]).cast("array<bigint>")
+        self.bytes = {name: F.from_json(F.lit(json.dumps(t)), "array<int>") for name, t in byte_tables(ranks).items()}
 
     def part(self, pair: Column) -> Column:
         """The left part of a pair (left id << 20 | right id), with the rank of the pair."""
         known = F.element_at(F.get(self.pairs, _pair_bucket(pair)), pair)
         return F.coalesce(known, F.shiftright(pair, _PLACE).bitwiseOR(F.lit(_NONE << _RANK)))
 
+    def first(self, codes: Column) -> Column:
+        """Ids of the bytes of a word, with the merges that no other can come before already made.
+
+        A pair (a, b) of rank r is merged first of all if every piece that starts with b and the byte after it, and
+        every piece that ends with the byte before a and a, has a rank over r: until the pair is merged, a merge that
+        takes a or b away would make such a piece. Two such pairs never overlap.
+        """
+        table = lambda name, x, y: F.get(self.bytes[name], F.shiftleft(x, 8).bitwiseOR(y))
+
+        def safe(i: Column) -> Column:
+            z, a, b, c = (F.get(codes, i + k) for k in (-1, 0, 1, 2))
+            least = F.least(F.lit(_NONE), table("starts", b, c), table("ends", z, a))
+            return let(table("pair", a, b), lambda r: F.when(r < least, r))
+
+        merges = lambda made: F.filter(F.transform(codes, lambda c, i: (
+            F.when(F.get(made, i).isNotNull(), F.get(made, i).cast("long"))
+            .when((i > 0) & F.get(made, i - 1).isNotNull(), F.lit(None).cast("long")).otherwise(F.get(self.singles, c))
+        )), lambda x: x.isNotNull())
+        return let(F.transform(codes, lambda c, i: safe(i)), merges)
+
     def ids(self, word: Column) -> Column:
         """The ids of a word, by ranked merges."""
         edge = F.lit((_NONE << _RANK) | _ID).cast("long")  # before the first part and after the last: no pair has a rank
@@ -124,10 +146,9 @@ class Fold:
 
         # array_position would do, but it leaves its loop by an exception, which costs more than the rest of a step
         low = lambda s: F.array_min(F.transform(s, lambda x, i: x.bitwiseOR(F.shiftleft(i.cast("long"), _PLACE))))
-        single = F.transform(F.split(word, ""), lambda c: F.get(self.singles, F.ascii(c)))
-        rounds = F.array_repeat(F.lit(0), F.char_length(word) - 1)
-        folded = F.aggregate(rounds, let(single, start), lambda s, _: let(low(s), lambda x: merge(s, x)))
-        return let(folded, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: id_of(x).cast("int")))
+        single = F.transform(F.split(word, ""), F.ascii)
+        fold = lambda s: F.aggregate(F.array_repeat(F.lit(0), F.size(s) - 3), s, lambda s, _: let(low(s), lambda x: merge(s, x)))
+        return let(let(let(let(single, self.first), start), fold), lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: id_of(x).cast("int")))
 
     def long_ids(self, word: Column) -> Column:
         """The same for a long word: blocks that overlap by a quarter, joined at a common token."""
@@ -184,6 +205,18 @@ class Fold:
         return F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "")
 
 
+def byte_tables(ranks: dict[bytes, int]) -> dict[str, list[int]]:
+    """By two bytes: the rank of both as a piece, and the least rank of pieces that start or end with them."""
+    pair, starts, ends = ([_NONE] * 65536 for _ in range(3))
+    for piece, rank in ranks.items():
+        if len(piece) > 1:
+            head, tail = piece[0] << 8 | piece[1], piece[-2] << 8 | piece[-1]
+            starts[head], ends[tail] = min(starts[head], rank), min(ends[tail], rank)
+            if len(piece) == 2:
+                pair[head] = rank
+    return {"pair": pair, "starts": starts, "ends": ends}
+
+
 def pair_ranks(ranks: dict[bytes, int]) -> pa.Table:
     """Each two pieces that together are a piece (left id << 20 | right id): the left part, with its rank. Bounded by the vocabulary."""
     k, v = [], []
@@ -197,7 +230,7 @@ def pair_ranks(ranks: dict[bytes, int]) -> pa.Table:
 
 
 def tokenise(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str = "text", frequent: int = 400_000, block: int = 256,
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str = "text", frequent: int = 600_000, block: int = 256,
 ) -> DataFrame:
     """One row per row of `docs`: `keep`, n_tokens, ids (comma-joined decimals), decoded (binary).
 
@@ -211,10 +244,10 @@ def tokenise(
         raise ValueError(f"ranks must lie below {_NONE}")
     block = max(block, 2 * max(map(len, ranks)))
     spark = docs.sparkSession
-    known = pa.table({"k": [k.decode("latin-1") for k in ranks], "v": pa.array(ranks.values(), pa.int32())})
-    pieces = _pieces(settle(spark.createDataFrame(known), "vocabulary"))
+    vocabulary = pa.table({"k": [k.decode("latin-1") for k in ranks], "v": pa.array(ranks.values(), pa.int32())})
+    pieces = _pieces(settle(spark.createDataFrame(vocabulary), "vocabulary"))
     pairs = _packed(settle(spark.createDataFrame(pair_ranks(ranks)), "pairs"), "ranks", _pair_bucket)
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({java_pattern(pattern)})"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     # distinct words of each text first, so that the grouping sees a word once a text
     counts = docs.select(F.explode(F.array_distinct(found)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "k").limit(frequent).select("k")
@@ -223,8 +256,12 @@ def tokenise(
     tables = [pairs.alias("_pairs"), pieces.alias("_pieces")]
     bound = lambda body: let(F.col("_pairs"), lambda r: let(F.col("_pieces"), lambda p: body(Fold(ranks, r, p, block))))
     words = top.select("k", *tables).select("k", bound(lambda fold: fold.code(F.col("k"))).alias("v"))
-    word_map = _packed(settle(words, "words"), "frequent")
-    coded = bound(lambda fold: let(F.col("_words"), lambda m: F.transform("_w", lambda w: F.coalesce(_get(m, w), fold.code(w)))))
+    # a word that its decoding gives back stands for its decoding, so the map needs no second copy of it
+    words = settle(words, "words").where(F.col("v")["text"] == F.col("k")).select("k", F.col("v")["ids"].alias("v"))
+    word_map = _packed(words, "frequent")
+    known = lambda ids, w: F.struct(ids.alias("ids"), w.alias("text"))
+    code = lambda fold, m, w: let(_get(m, w), lambda ids: F.when(ids.isNotNull(), known(ids, w)).otherwise(fold.code(w)))
+    coded = bound(lambda fold: let(F.col("_words"), lambda m: F.transform("_w", lambda w: code(fold, m, w))))
     one = docs.select(*keep, found.alias("_w"), *tables, word_map.alias("_words"))
     out = one.select(*keep, coded.alias("_c")).select(
         *keep, F.array_join("_c.ids", ",").alias("ids"), F.array_join("_c.text", "").cast("binary").alias("decoded")
