@@ -98,10 +98,8 @@ def _pair_bucket(key: Column) -> Column:
 class Fold:
     """Column expressions that encode and decode words, given the tables of one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pairs: Column, pieces: Column, block: int):
-        self.pairs, self.pieces, self.block = pairs, pieces, block
-        self.singles = F.lit([ranks[bytes([b])] for b in range(256)]).cast("array<bigint>")
-        self.bytes = {name: F.from_json(F.lit(json.dumps(t)), "array<int>") for name, t in byte_tables(ranks).items()}
+    def __init__(self, bytes_: Column, pairs: Column, pieces: Column, block: int):
+        self.bytes, self.pairs, self.pieces, self.block = bytes_, pairs, pieces, block
 
     def part(self, pair: Column) -> Column:
         """The left part of a pair (left id << 20 | right id), with the rank of the pair."""
@@ -124,7 +122,7 @@ class Fold:
 
         merges = lambda made: F.filter(F.transform(codes, lambda c, i: (
             F.when(F.get(made, i).isNotNull(), F.get(made, i).cast("long"))
-            .when((i > 0) & F.get(made, i - 1).isNotNull(), F.lit(None).cast("long")).otherwise(F.get(self.singles, c))
+            .when((i > 0) & F.get(made, i - 1).isNotNull(), F.lit(None).cast("long")).otherwise(F.get(self.bytes["single"], c).cast("long"))
         )), lambda x: x.isNotNull())
         return let(F.transform(codes, lambda c, i: safe(i)), merges)
 
@@ -206,7 +204,7 @@ class Fold:
 
 
 def byte_tables(ranks: dict[bytes, int]) -> dict[str, list[int]]:
-    """By two bytes: the rank of both as a piece, and the least rank of pieces that start or end with them."""
+    """By two bytes: the rank of both as a piece, and the least rank of pieces that start or end with them; by one: its id."""
     pair, starts, ends = ([_NONE] * 65536 for _ in range(3))
     for piece, rank in ranks.items():
         if len(piece) > 1:
@@ -214,7 +212,7 @@ def byte_tables(ranks: dict[bytes, int]) -> dict[str, list[int]]:
             starts[head], ends[tail] = min(starts[head], rank), min(ends[tail], rank)
             if len(piece) == 2:
                 pair[head] = rank
-    return {"pair": pair, "starts": starts, "ends": ends}
+    return {"single": [ranks[bytes([b])] for b in range(256)], "pair": pair, "starts": starts, "ends": ends}
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> pa.Table:
@@ -247,14 +245,17 @@ def tokenise(
     vocabulary = pa.table({"k": [k.decode("latin-1") for k in ranks], "v": pa.array(ranks.values(), pa.int32())})
     pieces = _pieces(settle(spark.createDataFrame(vocabulary), "vocabulary"))
     pairs = _packed(settle(spark.createDataFrame(pair_ranks(ranks)), "pairs"), "ranks", _pair_bucket)
+    tables = byte_tables(ranks)
+    kind = "struct<" + ",".join(f"{k}:array<int>" for k in tables) + ">"
+    bytes_ = settle(spark.createDataFrame(pa.table({"t": [json.dumps(tables)]})).select(F.from_json("t", kind)), "bytes").scalar()
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     # distinct words of each text first, so that the grouping sees a word once a text
     counts = docs.select(F.explode(F.array_distinct(found)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "k").limit(frequent).select("k")
     top = top.repartition(spark.sparkContext.defaultParallelism, "k")
     # each table is used once, so Spark puts the subquery in its place and no row ever holds a table
-    tables = [pairs.alias("_pairs"), pieces.alias("_pieces")]
-    bound = lambda body: let(F.col("_pairs"), lambda r: let(F.col("_pieces"), lambda p: body(Fold(ranks, r, p, block))))
+    tables = [bytes_.alias("_bytes"), pairs.alias("_pairs"), pieces.alias("_pieces")]
+    bound = lambda body: let(F.col("_bytes"), lambda b: let(F.col("_pairs"), lambda r: let(F.col("_pieces"), lambda p: body(Fold(b, r, p, block)))))
     words = top.select("k", *tables).select("k", bound(lambda fold: fold.code(F.col("k"))).alias("v"))
     # a word that its decoding gives back stands for its decoding, so the map needs no second copy of it
     words = settle(words, "words").where(F.col("v")["text"] == F.col("k")).select("k", F.col("v")["ids"].alias("v"))
