@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prices import margin_band, margin_pct, price_for_margin, undercut
@@ -85,6 +85,31 @@ def quick_filters(pressures: DataFrame, products: DataFrame, last: DataFrame, si
     )
 
 
+def catalog_search(products: DataFrame, tags: DataFrame, text: str, tag_ids: list[int] | None, marketplace: str) -> DataFrame:
+    """FLT-01, FLT-07: name or marketplace holds the text, any of the tags, and the marketplace ("ALL" for every one)."""
+    found = products
+    if text.strip():
+        t = text.strip().lower()
+        found = found.where(F.contains(F.lower("product_name"), F.lit(t)) | F.contains(F.lower("marketplace"), F.lit(t)))
+    if tag_ids:
+        found = found.join(tags.where(F.col("tag_id").isin(tag_ids)), "product_id", "left_semi")
+    return found if marketplace == "ALL" else found.where(F.col("marketplace") == marketplace)
+
+
+def catalog_places(rows: DataFrame, k: int) -> DataFrame:
+    """SRT-09: for each order the first k products and their places: a top-k of each, no global window."""
+    orders = {
+        "updated": F.desc_nulls_last("ts"), "dearest": F.desc_nulls_last("current_price"), "cheapest": F.asc_nulls_last("current_price"),
+        "competitors": F.coalesce("n", F.lit(0)).desc(), "change": F.coalesce("change", F.lit(0.0)).asc(),
+    }
+    found = None
+    for name, order in orders.items():
+        top = rows.orderBy(order, "product_id").limit(k)
+        at = top.withColumn("_n", F.row_number().over(Window.orderBy(order, "product_id"))).select("product_id", F.lit(name).alias("_o"), "_n")
+        found = at if found is None else found.unionByName(at)
+    return found.groupBy("product_id").agg(*[F.max(F.when(F.col("_o") == n, F.col("_n"))).alias(n) for n in orders])
+
+
 def page(rows: DataFrame, order: list, offset: int, limit: int, most: int = 50) -> DataFrame:
     """SRT-05: one page of at most `most` rows."""
     return rows.orderBy(*order).offset(offset).limit(min(limit, most))
