@@ -29,7 +29,7 @@ from .components import components
 
 TOKENS = 64
 _EMPTY = 0xFFFFFFFF
-_C, _DEEPER = 1.25, 1.75  # paths that a pair at the threshold shares at the first level, and for each split
+_C, _DEEPER = 1.25, 1.5  # paths that a pair at the threshold shares at the first level, and for each split
 
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -138,7 +138,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             row, child = _chosen(batch.column("path").to_numpy().view(np.uint64), _signatures(batch.column("sig")), _DEEPER)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("node").take(pa.array(row))], names=["path", "node"])
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("node").take(row), batch.column("sig").take(row)], names=["path", "node", "sig"])
 
 
 def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +153,8 @@ def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = _signatures(batch.column("sig")), _signatures(batch.column("low_sig"))
             both = np.maximum(1, ((a != _EMPTY) | (b != _EMPTY)).sum(1))
             like = ((a == b) & (a != _EMPTY)).sum(1) / both
-            columns = [batch.column(c) for c in ("low", "node", "paths")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(like >= 0.35), pa.array(like >= 0.7)], names=["low", "node", "paths", "near", "peeled"])
+            columns = [batch.column(c) for c in ("low", "node", "paths", "sig")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(like >= 0.35), pa.array(like >= 0.7)], names=["low", "node", "paths", "sig", "near", "peeled"])
 
 
 def _family_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,22 +246,24 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: fl
     for depth in range(levels + 1):
         sizes = settle(level.groupBy(F.col("path").alias("k")).agg(F.count("*").alias("size"), F.min("node").alias("low")).where("size > 1"), "buckets")
         # both sides of these joins grow with the input: they are merged by shuffle at every size
-        rows = settle(level.hint("merge").join(sizes, F.col("path") == F.col("k")).select("path", "node", "size", "low"), "rows")
-        few = rows.where(F.col("size") <= small).hint("merge").join(sigs, F.col("node") == F.col("s_node")).select("path", "node", "sig")
-        few = few.repartition("path").sortWithinPartitions("path")
+        rows = level.hint("merge").join(sizes, F.col("path") == F.col("k"))
+        if depth == 0:
+            rows = rows.hint("merge").join(sigs, F.col("node") == F.col("s_node"))
+        rows = settle(rows.select("path", "node", "sig", "size", "low"), "rows")
+        few = rows.where(F.col("size") <= small).select("path", "node", "sig").repartition("path").sortWithinPartitions("path")
         edges.append(settle(few.mapInArrow(_matches(0.6), "u long, v long").distinct(), "pairs"))
         # a node of many large buckets with one leader is one row; its paths are as many as it has in all runs at most
-        large = rows.where(F.col("size") > small).groupBy("low", "node").agg(F.collect_list("path").alias("paths"))
+        large = rows.where(F.col("size") > small).groupBy("low", "node").agg(F.collect_list("path").alias("paths"), F.first("sig").alias("sig"))
         leaders = sigs.select(F.col("s_node").alias("l_node"), F.col("sig").alias("low_sig"))
-        large = large.hint("merge").join(sigs, F.col("node") == F.col("s_node")).join(leaders, F.col("low") == F.col("l_node"))
-        peeled = settle(large.select("low", "node", "paths", "sig", "low_sig").mapInArrow(_peel, "low long, node long, paths array<long>, near boolean, peeled boolean"), "peeled")
+        large = large.join(leaders, F.col("low") == F.col("l_node")).select("low", "node", "paths", "sig", "low_sig")
+        peeled = settle(large.mapInArrow(_peel, "low long, node long, paths array<long>, sig binary, near boolean, peeled boolean"), "peeled")
         if peeled.isEmpty():
             break
         # what is as large as before after the last split joins its leader as a whole
         edges.append(peeled.where("near" if depth < levels else "true").select(F.col("low").alias("u"), F.col("node").alias("v")))
         if depth < levels:
-            deeper = peeled.where("NOT peeled").select(F.explode("paths").alias("path"), "node").hint("merge").join(sigs, F.col("node") == F.col("s_node")).select("path", "node", "sig")
-            level = settle(deeper.mapInArrow(_split, "path long, node long"), "paths")
+            deeper = peeled.where("NOT peeled").select(F.explode("paths").alias("path"), "node", "sig")
+            level = settle(deeper.mapInArrow(_split, "path long, node long, sig binary"), "paths")
     all_edges = edges[0]
     for e in edges[1:]:
         all_edges = all_edges.unionByName(e)
