@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import let, settle
 
-BUCKETS = 1 << 19
+BUCKETS = 1 << 18
 #: A part: rank << 44 | id, and for a moment its index << 20. Ids and ranks stay below 2**19, indices below 2**24.
 _PLACE, _RANK = 20, 44
 _NONE, _ID, _PLACES = (1 << 19) - 1, (1 << 20) - 1, (1 << 24) - 1
@@ -228,7 +228,7 @@ def pair_ranks(ranks: dict[bytes, int]) -> pa.Table:
 
 
 def tokenise(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str = "text", frequent: int = 600_000, block: int = 256,
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str = "text", frequent: int = 400_000, block: int = 256,
 ) -> DataFrame:
     """One row per row of `docs`: `keep`, n_tokens, ids (comma-joined decimals), decoded (binary).
 
