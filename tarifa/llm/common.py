@@ -38,13 +38,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    With `free` the driver collects its garbage then: Spark deletes the shuffle files of a finished plan only when
-    nothing on the driver refers to it any more, and a large one would lie beside the next.
+    With `free` the driver collects its garbage then, once its listeners have seen the end of the job: Spark deletes the
+    shuffle files of a finished plan only when nothing on the driver refers to it any more, and a large one would lie
+    beside the next.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
     if free:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
