@@ -62,32 +62,37 @@ def fires(rule: Column, threshold: Column, direction: Column, margin: Column, ch
     )
 
 
-def fold_alerts(rows: pd.DataFrame, state: dict[str, tuple[bool, float]]) -> list[tuple[int, str]]:
+#: Seconds after which a level rule's state is forgotten.
+STATE_TTL = 14 * 86400
+
+
+def fold_alerts(rows: pd.DataFrame, state: dict[str, tuple[bool, float, float]]) -> list[tuple[int, str]]:
     """ALR-06, STM-03, STM-04 for one product: (event, rule) of the alerts that go out, in order of events and rules.
 
-    `state` holds for each rule whether its condition held (level rules) and when it was last sent; it is updated.
-    Of the movement rules that fire and may be sent one wins: PERCENTAGE_CHANGE, or else the first. A level rule is
-    sent when its condition becomes true; that moves the state before the cooldown is asked, so an edge within the
-    cooldown is swallowed until the condition has been false once.
+    `state` holds for each rule whether its condition held (level rules), until when its cooldown lasts and when it
+    was last looked at; it is updated. Of the movement rules that fire and may be sent one wins: PERCENTAGE_CHANGE, or else the
+    first. A level rule is sent when its condition becomes true; that moves the state before the cooldown is asked, so
+    an edge within the cooldown is swallowed until the condition has been false once. A state that is STATE_TTL old
+    counts as inactive.
     """
-    sent = []
+    sent, never = [], (False, float("-inf"), float("-inf"))
     for event, group in rows.groupby("event_no", sort=True):
         rules = list(group.sort_values("rule_no").itertuples())
         now = rules[0].at
-        cooling = {r.rule_type: now - state.get(r.rule_type, (False, float("-inf")))[1] < max(60, int(r.cooldown_minutes * 60)) for r in rules}
+        cooling = {r.rule_type: now < state.get(r.rule_type, never)[1] for r in rules}
         movement = [r.rule_type for r in rules if r.rule_type in MOVEMENT and r.fired and not cooling[r.rule_type]]
         winner = "PERCENTAGE_CHANGE" if "PERCENTAGE_CHANGE" in movement else movement[0] if movement else None
         for r in rules:
             if r.rule_type in MOVEMENT and winner is not None and r.rule_type != winner:
                 continue
-            active, last = state.get(r.rule_type, (False, float("-inf")))
+            active, until, seen = state.get(r.rule_type, never)
             alert = bool(r.fired)
             if r.rule_type in LEVEL:
-                alert, active = alert and not active, bool(r.fired)
+                alert, active = alert and not (active and now - seen < STATE_TTL), bool(r.fired)
             if alert and not cooling[r.rule_type]:
-                last = now
+                until = now + max(60, int(r.cooldown_minutes * 60))
                 sent.append((event, r.rule_type))
-            state[r.rule_type] = (active, last)
+            state[r.rule_type] = (active, until, now)
     return sent
 
 

@@ -87,9 +87,9 @@ def csv_lines(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """SNK-01: files of such lines, each with the header."""
-    header = ",".join(rows.columns)
-    csv_lines(rows).withColumnRenamed("line", header).write.option("header", True).option("quote", "\x00").option("sep", "\x01").csv(path)
+    """SNK-01: CSV files of the same quoting, each with the header."""
+    plain = {"header": True, "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**plain).csv(path)
 
 
 def append(rows: DataFrame, path: str) -> None:

@@ -1,58 +1,111 @@
-"""Stateful streams: alert edges with cooldown (STM-03, STM-04) and failure runs (STM-05)."""
+"""Stateful streams: alerts (STM-03, STM-04), failure runs (STM-05), limiters (STM-06), memberships (STM-09), idempotence (STM-08).
+
+Every fold is a plain function over one key's rows in order and its state, which the batch operators use as well; a
+stream keeps the state between batches and forgets a key after a time without rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-ALERT = "rule_id long, product_id long, event_id long, ts timestamp"
+from ..operators.alerts import STATE_TTL, fold_alerts
 
+FAILURE_TTL = 7 * 86400
 
-def _fold(rows: pd.DataFrame, active: bool, sent: float) -> tuple[list, bool, float]:
-    """Edges of one (rule, product) in event order: the state moves first, the cooldown decides after it."""
-    out = []
-    for r in rows.sort_values(["ts", "event_id"]).itertuples():
-        edge, active = bool(r.condition) and not active, bool(r.condition)
-        now = r.ts.timestamp()
-        if edge and now - sent >= max(60, int(r.cooldown_minutes * 60)):
-            sent = now
-            out.append((r.event_id, r.ts))
-    return out, active, sent
 
+def _stateful(rows: DataFrame, keys: list[str], output: str, state: str, ttl: int, step: Callable) -> DataFrame:
+    """`step(key, rows, state or None) -> (output rows, state)` for each key of a stream; a key is dropped `ttl` seconds after its last rows."""
 
-def alert_edges(events: DataFrame) -> DataFrame:
-    """Alerts sent from (rule_id, product_id, event_id, ts, condition, cooldown_minutes).
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        out, new = step(key, pd.concat(list(batches)), held.get if held.exists else None)
+        held.update(new)
+        held.setTimeoutDuration(ttl * 1000)
+        yield out
+
+    return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
-    A condition that turns true sends unless the last send lies within the cooldown; an edge within the cooldown is
-    swallowed until the condition has been false once. Works on a stream; state is one flag and one time a key.
-    """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, sent = state.get if state.exists else (False, float("-inf"))
-        out, active, sent = _fold(pd.concat(list(batches)), active, sent)
-        state.update((active, sent))
-        yield pd.DataFrame([(key[0], key[1], *o) for o in out], columns=["rule_id", "product_id", "event_id", "ts"])
+def alerts_stream(evaluated: DataFrame) -> DataFrame:
+    """Alerts that go out, of a stream of (product_id, event_no, at, rule_no, rule_type, fired, cooldown_minutes); state by rule."""
 
-    return events.groupBy("rule_id", "product_id").applyInPandasWithState(step, ALERT, "active boolean, sent double", "append", GroupStateTimeout.NoTimeout)
+    def step(key, rows, held):
+        state = {r: (a, s, t) for r, a, s, t in zip(*held)} if held else {}
+        found = fold_alerts(rows, state)
+        out = pd.DataFrame({"product_id": key[0], "event_no": [e for e, _ in found], "rule_type": [r for _, r in found]})
+        return out, (list(state), *([v[i] for v in state.values()] for i in range(3)))
+
+    return _stateful(evaluated, ["product_id"], "product_id long, event_no long, rule_type string", "rule array<string>, active array<boolean>, until array<double>, seen array<double>", STATE_TTL, step)
+
+
+def fold_failures(rows: pd.DataFrame, run: int, last: float, length: int) -> tuple[list, int, float]:
+    """STM-05: the rows at which failures in a row reach `length`; a pause of FAILURE_TTL ends a run."""
+    out = []
+    for r in rows.sort_values(["at", "event_id"]).itertuples():
+        run = 0 if not r.failed else 1 if r.at - last >= FAILURE_TTL else run + 1
+        last = r.at
+        if run == length:
+            out.append((r.event_id, r.at))
+    return out, run, last
 
 
 def failure_alerts(attempts: DataFrame, length: int = 5) -> DataFrame:
-    """The attempt at which a key's failures in a row reach `length`, from (key, event_id, ts, failed); works on a stream."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            run = run + 1 if r.failed else 0
-            if run == length:
-                out.append((key[0], r.event_id, r.ts))
-        state.update((run,))
-        yield pd.DataFrame(out, columns=["key", "event_id", "ts"])
-
-    return attempts.groupBy("key").applyInPandasWithState(step, "key long, event_id long, ts timestamp", "run int", "append", GroupStateTimeout.NoTimeout)
+    """ALR-10, WIN-09 on a stream of (key, event_id, at seconds, failed)."""
+
+    def step(key, rows, held):
+        out, run, last = fold_failures(rows, *(held or (0, float("-inf"))), length)
+        return pd.DataFrame([(key[0], *o) for o in out], columns=["key", "event_id", "at"]), (run, last)
+
+    return _stateful(attempts, ["key"], "key long, event_id long, at double", "run int, last double", FAILURE_TTL, step)
+
+
+def fold_window(rows: pd.DataFrame, start: float, count: int, most: int, seconds: float) -> tuple[list, float, int]:
+    """STM-06: whether each hit is admitted; the first hit after a window starts the next, rejected hits count."""
+    out = []
+    for r in rows.sort_values(["at", "event_id"]).itertuples():
+        if r.at >= start + seconds:
+            start, count = r.at, 0
+        count += 1
+        out.append((r.event_id, count <= most, max(0, most - count)))
+    return out, start, count
+
+
+def fixed_window(hits: DataFrame, most: int, seconds: int) -> DataFrame:
+    """STM-06 in batch, of (key, event_id, at): a group is one key's hits."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(fold_window(pdf, float("-inf"), 0, most, seconds)[0], columns=["event_id", "admitted", "remaining"])
+
+    return hits.groupBy("key").applyInPandas(run, "event_id long, admitted boolean, remaining long")
+
+
+def fixed_window_stream(hits: DataFrame, most: int, seconds: int) -> DataFrame:
+    """STM-06 on a stream."""
+
+    def step(key, rows, held):
+        out, start, count = fold_window(rows, *(held or (float("-inf"), 0)), most, seconds)
+        return pd.DataFrame(out, columns=["event_id", "admitted", "remaining"]), (start, count)
+
+    return _stateful(hits, ["key"], "event_id long, admitted boolean, remaining long", "start double, count int", seconds, step)
+
+
+def memberships(events: DataFrame) -> DataFrame:
+    """STM-09 in batch, of (user_id, event_id, membership, kind, expires): the plan's end and whether it is still held.
+
+    An end of a membership that has been replaced is ignored; an expiry never moves back. Two aggregates, no fold.
+    """
+    newest = F.max_by("membership", F.struct("event_id")).alias("current")
+    now = events.where("kind <> 'end'").groupBy("user_id").agg(newest)
+    mine = events.join(now, "user_id").where("membership = current")
+    last = F.max_by("kind", "event_id")
+    return mine.groupBy("user_id", "current").agg(F.max("expires").alias("expires"), (last != "end").alias("held")).withColumnRenamed("current", "membership")
 
 
 def once_per_event(events: DataFrame, delay: str = "1 hour") -> DataFrame:
