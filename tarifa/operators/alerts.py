@@ -75,7 +75,7 @@ def fold_alerts(rows: pd.DataFrame, state: dict[str, tuple[bool, float, float]])
     an edge within the cooldown is swallowed until the condition has been false once. A state that is STATE_TTL old
     counts as inactive.
     """
-    sent, never = [], (False, float("-inf"), float("-inf"))
+    sent, never = [], (False, 0.0, 0.0)
     for event, group in rows.groupby("event_no", sort=True):
         rules = list(group.sort_values("rule_no").itertuples())
         now = rules[0].at
