@@ -78,7 +78,7 @@ def fold_alerts(rows: pd.DataFrame, state: dict[str, tuple[bool, float, float]])
     sent, never = [], (False, 0.0, 0.0)
     for event, group in rows.groupby("event_no", sort=True):
         rules = list(group.sort_values("rule_no").itertuples())
-        now = rules[0].at
+        now = float(rules[0].at)
         cooling = {r.rule_type: now < state.get(r.rule_type, never)[1] for r in rules}
         movement = [r.rule_type for r in rules if r.rule_type in MOVEMENT and r.fired and not cooling[r.rule_type]]
         winner = "PERCENTAGE_CHANGE" if "PERCENTAGE_CHANGE" in movement else movement[0] if movement else None

@@ -50,7 +50,7 @@ def fold_failures(rows: pd.DataFrame, run: int, last: float, length: int) -> tup
     out = []
     for r in rows.sort_values(["at", "event_id"]).itertuples():
         run = 0 if not r.failed else 1 if r.at - last >= FAILURE_TTL else run + 1
-        last = r.at
+        last = float(r.at)
         if run == length:
             out.append((r.event_id, r.at))
     return out, run, last
@@ -71,7 +71,7 @@ def fold_window(rows: pd.DataFrame, start: float, count: int, most: int, seconds
     out = []
     for r in rows.sort_values(["at", "event_id"]).itertuples():
         if r.at >= start + seconds:
-            start, count = r.at, 0
+            start, count = float(r.at), 0
         count += 1
         out.append((r.event_id, count <= most, max(0, most - count)))
     return out, start, count
