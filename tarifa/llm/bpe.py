@@ -30,6 +30,7 @@ from .common import let, settle
 BUCKETS = 1 << 18
 #: A part: rank << 44 | id, and for a moment its index << 20. Ids and ranks stay below 2**19, indices below 2**24.
 _PLACE, _RANK = 20, 44
+_MARK = "!"  # before the ids of a word that its decoding does not give back
 _NONE, _ID, _PLACES = (1 << 19) - 1, (1 << 20) - 1, (1 << 24) - 1
 #: White space of the tokenizer's pattern (Unicode White_Space), which Java's \s does not cover.
 _WHITE = r"\t-\r\x20\x85\xA0  -     　"
@@ -190,13 +191,23 @@ class Fold:
         return let(F.aggregate(rounds, zero, step), lambda s: F.when(s["lost"], self.ids(word)).otherwise(ids(s)))
 
     def code(self, word: Column) -> Column:
-        """(ids as comma-joined decimals, text) of a word: its encoding, and the decoding of that."""
-        def coded(ids: Column) -> Column:
-            decoded = F.decode(F.encode(self.decode(ids), "ISO-8859-1"), "UTF-8")
-            return F.struct(F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias("ids"), decoded.alias("text"))
+        """Ids of a word as comma-joined decimals, marked in front where their decoding is not the word."""
+        def coded(latin: Column) -> Column:
+            ids = F.when(F.char_length(latin) <= self.block, self.ids(latin)).otherwise(self.long_ids(latin))
+            text = lambda ids: F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
+            return let(ids, lambda ids: F.when(self.decode(ids) == latin, text(ids)).otherwise(F.concat(F.lit(_MARK), text(ids))))
 
-        ids = lambda w: F.when(F.char_length(w) <= self.block, self.ids(w)).otherwise(self.long_ids(w))
-        return let(let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ids), coded)
+        return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), coded)
+
+    def text(self, words: Column, code) -> Column:
+        """(ids, decoded) of the words of a text: words that their decoding gives back stand for it, others are decoded by their pieces."""
+        def whole(ids: Column) -> Column:
+            clean = F.replace(ids, F.lit(_MARK))
+            pieces = self.decode(F.transform(F.split(clean, ","), lambda i: i.cast("int")))
+            decoded = F.when(F.contains(ids, F.lit(_MARK)), F.encode(pieces, "ISO-8859-1")).otherwise(F.array_join(words, "").cast("binary"))
+            return F.struct(clean.alias("ids"), decoded.alias("decoded"))
+
+        return let(F.array_join(F.transform(words, code), ","), whole)
 
     def decode(self, ids: Column) -> Column:
         """Bytes (as Latin-1) of an array of ids: the concatenation of their binary pieces."""
@@ -257,15 +268,10 @@ def tokenise(
     tables = [bytes_.alias("_bytes"), pairs.alias("_pairs"), pieces.alias("_pieces")]
     bound = lambda body: let(F.col("_bytes"), lambda b: let(F.col("_pairs"), lambda r: let(F.col("_pieces"), lambda p: body(Fold(b, r, p, block)))))
     words = top.select("k", *tables).select("k", bound(lambda fold: fold.code(F.col("k"))).alias("v"))
-    # a word that its decoding gives back stands for its decoding, so the map needs no second copy of it
-    words = settle(words, "words").where(F.col("v")["text"] == F.col("k")).select("k", F.col("v")["ids"].alias("v"))
-    word_map = _packed(words, "frequent")
-    known = lambda ids, w: F.struct(ids.alias("ids"), w.alias("text"))
-    code = lambda fold, m, w: let(_get(m, w), lambda ids: F.when(ids.isNotNull(), known(ids, w)).otherwise(fold.code(w)))
-    coded = bound(lambda fold: let(F.col("_words"), lambda m: F.transform("_w", lambda w: code(fold, m, w))))
-    one = docs.select(*keep, found.alias("_w"), *tables, word_map.alias("_words"))
-    out = one.select(*keep, coded.alias("_c")).select(
-        *keep, F.array_join("_c.ids", ",").alias("ids"), F.array_join("_c.text", "").cast("binary").alias("decoded")
-    )
+    word_map = _packed(settle(words, "words"), "frequent")
+    code = lambda fold, m: lambda w: F.coalesce(_get(m, w), fold.code(w))
+    coded = bound(lambda fold: let(F.col("_words"), lambda m: let(F.col("_found"), lambda w: fold.text(w, code(fold, m)))))
+    one = docs.select(*keep, found.alias("_found"), *tables, word_map.alias("_words"))
+    out = one.select(*keep, coded.alias("_c")).select(*keep, "_c.ids", "_c.decoded")
     n = F.when(F.col("ids") == "", 0).otherwise(F.octet_length("ids") - F.octet_length(F.replace("ids", F.lit(","))) + 1)
     return out.select(*keep, n.cast("long").alias("n_tokens"), "ids", "decoded")
