@@ -33,41 +33,59 @@ def _removed(text: Column, pattern: str) -> Column:
     return (F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def repeat_words(ws: Column) -> Column:
+def repeat_words(ws: Column, hash_bits: int = 64 - _INDEX_BITS) -> Column:
     """Words covered by 3-word windows that occur twice or more in the text.
 
-    Window hashes and positions are packed in one long and sorted, so equal windows become neighbours; equal
-    hashes are confirmed on the words themselves.
+    Window hashes and positions are packed in one long and sorted, so equal windows become neighbours; equal hashes
+    are confirmed on the words themselves. In a text where two different windows share a hash, neighbours do not show
+    all equal windows, so its windows are sorted by their words instead. Fewer `hash_bits` force that (tests).
     """
     mask = (1 << _INDEX_BITS) - 1
+    place = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
+
+    def alike(w: Column, a: Column, b: Column) -> Column:
+        equal = F.get(w, a) == F.get(w, b)
+        for k in (1, 2):
+            equal = equal & (F.get(w, a + k) == F.get(w, b + k))
+        return equal
 
     def same(w: Column, a: Column, b: Column) -> Column:
-        i, j = a.bitwiseAND(F.lit(mask)).cast("int"), b.bitwiseAND(F.lit(mask)).cast("int")
-        equal = F.lit(True)
-        for k in range(3):
-            equal = equal & (F.get(w, i + k) == F.get(w, j + k))
-        return (F.shiftright(a, _INDEX_BITS) == F.shiftright(b, _INDEX_BITS)) & equal
+        return (F.shiftright(a, _INDEX_BITS) == F.shiftright(b, _INDEX_BITS)) & alike(w, place(a), place(b))
 
     def packed(w: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(w) - 3)
         window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+        if hash_bits < 64 - _INDEX_BITS:
+            full, window = window, lambda i: full(i).bitwiseAND(F.lit((1 << hash_bits) - 1))
         return F.sort_array(F.transform(at, lambda i: F.shiftleft(window(i), _INDEX_BITS).bitwiseOR(i.cast("long"))))
 
-    def covered(w: Column, s: Column) -> Column:
+    def by_words(w: Column) -> Column:
+        """Places of the windows that occur again, all windows sorted by their words."""
+        entry = lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("long").alias("i"))
+        equal = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+        again = lambda s: F.filter(s, lambda x, i: equal(x, F.get(s, i + 1)) | equal(x, F.get(s, i - 1)))
+        return let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), entry)), lambda s: F.transform(again(s), lambda x: x["i"]))
+
+    def by_hash(w: Column, s: Column) -> Column:
+        """Places of the windows that occur again, or null where two different windows share a hash."""
+        before = lambda i: F.get(s, i - 1)
+        clash = F.filter(s, lambda x, i: (
+            (F.shiftright(x, _INDEX_BITS) == F.shiftright(before(i), _INDEX_BITS)) & ~alike(w, place(x), place(before(i)))
+        ))
         again = F.filter(
             s,
             lambda x, i: F.coalesce(same(w, x, F.get(s, i + 1)), F.lit(False))
             | F.coalesce(same(w, x, F.get(s, i - 1)), F.lit(False)),
         )
-        starts = F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.lit(mask))))
+        return F.when(F.size(clash) == 0, F.transform(again, lambda x: x.bitwiseAND(F.lit(mask))))
+
+    def covered(places: Column) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last"))
         step = lambda a, x: F.struct((a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n"), x.alias("last"))
-        return F.aggregate(starts, zero, step, lambda a: a["n"])
+        return F.aggregate(F.sort_array(places), zero, step, lambda a: a["n"])
 
-    return let(
-        ws,
-        lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(packed(w), lambda s: covered(w, s))),
-    )
+    found = lambda w: F.coalesce(let(packed(w), lambda s: by_hash(w, s)), by_words(w))
+    return let(ws, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(covered(found(w))))
 
 
 def _shares(counts: list[Column]) -> Column:
