@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prices import is_plausible_change, pct_change
@@ -18,6 +18,17 @@ def moves(history: DataFrame, keys: list[str]) -> DataFrame:
     return h.withColumn("price_change_pct", pct_change(F.col("previous_price"), F.col("price")))
 
 
+def recent_moves(history: DataFrame, keys: list[str], since: Column) -> DataFrame:
+    """`moves` of the observations from `since` on: each series needs only its newest row before that besides them.
+
+    That row is a maximum with a map side, so the older history is neither shuffled nor sorted.
+    """
+    at, rest = F.col("scraped_at"), [c for c in history.columns if c not in keys]
+    before = history.where(at < since).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*ORDER)).alias("r")).select(*keys, "r.*")
+    recent = history.where(at >= since)
+    return moves(recent.unionByName(before.select(recent.columns)), keys).where(at >= since)
+
+
 def implausible(history: DataFrame, keys: list[str]) -> DataFrame:
     """NUM-02 over a series."""
     return moves(history, keys).where(~is_plausible_change(F.col("previous_price"), F.col("price")))

@@ -62,8 +62,9 @@ def _assessed(spark: SparkSession, d: str) -> DataFrame:
     return quality.assess(t.competitors(spark, d), t.tracked_products(spark, d), t.as_of())
 
 
-def _moves(spark: SparkSession, d: str) -> DataFrame:
-    return timeseries.moves(t.price_history(spark, d), ["product_id"])
+def _moves(spark: SparkSession, d: str, since: Column | None = None) -> DataFrame:
+    h = t.price_history(spark, d)
+    return timeseries.moves(h, ["product_id"]) if since is None else timeseries.recent_moves(h, ["product_id"], since)
 
 
 def _day() -> Column:
@@ -103,14 +104,14 @@ _RECENT = "scraped_at >= " + _DAY + " AND price_change_pct IS NOT NULL AND NOT (
 
 @query(f"SELECT product_id, price, price_change_pct FROM (SELECT * FROM m WHERE {_RECENT} QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY scraped_at DESC, l_orderkey DESC, l_linenumber DESC) = 1) ORDER BY abs(price_change_pct) DESC, product_id LIMIT 5", "m")
 def movers_top5(spark, d):
-    recent = _moves(spark, d).where((F.col("scraped_at") >= _day()) & F.col("price_change_pct").isNotNull() & ~(F.col("price_change") == 0))
+    recent = _moves(spark, d, _day()).where(F.col("price_change_pct").isNotNull() & ~(F.col("price_change") == 0))
     return timeseries.movers(recent).select("product_id", "price", "price_change_pct")
 
 
 @query(f"""SELECT product_id, price, price_change_pct FROM (SELECT * FROM (SELECT * FROM m WHERE {_RECENT} ORDER BY scraped_at DESC, l_orderkey DESC, l_linenumber DESC, product_id DESC LIMIT 50)
     QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY scraped_at DESC, l_orderkey DESC, l_linenumber DESC) = 1) ORDER BY abs(price_change_pct) DESC, product_id LIMIT 5""", "m")
 def movers_prelimit50(spark, d):
-    recent = _moves(spark, d).where((F.col("scraped_at") >= _day()) & F.col("price_change_pct").isNotNull() & ~(F.col("price_change") == 0))
+    recent = _moves(spark, d, _day()).where(F.col("price_change_pct").isNotNull() & ~(F.col("price_change") == 0))
     return timeseries.movers(recent, prelimit=50).select("product_id", "price", "price_change_pct")
 
 
@@ -130,12 +131,12 @@ def period_report(spark, d):
     day = t.as_of() - F.make_dt_interval(hours=F.lit(24))
     stale = t.tracked_products(spark, d).join(_last(spark, d), "product_id", "left").agg(F.count_if(F.col("last_scraped_at").isNull() | (F.col("last_scraped_at") < day)).alias("n"))
     pressed = quality.pressure(_assessed(spark, d)).agg(F.count_if(F.col("cheaper") > 0).alias("n"))
-    return reports.period_report(_moves(spark, d), t.as_of()).select("*", stale.scalar().alias("stale"), pressed.scalar().alias("pressure"))
+    return reports.period_report(_moves(spark, d, t.as_of() - F.make_dt_interval(days=F.lit(30))), t.as_of()).select("*", stale.scalar().alias("stale"), pressed.scalar().alias("pressure"))
 
 
 @query(f"SELECT product_id, count_if(price_change IS NOT NULL AND price_change <> 0) AS moves, max(abs(coalesce(price_change_pct, 0.0))) AS max_pct FROM m WHERE scraped_at >= {_DAY} GROUP BY product_id ORDER BY moves DESC, max_pct DESC, product_id LIMIT 5", "m")
 def most_moving_top5(spark, d):
-    return reports.most_moving(_moves(spark, d), _day())
+    return reports.most_moving(_moves(spark, d, _day()), _day())
 
 
 @query("""SELECT p.product_id, CAST(l.ts IS NULL OR l.ts < TIMESTAMP '2001-11-05' - INTERVAL 24 HOUR AS INT) + CAST(current_price IS NULL AS INT) + CAST(status = 'ERROR' AS INT) AS issue_score
@@ -157,7 +158,7 @@ def most_alerts_top5(spark, d):
     (SELECT count_if(o_orderkey % 3 <> 0) FROM orders) AS unread""", "pm")
 def dashboard_stats(spark, d):
     p = t.tracked_products(spark, d).agg(F.count("*").alias("products"), F.count_if(F.col("status") == "ACTIVE").alias("active"))
-    m = _moves(spark, d).where((F.col("scraped_at") > _day()) & F.col("price_change").isNotNull() & (F.col("price_change") != 0)).agg(F.count("*").alias("changes_24h"))
+    m = _moves(spark, d, _day()).where((F.col("scraped_at") > _day()) & F.col("price_change").isNotNull() & (F.col("price_change") != 0)).agg(F.count("*").alias("changes_24h"))
     n = t.notifications(spark, d).agg(F.count_if(~F.col("is_read")).alias("unread"))
     return p.select("*", m.scalar().alias("changes_24h"), n.scalar().alias("unread"))
 
@@ -311,11 +312,10 @@ _EVALUATED = """ec AS (SELECT product_id, scraped_at, list({'previous': previous
 def _evaluated(spark, d, since=None):
     """Every event of a product with each of its rules: event_no, at, rule_no, fired and what the rules look at."""
     h = t.price_history(spark, d)
-    rivals = timeseries.moves(h, ["product_id", "seller_id"]).where("previous_price IS NOT NULL")
+    pair = ["product_id", "seller_id"]
+    rivals = (timeseries.moves(h, pair) if since is None else timeseries.recent_moves(h, pair, since)).where("previous_price IS NOT NULL")
     rivals = rivals.groupBy("product_id", "scraped_at").agg(F.collect_list(F.struct(F.col("previous_price").alias("previous"), F.col("price").alias("current"))).alias("moves"))
-    m = _moves(spark, d)
-    if since is not None:
-        m, rivals = m.where(F.col("scraped_at") >= since), rivals.where(F.col("scraped_at") >= since)
+    m = _moves(spark, d, since)
     p, u = t.tracked_products(spark, d), t.users(spark, d)
     g = quality.pressure(_assessed(spark, d)).select("product_id", "min_price")
     none = F.array().cast(rivals.schema["moves"].dataType)
