@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,8 +78,9 @@ def fold_alerts(rows: pd.DataFrame, state: dict[str, tuple[bool, float, float]])
     counts as inactive.
     """
     sent, never = [], (False, 0.0, 0.0)
-    for event, group in rows.groupby("event_no", sort=True):
-        rules = list(group.sort_values("rule_no").itertuples())
+    ordered = rows.sort_values(["event_no", "rule_no"]).itertuples()
+    for event, group in groupby(ordered, key=lambda r: r.event_no):
+        rules = list(group)
         now = float(rules[0].at)
         cooling = {r.rule_type: now < state.get(r.rule_type, never)[1] for r in rules}
         movement = [r.rule_type for r in rules if r.rule_type in MOVEMENT and r.fired and not cooling[r.rule_type]]
