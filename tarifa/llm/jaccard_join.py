@@ -29,7 +29,7 @@ from .components import components
 
 TOKENS = 64
 _EMPTY = 0xFFFFFFFF
-_C, _DEEPER = 1.25, 1.5  # paths that a pair at the threshold shares at the first level, and for each split
+_C, _DEEPER = 1.25, 1.25  # paths that a pair at the threshold shares at the first level, and for each split
 
 
 def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -138,8 +138,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             row, child = _chosen(batch.column("path").to_numpy().view(np.uint64), _signatures(batch.column("sig")), _DEEPER)
-            row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("node").take(row), batch.column("sig").take(row)], names=["path", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("node").take(pa.array(row))], names=["path", "node"])
 
 
 def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +221,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"node": [], "label": [], "links": [], "tiled": []})
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = 0.9999, small: int = 48, levels: int = 4, tile: int = 1000, stays: bool = False) -> DataFrame:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = 0.9999, small: int = 48, levels: int = 3, tile: int = 1000, stays: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id, class_id (least id of its class), class_size, n_links.
 
     Two texts are linked when their sets of five-word shingles (words split at white space, A-Z as a-z; a text of
@@ -246,9 +245,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: fl
     for depth in range(levels + 1):
         sizes = settle(level.groupBy(F.col("path").alias("k")).agg(F.count("*").alias("size"), F.min("node").alias("low")).where("size > 1"), "buckets")
         # both sides of these joins grow with the input: they are merged by shuffle at every size
-        rows = level.hint("merge").join(sizes, F.col("path") == F.col("k"))
-        if depth == 0:
-            rows = rows.hint("merge").join(sigs, F.col("node") == F.col("s_node"))
+        rows = level.hint("merge").join(sizes, F.col("path") == F.col("k")).hint("merge").join(sigs, F.col("node") == F.col("s_node"))
         rows = settle(rows.select("path", "node", "sig", "size", "low"), "rows")
         few = rows.where(F.col("size") <= small).select("path", "node", "sig").repartition("path").sortWithinPartitions("path")
         edges.append(settle(few.mapInArrow(_matches(0.6), "u long, v long").distinct(), "pairs"))
@@ -263,7 +260,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: fl
         edges.append(peeled.where("near" if depth < levels else "true").select(F.col("low").alias("u"), F.col("node").alias("v")))
         if depth < levels:
             deeper = peeled.where("NOT peeled").select(F.explode("paths").alias("path"), "node", "sig")
-            level = settle(deeper.mapInArrow(_split, "path long, node long, sig binary"), "paths")
+            level = settle(deeper.mapInArrow(_split, "path long, node long"), "paths")
     all_edges = edges[0]
     for e in edges[1:]:
         all_edges = all_edges.unionByName(e)
