@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The contract's white space; a word is a run of other characters.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -38,16 +39,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    With `free` the driver collects its garbage then, once its listeners have seen the end of the job: Spark deletes the
-    shuffle files of a finished plan only when nothing on the driver refers to it any more, and a large one would lie
-    beside the next.
+    With `free` Spark deletes the shuffle files of this write at its end; otherwise they lie beside the next plan's until
+    the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
     if free:
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-        spark.sparkContext._jvm.System.gc()
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
