@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import groupby
+from collections.abc import Iterator, MutableMapping, Sequence
+from itertools import chain, groupby
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,9 +18,9 @@ def resolve_rules(rules: DataFrame, products: DataFrame) -> DataFrame:
     """
     p = products.select("product_id", "user_id")
     own = rules.where("product_id IS NOT NULL")
-    everyone = rules.where("product_id IS NULL AND is_active").select("user_id", "rule_type")
-    globals_ = p.join(everyone, "user_id").select("product_id", "rule_type").join(own.select("product_id", "rule_type"), ["product_id", "rule_type"], "left_anti")
-    mine = own.where("is_active").join(p, ["product_id", "user_id"], "left_semi").select("product_id", "rule_type")
+    everyone = rules.where("product_id IS NULL AND is_active").select("user_id", "rule_type", "rule_id")
+    globals_ = p.join(everyone, "user_id").select("product_id", "rule_type", "rule_id").join(own.select("product_id", "rule_type"), ["product_id", "rule_type"], "left_anti")
+    mine = own.where("is_active").join(p, ["product_id", "user_id"], "left_semi").select("product_id", "rule_type", "rule_id")
     return mine.withColumn("scope", F.lit("product")).unionByName(globals_.withColumn("scope", F.lit("account")))
 
 
@@ -68,45 +70,65 @@ def fires(rule: Column, threshold: Column, direction: Column, margin: Column, ch
 STATE_TTL = 14 * 86400
 
 
-def fold_alerts(rows: pd.DataFrame, state: dict[str, tuple[bool, float, float]]) -> list[tuple[int, str]]:
-    """ALR-06, STM-03, STM-04 for one product: (event, rule) of the alerts that go out, in order of events and rules.
+def send(rules: list, state: MutableMapping[str, tuple[bool, float, float]]) -> list:
+    """ALR-06, STM-03, STM-04 for one event: those of its rules (in order) whose alerts go out.
 
-    `state` holds for each rule whether its condition held (level rules), until when its cooldown lasts and when it
-    was last looked at; it is updated. Of the movement rules that fire and may be sent one wins: PERCENTAGE_CHANGE, or else the
-    first. A level rule is sent when its condition becomes true; that moves the state before the cooldown is asked, so
-    an edge within the cooldown is swallowed until the condition has been false once. A state that is STATE_TTL old
-    counts as inactive.
+    `state` holds for each rule id whether its condition held (level rules), until when its cooldown lasts and when it
+    was last looked at; it is updated. Of the movement rules that fire and may be sent one wins: PERCENTAGE_CHANGE, or
+    else the first. A level rule is sent when its condition becomes true; that moves the state before the cooldown is
+    asked, so an edge within the cooldown is swallowed until the condition has been false once. A state that is
+    STATE_TTL old counts as inactive.
     """
-    sent, never = [], (False, 0.0, 0.0)
-    ordered = rows.sort_values(["event_no", "rule_no"]).itertuples()
-    for event, group in groupby(ordered, key=lambda r: r.event_no):
-        rules = list(group)
-        now = float(rules[0].at)
-        cooling = {r.rule_type: now < state.get(r.rule_type, never)[1] for r in rules}
-        movement = [r.rule_type for r in rules if r.rule_type in MOVEMENT and r.fired and not cooling[r.rule_type]]
-        winner = "PERCENTAGE_CHANGE" if "PERCENTAGE_CHANGE" in movement else movement[0] if movement else None
-        for r in rules:
-            if r.rule_type in MOVEMENT and winner is not None and r.rule_type != winner:
-                continue
-            active, until, seen = state.get(r.rule_type, never)
-            alert = bool(r.fired)
-            if r.rule_type in LEVEL:
-                alert, active = alert and not (active and now - seen < STATE_TTL), bool(r.fired)
-            if alert and not cooling[r.rule_type]:
-                until = now + max(60, int(r.cooldown_minutes * 60))
-                sent.append((event, r.rule_type))
-            state[r.rule_type] = (active, until, now)
+    now, sent = float(rules[0].at), []
+    held = {r.rule_id: state.get(r.rule_id, (False, 0.0, 0.0)) for r in rules}
+    movement = [r for r in rules if r.rule_type in MOVEMENT and r.fired and now >= held[r.rule_id][1]]
+    winner = next((r for r in movement if r.rule_type == "PERCENTAGE_CHANGE"), movement[0] if movement else None)
+    for r in rules:
+        if r.rule_type in MOVEMENT and winner is not None and r.rule_id != winner.rule_id:
+            continue
+        active, until, seen = held[r.rule_id]
+        alert = bool(r.fired) and now >= until
+        if r.rule_type in LEVEL:
+            alert, active = alert and not (active and now - seen < STATE_TTL), bool(r.fired)
+        if alert:
+            until = now + max(60, int(r.cooldown_minutes * 60))
+            sent.append(r)
+        state[r.rule_id] = (active, until, now)
     return sent
 
 
-def alerts_sent(evaluated: DataFrame) -> DataFrame:
-    """The alerts of every product, from (product_id, event_no, at seconds, rule_no, rule_type, fired, cooldown_minutes); a group is one product."""
+def sent_schema(event: Sequence[str]) -> str:
+    return ", ".join(["product_id long", *(f"{c} long" for c in event), "rule_id string", "rule_type string"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = fold_alerts(pdf, {})
-        return pd.DataFrame({"product_id": pdf["product_id"].iloc[0], "event_no": [e for e, _ in found], "rule_type": [r for _, r in found]})
 
-    return evaluated.groupBy("product_id").applyInPandas(run, "product_id long, event_no long, rule_type string")
+def sent_frame(sent: list, event: Sequence[str]) -> pd.DataFrame:
+    """Typed columns, also when nothing is sent."""
+    longs = {c: pd.Series([getattr(r, c) for r in sent], dtype="int64") for c in ("product_id", *event)}
+    return pd.DataFrame(longs | {c: pd.Series([getattr(r, c) for r in sent], dtype="object") for c in ("rule_id", "rule_type")})
+
+
+def alerts_sent(evaluated: DataFrame, event: Sequence[str] = ("event_no",)) -> DataFrame:
+    """The alerts of every product, from (product_id, *event, at seconds, rule_no, rule_id, rule_type, fired, cooldown_minutes).
+
+    `event` names the columns that tell apart and order the events of one second. Products are sorted by Spark and run
+    through batch by batch, with the state of one product at a time, so no product is held whole.
+    """
+    keys = ["product_id", "at", *event]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = chain.from_iterable(b.itertuples(index=False) for b in batches)
+        product, state, sent = None, {}, []
+        for key, group in groupby(rows, key=attrgetter(*keys)):
+            if key[0] != product:
+                product, state = key[0], {}
+            sent += send(list(group), state)
+            if len(sent) >= 10_000:
+                yield sent_frame(sent, event)
+                sent = []
+        yield sent_frame(sent, event)
+
+    ordered = evaluated.repartition("product_id").sortWithinPartitions(*keys, "rule_no", "rule_id")
+    return ordered.mapInPandas(run, sent_schema(event))
 
 
 def delivery_summary(deliveries: DataFrame, key: str) -> DataFrame:

@@ -43,7 +43,7 @@ _NEEDS = {"c": "h", "m": "h", "a": "hcp", "g": "hcpa"}
 
 def _with(names: str, body: str) -> str:
     wanted = {x for n in names for x in _NEEDS.get(n, "") + n}
-    return "WITH " + ", ".join(v for k, v in _CTE.items() if k in wanted) + " " + body  # a body may go on with views of its own
+    return "WITH RECURSIVE " + ", ".join(v for k, v in _CTE.items() if k in wanted) + " " + body  # a body may go on with views of its own
 
 
 def query(sql: str | None = None, views: str = ""):
@@ -295,7 +295,7 @@ _RULES = """r AS (SELECT c_custkey AS user_id, NULL::BIGINT AS product_id, unnes
 
 @query(", " + _RULES + " SELECT * FROM rr", "p")
 def resolve_rules(spark, d):
-    return alerts.resolve_rules(t.alert_rules(spark, d), t.tracked_products(spark, d))
+    return alerts.resolve_rules(t.alert_rules(spark, d), t.tracked_products(spark, d)).drop("rule_id")
 
 
 #: Thresholds of rules by type, the side of PRICE_THRESHOLD by product, and competitors' moves of the same product and second.
@@ -334,16 +334,33 @@ def alert_candidates(spark, d):
     return _evaluated(spark, d, _day()).where("fired").select("product_id", "l_orderkey", "l_linenumber", "rule_type")
 
 
-@query()
+#: The fold of one product's events in order as a recursion: `st` holds for each rule, in the rules' order, whether it
+#: was active, until when it cools down and when it was last looked at.
+_FOLD = """, es AS (SELECT product_id, scraped_at, epoch(scraped_at) AS sec, l_orderkey, l_linenumber, rule_type, fired, CASE WHEN rr.scope = 'product' THEN 'p' || product_id ELSE 'u' || user_id END || ':' || rule_type AS rule_id,
+      list_position(['PRICE_DROP', 'PRICE_INCREASE', 'PRICE_THRESHOLD', 'PERCENTAGE_CHANGE', 'OUT_OF_STOCK', 'BACK_IN_STOCK', 'COMPETITOR_CHEAPER', 'COMPETITOR_PRICE_CHANGE', 'LOW_MARGIN'], rule_type) + CASE WHEN rr.scope = 'product' THEN 0 ELSE 100 END AS rule_no
+      FROM e1 JOIN rr USING (product_id, rule_type) WHERE scraped_at >= TIMESTAMP '2001-11-03'),
+    eg AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY sec, l_orderkey, l_linenumber) AS n FROM (SELECT product_id, sec, l_orderkey, l_linenumber, list({'id': rule_id, 'kind': rule_type, 'fired': fired} ORDER BY rule_no) AS rules FROM es GROUP BY ALL)),
+    f AS (SELECT product_id, 0::BIGINT AS n, 0::BIGINT AS l_orderkey, 0::BIGINT AS l_linenumber, list_transform(rules, lambda r: {'active': false, 'until': 0.0::DOUBLE, 'seen': 0.0::DOUBLE, 'sent': false, 'id': r.id, 'kind': r.kind}) AS st FROM eg WHERE n = 1
+      UNION ALL SELECT g.product_id, g.n, g.l_orderkey, g.l_linenumber, list_transform(g.ok, lambda o, i: CASE
+        WHEN o.kind IN ('PRICE_DROP', 'PRICE_INCREASE', 'PERCENTAGE_CHANGE') AND g.winner > 0 AND i <> g.winner THEN {'active': o.active, 'until': o.until, 'seen': o.seen, 'sent': false, 'id': o.id, 'kind': o.kind}
+        ELSE {'active': CASE WHEN o.kind IN ('PRICE_THRESHOLD', 'COMPETITOR_CHEAPER', 'LOW_MARGIN') THEN o.fired ELSE o.active END,
+          'until': CASE WHEN o.alert THEN g.sec + CASE WHEN o.kind = 'OUT_OF_STOCK' THEN 7200 ELSE 1800 END ELSE o.until END, 'seen': g.sec, 'sent': o.alert, 'id': o.id, 'kind': o.kind} END)
+      FROM (SELECT *, coalesce(nullif(list_position(list_transform(ok, lambda o: o.free AND o.fired AND o.kind = 'PERCENTAGE_CHANGE'), true), 0), list_position(list_transform(ok, lambda o: o.free AND o.fired AND o.kind IN ('PRICE_DROP', 'PRICE_INCREASE')), true), 0) AS winner FROM
+        (SELECT eg.*, list_transform(eg.rules, lambda r, i: {'id': r.id, 'kind': r.kind, 'fired': r.fired, 'active': f.st[i].active, 'until': f.st[i].until, 'seen': f.st[i].seen, 'free': eg.sec >= f.st[i].until,
+          'alert': r.fired AND eg.sec >= f.st[i].until AND NOT (r.kind IN ('PRICE_THRESHOLD', 'COMPETITOR_CHEAPER', 'LOW_MARGIN') AND f.st[i].active AND eg.sec - f.st[i].seen < 1209600)}) AS ok FROM f JOIN eg ON eg.product_id = f.product_id AND eg.n = f.n + 1)) g)
+    SELECT product_id, l_orderkey, l_linenumber, s.id AS rule_id, s.kind AS rule_type FROM (SELECT product_id, l_orderkey, l_linenumber, unnest(list_filter(st, lambda o: o.sent)) AS s FROM f WHERE n > 0)"""
+
+
+@query(", " + _RULES + ", " + _EVALUATED + _FOLD, "mpgu")
 def alerts_sent(spark, d):
-    """ALR-06, STM-03, STM-04: the alerts of two days, folded by product; tested against a plain version."""
+    """ALR-06, STM-03, STM-04: the alerts of two days, folded by product."""
     e = _evaluated(spark, d, t.as_of() - F.make_dt_interval(hours=F.lit(48)))
     at = F.unix_seconds(F.col("scraped_at").cast("timestamp"))
-    event = at * 1_000_000 + F.col("l_orderkey") % 100_000 * 10 + F.col("l_linenumber")
     cooldown = F.when(F.col("rule_type") == "OUT_OF_STOCK", 120).otherwise(30)
     order = F.array_position(F.array(*[F.lit(r) for r in t.RULE_TYPES]), F.col("rule_type")) + F.when(F.col("scope") == "product", 0).otherwise(100)
-    e = e.select("product_id", event.alias("event_no"), at.alias("at"), order.alias("rule_no"), "rule_type", "fired", cooldown.alias("cooldown_minutes"))
-    return alerts.alerts_sent(e)
+    event = ["l_orderkey", "l_linenumber"]
+    e = e.select("product_id", *event, at.alias("at"), order.alias("rule_no"), "rule_id", "rule_type", "fired", cooldown.alias("cooldown_minutes"))
+    return alerts.alerts_sent(e, event)
 
 
 @query(f"SELECT product_id, count(*) AS events, count_if(price_change <> 0) AS price_events, count_if(previous_stock <> in_stock) AS stock_events FROM m WHERE price_change <> 0 OR previous_stock <> in_stock GROUP BY product_id", "m")

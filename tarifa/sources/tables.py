@@ -91,7 +91,8 @@ def alert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = read(spark, sf_dir, "part").where("p_partkey % 13 = 0").select(
         (F.col("p_partkey") % 50).alias("user_id"), F.col("p_partkey").alias("product_id"), F.lit("PRICE_DROP").alias("rule_type"), (F.col("p_partkey") % 26 != 0).alias("is_active")
     )
-    return everyone.unionByName(own)
+    owner = F.when(F.col("product_id").isNull(), F.concat(F.lit("u"), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("p"), F.col("product_id").cast("string")))
+    return everyone.unionByName(own).withColumn("rule_id", F.concat_ws(":", owner, "rule_type"))
 
 
 #: Hosts of listings' URLs, some of which only hold a known domain's name.

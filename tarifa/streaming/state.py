@@ -6,14 +6,16 @@ stream keeps the state between batches and forgets a key after a time without ro
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.alerts import STATE_TTL, fold_alerts
+from ..operators.alerts import STATE_TTL, send, sent_frame, sent_schema
 
 FAILURE_TTL = 7 * 86400
 
@@ -33,16 +35,16 @@ def _stateful(rows: DataFrame, keys: list[str], output: str, state: str, ttl: in
     return rows.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def alerts_stream(evaluated: DataFrame) -> DataFrame:
-    """Alerts that go out, of a stream of (product_id, event_no, at, rule_no, rule_type, fired, cooldown_minutes); state by rule."""
+def alerts_stream(evaluated: DataFrame, event: Sequence[str] = ("event_no",)) -> DataFrame:
+    """Alerts that go out, of a stream of (product_id, *event, at, rule_no, rule_id, rule_type, fired, cooldown_minutes); state by rule."""
 
     def step(key, rows, held):
         state = {r: (a, s, t) for r, a, s, t in zip(*held)} if held else {}
-        found = fold_alerts(rows, state)
-        out = pd.DataFrame({"product_id": key[0], "event_no": [e for e, _ in found], "rule_type": [r for _, r in found]})
-        return out, (list(state), *([v[i] for v in state.values()] for i in range(3)))
+        ordered = rows.sort_values(["at", *event, "rule_no", "rule_id"]).itertuples(index=False)
+        found = [r for _, g in groupby(ordered, key=attrgetter("at", *event)) for r in send(list(g), state)]
+        return sent_frame(found, event), (list(state), *([v[i] for v in state.values()] for i in range(3)))
 
-    return _stateful(evaluated, ["product_id"], "product_id long, event_no long, rule_type string", "rule array<string>, active array<boolean>, until array<double>, seen array<double>", STATE_TTL, step)
+    return _stateful(evaluated, ["product_id"], sent_schema(event), "rule array<string>, active array<boolean>, until array<double>, seen array<double>", STATE_TTL, step)
 
 
 def fold_failures(rows: pd.DataFrame, run: int, last: float, length: int) -> tuple[list, int, float]:

@@ -10,6 +10,7 @@ import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SMALL = "/root/testdata/sf0.001"
+MEDIUM = "/root/testdata/sf0.01"
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:

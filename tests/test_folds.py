@@ -52,18 +52,18 @@ def random_events(n, seed):
     r = random.Random(seed)
     kinds = sorted(LEVEL | MOVES | {"OUT_OF_STOCK"})
     return [
-        {"product_id": p, "event_no": e, "at": e * 400, "rule_no": i, "rule_type": k, "fired": r.random() < 0.4, "cooldown_minutes": r.choice([0, 10, 30])}
+        {"product_id": p, "event_no": e, "at": e * 400, "rule_no": i, "rule_id": k, "rule_type": k, "fired": r.random() < 0.4, "cooldown_minutes": r.choice([0, 10, 30])}
         for p in range(4) for e in range(n) for i, k in enumerate(kinds)
     ]
 
 
-EVENTS = "product_id long, event_no long, at long, rule_no int, rule_type string, fired boolean, cooldown_minutes int"
+EVENTS = "product_id long, event_no long, at long, rule_no int, rule_id string, rule_type string, fired boolean, cooldown_minutes int"
 
 
 def test_alerts_batch_and_stream(spark, tmp_path):
     rows = random_events(40, 1)
     d = spark.createDataFrame(rows, EVENTS)
-    want = {(p, e, k) for p in range(4) for e, k in plain_alerts([r for r in rows if r["product_id"] == p])}
+    want = {(p, e, k, k) for p in range(4) for e, k in plain_alerts([r for r in rows if r["product_id"] == p])}
     assert {tuple(r) for r in alerts.alerts_sent(d).collect()} == want
     # the same in four batches of a stream, the state kept between them
     for i in range(4):
@@ -74,9 +74,13 @@ def test_alerts_batch_and_stream(spark, tmp_path):
     assert {tuple(r) for r in spark.table("sent").collect()} == want
 
 
-def test_alerts_sent_query(spark):
-    got = {tuple(r) for r in registry.QUERIES["alerts_sent"](spark, oracle.SMALL).collect()}
-    assert got and all(k in {*LEVEL, *MOVES, "OUT_OF_STOCK", "BACK_IN_STOCK", "COMPETITOR_PRICE_CHANGE"} for _, _, k in got)
+def test_alerts_of_groups_that_send_nothing(spark):
+    """A group without alerts, and two rules of one type, each with its own cooldown and edge."""
+    row = lambda e, at, no, rule, fired: (7, e, at, no, rule, "LOW_MARGIN", fired, 30)
+    quiet = spark.createDataFrame([(1, 1, 0, 1, "a", "PRICE_DROP", False, 0)], EVENTS)
+    assert alerts.alerts_sent(quiet).collect() == [] and alerts.alerts_sent(quiet.where("false")).collect() == []
+    both = spark.createDataFrame([row(1, 0, 1, "x", True), row(1, 0, 2, "y", False), row(2, 10, 1, "x", True), row(2, 10, 2, "y", True)], EVENTS)
+    assert [tuple(r) for r in alerts.alerts_sent(both.unionByName(quiet)).collect()] == [(7, 1, "x", "LOW_MARGIN"), (7, 2, "y", "LOW_MARGIN")]
 
 
 def test_failures_expire(spark):

@@ -16,7 +16,12 @@ def test_query_agrees_with_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(price.QUERIES) - set(price.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
-    assert price.QUERIES[name](spark, oracle.SMALL).columns
+    price.QUERIES[name](spark, oracle.MEDIUM).write.format("noop").mode("overwrite").save()
+
+
+def test_stateful_query_on_more_rows(spark):
+    """Groups that send nothing and products with several events in one second come only with more rows."""
+    assert oracle.compare(spark, price.QUERIES["alerts_sent"], price.ORACLE_SQL["alerts_sent"], oracle.MEDIUM) == ""
 
 
 def test_entry(spark):
