@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chain_dedup, exact_dedup, jaccard_join, license_scan, mixing, pii, quality_rules, site_quality, suffix_dedup
+from . import bpe, chain_dedup, exact_dedup, importance, jaccard_join, license_scan, mixing, pii, quality_rules, site_quality, suffix_dedup
 from .common import table
 
 
@@ -65,9 +65,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 _ALL = (
     op1_quality_rules, op2_pii, op3_license_scan, op4_exact_dedup, op5_site_quality,
     op6_suffix_dedup, op7_mixing, op8_chain_dedup, op9_byte_bpe, op10_jaccard_join,
+    op11_importance_resampling,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
