@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chain_dedup, exact_dedup, importance, jaccard_join, license_scan, mixing, pii, quality_rules, site_quality, suffix_dedup
+from . import bpe, chain_dedup, conversations, decontaminate, exact_dedup, importance, jaccard_join, license_scan, mixing, pii, quality_rules, site_quality, suffix_dedup
 from .common import table
 
 
@@ -69,10 +69,21 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.summary(turns, conversations.damage(turns))
+
+
 _ALL = (
     op1_quality_rules, op2_pii, op3_license_scan, op4_exact_dedup, op5_site_quality,
     op6_suffix_dedup, op7_mixing, op8_chain_dedup, op9_byte_bpe, op10_jaccard_join,
-    op11_importance_resampling,
+    op11_importance_resampling, op12_decontamination, op13_conversation_repair,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -83,4 +94,16 @@ ORACLE_SQL: dict[str, str] = {
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
     """,
+    "op12_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+             b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+             x AS (SELECT item, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda i: array_to_string(w[i:i + 9], ' '))) AS win FROM b WHERE len(w) > 0),
+             p AS (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+             q AS (SELECT row, i, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM p, (SELECT DISTINCT size FROM x) WHERE i + size - 1 <= len(w)),
+             m AS (SELECT DISTINCT row, i, q.size, item FROM q JOIN x ON q.win = x.win AND q.size = x.size),
+             h AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS k FROM m) GROUP BY row),
+             t AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM m) GROUP BY row)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN h USING (row) LEFT JOIN t USING (row)
+    """,
 }
