@@ -1,4 +1,4 @@
 """All queries of the price side and their SQL."""
 
-from . import catalog, extract, labels, linkage, queries, streams  # noqa: F401  importing a module registers its queries
+from . import catalog, extract, labels, linkage, queries, sites, streams  # noqa: F401  importing a module registers its queries
 from .queries import ORACLE_SQL, QUERIES  # noqa: F401

@@ -153,3 +153,49 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     digit = (1 + k % 9).cast("string")
     block = F.replace(F.element_at(F.array(*[F.lit(b) for b in PAGE_BLOCKS]), (1 + k % len(PAGE_BLOCKS)).cast("int")), F.lit("%d"), digit)
     return read(spark, sf_dir, "pages").select("page_id", "url", F.concat("html", block).alias("html"))
+
+
+SHOPS = ["trendyol", "hepsiburada", "amazon", "mediamarkt", "pttavm", "n11"]
+#: Four blocks for each shop, as its pages hold them: also prices of other products, blank labels and later selectors first.
+SHOP_BLOCKS = [
+    # trendyol
+    '<div class="pr-new-br"><h1> Lamp <b>%d</b> </h1></div><span class="prc-slg x">9,99 TL</span><div class="a prc-dsc b">1.2%d9,90 TL</div><a class="merchant-text">Shop %d</a><div class="base-product-image"><p>x</p><img src="/i/%d.jpg"></div>',
+    '<h1 class="product-name">Desk %d</h1><div class="product-price-container"><s>80 TL</s><span class="prc-slg">7%d,50 TL</span></div><b class="seller-name">Seller %d</b><button class="out-of-stock-btn">x</button><img class="detail-section-img" src="/d/%d.jpg">',
+    '<script type="application/ld+json">{"@type":"Product","name":"Chair %d","image":"/c/%d.jpg","offers":{"price":"3%d.5","availability":"OutOfStock","seller":{"name":"Ld %d"}}}</script><div class="prc-dsc">1 TL</div>',
+    '<script type="application/ld+json">{"@type":"Product","name":"Group %d","image":"/g/%d.jpg","offers":{"price":"0","seller":{"name":"Ld %d"}}}</script><div class="prc-dsc"> </div><div class="product-price-container"><span class="prc-slg">4%d TL</span></div>',
+    # hepsiburada
+    '<h1 id="product-name">Pan %d - Hepsiburada deals</h1><i data-test-id="price">99 TL</i><i data-test-id="default-price"> </i><i data-test-id="price-current-price">2%d,9 TL</i><i data-test-id="merchant-name">Pans %d</i><img itemprop="image" src="/p/%d.jpg">',
+    '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"product":{"name":"Pot %d","price":{"value":0,"discountedPrice":"1.4%d9,50"},"sellingPrice":7,"images":[{"url":"/pot/%d.jpg"}],"merchant":{"name":"Pots %d"},"stock":0}}}}</script><i data-test-id="price">5 TL</i>',
+    '<b data-bind="text: currentPriceValue">yok</b><b class="price-value">88 TL</b><script>window.x = {"salePrice": 1%d.25, "finalPrice": 3};</script><div class="product-image"><em><img src="/s/%d.jpg"></em></div><p>Tükendi</p>',
+    '<meta name="description" content="Only 1.0%d0,25 TL today"><meta property="og:price:amount" content=""><script>var y = {"finalPrice": 77};</script><i data-test-id="seller-name">Desc %d</i>',
+    # amazon
+    '<div class="a-price"><span class="a-offscreen">926,00 TL</span></div><span id="productTitle">  Fryer %d </span><div id="corePrice_feature_div"><div class="a-price"><span class="a-offscreen">9.5%d0,00 TL</span></div></div><a id="sellerProfileTriggerId">FRY %d</a><img id="landingImage" src="/f/%d.jpg"><div id="availability"> Stokta var </div>',
+    '<span id="productTitle">Radio %d</span><div id="corePrice_feature_div"> </div><div class="a-price"><span class="a-offscreen">5%d TL</span></div><div id="availability"><span>Şu anda mevcut değil.</span></div><div id="merchantInfo">Sold   by %d</div>',
+    '<span id="productTitle">Phone %d</span><div id="apex_desktop"><i class="a-price"><u class="a-offscreen">yok</u></i></div><b id="priceblock_dealprice">33,3%d TL</b><div id="merchantInfoFeature_feature_div">Satıcı Store%d  more</div><div id="imgTagWrapperId"><img src="/w/%d.jpg"></div>',
+    '<div class="a-price"><span class="a-offscreen">12,00 TL</span></div><span id="productTitle">Cable %d</span><div id="outOfStock">x</div><meta property="og:image" content="/og/%d.jpg">',
+    # mediamarkt
+    '<h1 data-test="product-title">Tv %d</h1><b class="price">1 TL</b><b data-test="product-price">8.%d00,00 TL</b><b data-test="branded-price-whole-value">7.%d00,00 TL</b><i data-test="marketplace-seller-name">Tvs %d</i><img data-test="product-image" src="/tv/%d.jpg">',
+    '<h1 data-test="mms-product-name">Sound %d</h1><b data-test="product-price"> </b><i itemprop="price" content="6%d.50"></i><i data-test="sold-and-shipped-by">MM %d</i><img data-test="product-image" data-src="/so/%d.jpg"><p>ürün tükendi</p>',
+    '<script type="application/ld+json">{"@type":"Product","name":"Fridge %d","image":["/fr/%d.jpg"],"offers":[{"price":"5%d1","availability":"InStock","seller":{"name":"Cold %d"}}]}</script><b class="price">1 TL</b><p>stokta yok</p>',
+    '<b class="big price">3%d,00 TL</b><meta property="og:image" content="/mm/%d.jpg">',
+    # pttavm
+    '<h1 class="product-title">Tea %d</h1><i data-price="99"></i><b class="productPrice">2%d,40 TL</b>',
+    '<b class="x-ProductName-y">Cup %d</b><i data-price="1%d,75"></i><meta property="og:image" content="/cup/%d.jpg"><p>Tükendi</p>',
+    '<h1 class="product-name">Jar %d</h1><i data-product-price="4%d"></i><b class="Price__current-1"> </b>',
+    '<h1 class="product-name">Box %d</h1><meta property="product:price:amount" content="5%d,5"><b class="product-price-new">fiyat yok</b>',
+    # n11
+    '<h1 class="proName">Shoe %d</h1><div class="priceContainer"><ins>9 TL</ins></div><div class="newPrice"><p><ins>1.1%d0,00 TL</ins></p></div><script type="application/ld+json">{"@type":"Product","name":"Shoe ld %d","offers":{"@type":"AggregateOffer","lowPrice":"1%d"}}</script><link rel="canonical" href="https://x/y?magaza=shop%d&a=1">',
+    '<h1 class="proName">Sock %d</h1><div class="priceContainer"><ins>2%d,00 TL</ins></div><div class="unf-p-sellerInfo"><a> Socks %d </a></div><img class="imgObj" data-original="/so/%d.jpg"><p>Stokta yok</p>',
+    '<script type="application/ld+json">{"@type":"Product","name":"Hat %d","image":"/hat/%d.jpg","offers":{"@type":"AggregateOffer","lowPrice":"3%d,5"}}</script><meta property="og:url" content="https://x/z?b=1&magaza=hats-%d">',
+    '<div class="newPrice"> </div><ins>5 TL</ins>',
+]
+
+
+def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of known shops: every page with one of its shop's blocks at its end."""
+    k = F.col("page_id")
+    digit = (1 + k % 9).cast("string")
+    at = k % len(SHOPS) * 4 + F.floor(k / len(SHOPS)) % 4
+    block = F.replace(F.element_at(F.array(*[F.lit(b) for b in SHOP_BLOCKS]), (1 + at).cast("int")), F.lit("%d"), digit)
+    site = F.element_at(F.array(*[F.lit(s) for s in SHOPS]), (1 + k % len(SHOPS)).cast("int"))
+    return read(spark, sf_dir, "pages").select("page_id", site.alias("site"), F.concat("html", block).alias("html"))
