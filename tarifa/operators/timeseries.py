@@ -44,11 +44,17 @@ def movers(changes: DataFrame, k: int = 5, prelimit: int | None = None) -> DataF
     return last.orderBy(F.abs(F.col("price_change_pct")).desc(), "product_id").limit(k)
 
 
-def daily(history: DataFrame) -> DataFrame:
-    """AGG-14: last price of the day of each seller, then least and mean by day (an exact sum, so the order of rows doesn't matter)."""
-    last = history.groupBy("product_id", F.to_date("scraped_at").alias("day"), "seller_id").agg(F.max_by("price", F.struct(*ORDER)).alias("price"))
-    mean = F.sum(F.col("price").cast("decimal(28,9)")).cast("double") / F.count("*")
-    return last.groupBy("product_id", "day").agg(F.count("*").alias("sellers"), F.min("price").alias("min_price"), mean.alias("avg_price"))
+def daily(history: DataFrame, own: Column) -> DataFrame:
+    """AGG-14: last price of the day of each seller, then least and mean over competitors and the own one, by day.
+
+    Of several own sellers the one that was seen first the latest counts. The mean is of an exact sum, so the order of
+    rows doesn't matter.
+    """
+    order = F.struct(*ORDER)
+    last = history.groupBy("product_id", F.to_date("scraped_at").alias("day"), "seller_id", own.alias("own")).agg(F.max_by("price", order).alias("price"), F.min(order).alias("first"))
+    rival = F.when(~F.col("own"), F.col("price"))
+    mean = F.sum(rival.cast("decimal(28,9)")).cast("double") / F.nullif(F.count(rival), F.lit(0))
+    return last.groupBy("product_id", "day").agg(F.count(rival).alias("sellers"), F.min(rival).alias("min_price"), mean.alias("avg_price"), F.max_by("price", F.when(F.col("own"), F.col("first"))).alias("own_price"))
 
 
 def failure_runs(attempts: DataFrame, key: str, failed, length: int = 5) -> DataFrame:

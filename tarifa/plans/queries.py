@@ -218,16 +218,22 @@ def price_suggestion(spark, d):
     return reports.price_suggestion(_assessed(spark, d), t.tracked_products(spark, d))
 
 
-@query("""SELECT product_id, day, count(*) AS sellers, min(price) AS min_price, sum(price::DECIMAL(28, 9))::DOUBLE / count(*) AS avg_price FROM (SELECT product_id, scraped_at::DATE AS day, seller_id, price FROM h
-    QUALIFY row_number() OVER (PARTITION BY product_id, scraped_at::DATE, seller_id ORDER BY scraped_at DESC, l_orderkey DESC, l_linenumber DESC) = 1) GROUP BY ALL""", "h")
+@query("""SELECT product_id, day, count(*) FILTER (NOT own) AS sellers, min(price) FILTER (NOT own) AS min_price, (sum(price::DECIMAL(28, 9)) FILTER (NOT own))::DOUBLE / nullif(count(*) FILTER (NOT own), 0) AS avg_price, arg_max(price, nth) FILTER (own) AS own_price
+    FROM (SELECT *, row_number() OVER (PARTITION BY product_id, day ORDER BY first_at, first_order, first_line) AS nth FROM (SELECT product_id, scraped_at::DATE AS day, seller_id, (product_id + seller_id) % 4 = 0 AS own, price,
+      first_value(scraped_at) OVER w AS first_at, first_value(l_orderkey) OVER w AS first_order, first_value(l_linenumber) OVER w AS first_line FROM h WINDOW w AS (PARTITION BY product_id, scraped_at::DATE, seller_id ORDER BY scraped_at, l_orderkey, l_linenumber)
+    QUALIFY row_number() OVER (PARTITION BY product_id, scraped_at::DATE, seller_id ORDER BY scraped_at DESC, l_orderkey DESC, l_linenumber DESC) = 1)) GROUP BY ALL""", "h")
 def daily_price_chart(spark, d):
-    return timeseries.daily(t.price_history(spark, d))
+    return timeseries.daily(t.price_history(spark, d), t.is_own())
 
 
-@query("SELECT product_id, coalesce(current_price, last_price) AS price FROM p LEFT JOIN (SELECT product_id, price AS last_price FROM h QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY scraped_at DESC, l_orderkey DESC, l_linenumber DESC) = 1) USING (product_id)", "hp")
+@query("""SELECT product_id, coalesce(current_price, last_price) AS price, current_price IS NULL AND last_price IS NOT NULL AS is_stale FROM p LEFT JOIN (SELECT product_id, price AS last_price FROM h WHERE (product_id + seller_id) % 4 = 0 AND price > 0
+    QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY scraped_at DESC, l_orderkey DESC, l_linenumber DESC) = 1) USING (product_id)""", "hp")
 def own_price_asof(spark, d):
-    last = t.price_history(spark, d).groupBy("product_id").agg(F.max_by("price", F.struct(*timeseries.ORDER)).alias("last_price"))
-    return t.tracked_products(spark, d).join(last, "product_id", "left").select("product_id", F.coalesce("current_price", "last_price").alias("price"))
+    """JON-15: the newest price of the own listing stands in for a missing one."""
+    own = t.price_history(spark, d).where(t.is_own() & prices.positive(F.col("price")).isNotNull())
+    last = own.groupBy("product_id").agg(F.max_by("price", F.struct(*timeseries.ORDER)).alias("last_price"))
+    stale = F.col("current_price").isNull() & F.col("last_price").isNotNull()
+    return t.tracked_products(spark, d).join(last, "product_id", "left").select("product_id", F.coalesce("current_price", "last_price").alias("price"), stale.alias("is_stale"))
 
 
 @query("""SELECT product_id, coalesce(usable, 0) = 0 AS no_competitor, coalesce(current_price > min_price, false) AS cheaper_competitor, coalesce((current_price - cost) / current_price * 100 < 10, false) AS loss, status = 'ACTIVE' AS active,

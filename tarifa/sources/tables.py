@@ -43,6 +43,11 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def is_own() -> Column:
+    """Whether a row of the history is the owner's own listing: one of four sellers of each product."""
+    return (F.col("product_id") + F.col("seller_id")) % 4 == 0
+
+
 def newest(history: DataFrame, keys: list[str], n: int = 1) -> DataFrame:
     """WIN-01, WIN-05: the newest n rows of each key (Spark prunes with a group limit before the shuffle)."""
     order = [F.desc(c) for c in ("scraped_at", "l_orderkey", "l_linenumber")]

@@ -60,18 +60,11 @@ def random_events(n, seed):
 EVENTS = "product_id long, event_no long, at long, rule_no int, rule_id string, rule_type string, fired boolean, cooldown_minutes int"
 
 
-def test_alerts_batch_and_stream(spark, tmp_path):
+def test_alerts(spark):
     rows = random_events(40, 1)
     d = spark.createDataFrame(rows, EVENTS)
     want = {(p, e, k, k) for p in range(4) for e, k in plain_alerts([r for r in rows if r["product_id"] == p])}
     assert {tuple(r) for r in alerts.alerts_sent(d).collect()} == want
-    # the same in four batches of a stream, the state kept between them
-    for i in range(4):
-        d.where(F.col("event_no").between(10 * i, 10 * i + 9)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = state.alerts_stream(stream).writeStream.format("memory").queryName("sent").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    assert {tuple(r) for r in spark.table("sent").collect()} == want
 
 
 def test_alerts_of_groups_that_send_nothing(spark):
