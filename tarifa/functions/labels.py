@@ -59,11 +59,27 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", ""), url)
 
 
-def store_of(url: Column, title: Column, stores: dict[str, str]) -> Column:
-    """CSE-09: the store whose keyword the URL or title holds, else the host's first part with a capital letter."""
+# Keyword, marketplace and name of stores, in the order in which they are tried
+STORES = [
+    ("trendyol", "TRENDYOL", "Trendyol"), ("hepsiburada", "HEPSIBURADA", "Hepsiburada"), ("amazon.com.tr", "AMAZON_TR", "Amazon TR"), ("amazon tr", "AMAZON_TR", "Amazon TR"), ("n11.com", "N11", "N11"), ("n11", "N11", "N11"),
+    ("ciceksepeti", "CICEKSEPETI", "Çiçeksepeti"), ("pttavm", "PTTAVM", "PTT AVM"), ("ptt avm", "PTTAVM", "PTT AVM"), ("teknosa", "TEKNOSA", "Teknosa"), ("mediamarkt", "MEDIAMARKT", "MediaMarkt"), ("media markt", "MEDIAMARKT", "MediaMarkt"),
+    ("koctas", "KOCTAS", "Koçtaş"), ("koçtaş", "KOCTAS", "Koçtaş"), ("sephora", "SEPHORA", "Sephora"), ("boyner", "BOYNER", "Boyner"), ("gratis", "GRATIS", "Gratis"), ("watsons", "WATSONS", "Watsons"), ("kitapyurdu", "KITAPYURDU", "Kitapyurdu"),
+    ("decathlon", "DECATHLON", "Decathlon"), ("vatanbilgisayar", "VATAN", "Vatan"), ("vatan bilgisayar", "VATAN", "Vatan"), ("itopya", "ITOPYA", "İtopya"), ("akakce", "AKAKCE", "Akakçe"), ("akakçe", "AKAKCE", "Akakçe"), ("cimri", "CIMRI", "Cimri"),
+    ("epey", "EPEY", "Epey"), ("migros", "CUSTOM", "Migros"), ("carrefour", "CUSTOM", "CarrefourSA"), ("lcwaikiki", "CUSTOM", "LC Waikiki"), ("lc waikiki", "CUSTOM", "LC Waikiki"), ("flo.com", "CUSTOM", "FLO"), ("nike.com", "CUSTOM", "Nike"),
+    ("adidas.com", "CUSTOM", "Adidas"), ("ikea", "CUSTOM", "IKEA"), ("karaca", "CUSTOM", "Karaca"), ("dr.com.tr", "CUSTOM", "D&R"), ("d&r", "CUSTOM", "D&R"), ("bkmkitap", "CUSTOM", "BKM Kitap"), ("idefix", "CUSTOM", "İdefix"),
+    ("rossmann", "CUSTOM", "Rossmann"), ("a101", "CUSTOM", "A101"), ("sok.com", "CUSTOM", "ŞOK"), ("şok market", "CUSTOM", "ŞOK"), ("mavi.com", "CUSTOM", "Mavi"), ("koton", "CUSTOM", "Koton"), ("defacto", "CUSTOM", "DeFacto"),
+    ("superstep", "CUSTOM", "SuperStep"), ("vivense", "CUSTOM", "Vivense"), ("bellona", "CUSTOM", "Bellona"), ("madamecoco", "CUSTOM", "Madame Coco"), ("morhipo", "CUSTOM", "Morhipo"), ("evidea", "CUSTOM", "Evidea"), ("electroworld", "CUSTOM", "Electro World"),
+]
+
+
+def store_of(url: Column, title: Column) -> Column:
+    """CSE-09: (marketplace, store) of the first keyword that the URL or title holds, else CUSTOM and the host's first part with a capital letter."""
     both = F.lower(F.concat_ws(" ", url, title))
-    label = F.split_part(host_of(url), F.lit("."), F.lit(1))
-    return _first_part(both, stores, F.concat(F.upper(F.left(label, F.lit(1))), F.substring(label, F.lit(2), F.char_length(label))))
+    known = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(m).alias("marketplace"), F.lit(n).alias("store")) for k, m, n in STORES])
+    hit = F.get(F.filter(known, lambda s: F.contains(both, s["keyword"])), F.lit(0))
+    label = F.split_part(F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", ""), F.lit("."), F.lit(1))
+    name = F.coalesce(F.concat(F.upper(F.left(label, F.lit(1))), F.substring(label, F.lit(2), F.char_length(label))), F.lit("Diğer"))
+    return F.struct(F.coalesce(hit["marketplace"], F.lit("CUSTOM")).alias("marketplace"), F.coalesce(hit["store"], name).alias("store"))
 
 
 def content_id(url: Column) -> Column:

@@ -56,6 +56,20 @@ def undercut(cheapest: Column) -> Column:
     return F.when(cheapest > 1, cheapest - 1)
 
 
+def to_fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value, the larger one on ties; null stays null.
+
+    The fraction is a whole number of 2^-52, so the rounding is done in integers; for amounts below 1e14 and two digits at most.
+    """
+    unit, size = 10**digits, F.abs(x)
+    whole = F.floor(size)
+    bits = ((size - whole) * float(1 << 52)).cast("long")
+    part = F.shiftright(bits * (2 * unit) + (1 << 52), 53)
+    total = (whole * unit + part).cast("long")
+    tail = F.concat(F.lit("."), F.lpad((total % unit).cast("string"), digits, "0")) if digits else F.lit("")
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(total / unit).cast("string"), tail)
+
+
 def _last_sign(x: Column) -> Column:
     """Number text with both signs, the last of which is the decimal one."""
     return F.when(x.rlike(r",[^.]*$"), F.regexp_replace(F.replace(x, F.lit(".")), "^([^,]*),", "$1.")).otherwise(F.replace(x, F.lit(",")))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prices import positive
+
 
 def resolve_rules(rules: DataFrame, products: DataFrame) -> DataFrame:
     """ALR-02, JON-10: a product's own active rules, and its owner's global rules of types without an own rule.
@@ -66,6 +68,20 @@ def fires(rule: Column, threshold: Column, direction: Column, margin: Column, ch
     )
 
 
+def context(assessed: DataFrame, name: Column) -> DataFrame:
+    """ALR-07: what an alert tells of usable competitors, by product: the cheapest and its name, how many are cheaper than the own price, the nearest and its name.
+
+    Of equal prices the least seller counts; without an own price nobody is cheaper or near. From the competitors of
+    quality.assess with their own_price.
+    """
+    own = positive(F.col("own_price"))
+    cheapest = F.min(F.struct("price", "seller_id", name.alias("name"))).alias("c")
+    nearest = F.min(F.when(own.isNotNull(), F.struct(F.abs(F.col("price") - own).alias("d"), F.col("price"), F.col("seller_id"), name.alias("name")))).alias("n")
+    cheaper = F.count_if(F.coalesce(F.col("price") < F.col("own_price"), F.lit(False))).alias("cheaper_count")
+    g = assessed.where("usable").groupBy("product_id").agg(cheapest, nearest, cheaper)
+    return g.select("product_id", F.col("c.price").alias("min_price"), F.col("c.name").alias("cheapest_name"), "cheaper_count", F.col("n.price").alias("nearest_price"), F.col("n.name").alias("nearest_name"))
+
+
 #: Seconds after which a level rule's state is forgotten.
 STATE_TTL = 14 * 86400
 

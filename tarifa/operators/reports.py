@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prices import margin_band, margin_pct, price_for_margin, undercut
+from ..functions.prices import margin_band, margin_pct, price_for_margin, undercut, to_fixed
 from ..functions.text import csv_escape
 
 
@@ -115,12 +115,51 @@ def page(rows: DataFrame, order: list, offset: int, limit: int, most: int = 50)
     return rows.orderBy(*order).offset(offset).limit(min(limit, most))
 
 
-def product_export(products: DataFrame, tags: DataFrame) -> DataFrame:
-    """SNK-02: one CSV line a product."""
-    t = tags.groupBy(F.col("product_id").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("tag_id")), lambda x: x.cast("string")), " | ").alias("tags"))
-    j = products.join(t, F.col("product_id") == F.col("k"), "left")
-    num = lambda x, d: F.coalesce(F.format_string(f"%.{d}f", x), F.lit(""))
-    pct = margin_pct(F.col("current_price"), F.col("cost"))
-    price = F.when(F.col("current_price").isNotNull(), num(F.col("current_price"), 2)).otherwise("")
-    cells = [F.col("product_id"), F.col("product_name"), F.col("marketplace"), F.col("status"), price, F.when(pct.isNotNull(), num(pct, 1)).otherwise(""), F.coalesce("tags", F.lit(""))]
+#: Columns of the product file, in order.
+EXPORT = ["product", "marketplace", "my_price", "cost", "profit", "margin_pct", "competitor_count", "last_update", "status", "tags", "product_url"]
+
+
+def product_export(products: DataFrame, tags: DataFrame, competitors: DataFrame, last: DataFrame, url: Column) -> DataFrame:
+    """SNK-02: one CSV line of EXPORT's columns a product; a price or cost of 0 or none leaves its cells empty, times are ISO."""
+    k = F.col("product_id").alias("k")
+    t = tags.groupBy(k).agg(F.array_join(F.transform(F.array_sort(F.collect_list("tag_id")), lambda x: x.cast("string")), " | ").alias("tags"))
+    n = competitors.groupBy(k).agg(F.count("*").alias("n"))
+    j = products
+    for side in (t, n, last.select(k, "last_scraped_at")):
+        j = j.join(side, F.col("product_id") == F.col("k"), "left").drop("k")
+    cell = lambda x, d: F.coalesce(to_fixed(x, d), F.lit(""))
+    price, cost = (F.nullif(F.col(c), F.lit(0.0)) for c in ("current_price", "cost"))
+    pct = margin_pct(price, cost)
+    at = F.date_format("last_scraped_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    cells = [
+        F.col("product_name"), F.col("marketplace"), cell(price, 2), cell(cost, 2), cell(F.when(pct.isNotNull(), price - cost), 2), cell(pct, 1),
+        F.coalesce("n", F.lit(0)), F.coalesce(at, F.lit("")), F.col("status"), F.coalesce("tags", F.lit("")), url,
+    ]
     return j.select("product_id", F.concat_ws(",", *[csv_escape(c) for c in cells]).alias("line"))
+
+
+def status_cube(products: DataFrame) -> DataFrame:
+    """AGG-08, grouping sets: products, priced ones and their mean price by marketplace, status and plan, of every combination; `level` tells which are totals."""
+    price = F.col("current_price").cast("decimal(28,9)")
+    mean = F.sum(price).cast("double") / F.nullif(F.count(price), F.lit(0))
+    g = products.cube("marketplace", "status", "plan").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("products"), F.count(price).alias("priced"), mean.alias("mean_price"))
+    return g.select("level", "marketplace", "status", "plan", "products", "priced", "mean_price")
+
+
+def daily_sketches(moves: DataFrame) -> DataFrame:
+    """By day: a HyperLogLog sketch of the products that moved and a KLL sketch of prices; small rows that merge to any span of days."""
+    day = F.to_date("scraped_at").alias("day")
+    return moves.groupBy(day).agg(F.hll_sketch_agg("product_id", 12).alias("movers"), F.kll_sketch_agg_double("price", 400).alias("prices"), F.count("*").alias("moves"))
+
+
+def sketch_spans(sketches: DataFrame, spans: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """AGG-09: for every day and span, the distinct movers and price quantiles of the days up to it, from the days' sketches alone.
+
+    The movers' estimate has a relative standard error of 1.04 / sqrt(2^12), 1.6 %; a quantile's rank is off by 0.7 % at most with
+    99 % confidence.
+    """
+    s = sketches.withColumn("span", F.explode(F.array(*[F.lit(n) for n in spans])))
+    s = s.withColumn("until", F.explode(F.sequence(F.col("day"), F.date_add("day", F.col("span") - 1))))
+    g = s.groupBy("span", "until").agg(F.hll_union_agg("movers").alias("m"), F.kll_merge_agg_double("prices").alias("p"), F.sum("moves").alias("moves"))
+    q = F.kll_sketch_get_quantile_double("p", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
+    return g.select("span", "until", F.hll_sketch_estimate("m").alias("movers"), q.alias("quartiles"), "moves")

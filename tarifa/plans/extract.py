@@ -43,3 +43,18 @@ def recovered_prices(spark, d):
         "page_id", k.is_challenge(html).alias("challenge"), found["price"].alias("price"), found["source"].alias("source"), k.stock_by_phrase(html, F.lit(None).cast("boolean")).alias("in_stock"),
         k.api_price(state).alias("api_price"), F.array_join(rivals, ",").alias("rivals"), k.requested_seller(state, F.concat(asked, F.lit("7"))).alias("asked_price"),
     )
+
+
+_MARKED = ["<form ACTION=\"/errors/validateCaptcha?x\">", "mail api-services-support@amazon.com", "<i id=\"px-captcha\">", "_Incapsula_Resource", "https://x.queue-it.net/y", "CAPTCHA", "Checking your browser", "Access denied", "erişim engellendi", "Robot Check", "olağandışı trafik", "robot"]
+
+
+@query(f"""WITH g AS (SELECT page_id, lower(html || [{", ".join("'" + m + "'" for m in _MARKED)}][1 + page_id % 12] || CASE WHEN page_id % 5 = 0 THEN repeat('.', 50000) ELSE '' END) AS low FROM pages)
+    SELECT page_id, CASE WHEN contains(low, 'action="/errors/validatecaptcha') THEN 'action="/errors/validatecaptcha' WHEN contains(low, 'api-services-support@amazon.com') THEN 'api-services-support@amazon.com' WHEN contains(low, 'px-captcha') THEN 'px-captcha' WHEN contains(low, '_incapsula_') THEN '_incapsula_' WHEN contains(low, 'queue-it.net') THEN 'queue-it.net'
+    WHEN length(low) >= 50000 THEN NULL WHEN contains(low, 'captcha') THEN 'captcha' WHEN contains(low, 'just a moment') THEN 'just a moment' WHEN contains(low, 'checking your browser') THEN 'checking your browser' WHEN contains(low, 'access denied') THEN 'access denied' WHEN contains(low, 'erişim engellendi') THEN 'erişim engellendi'
+    WHEN contains(low, 'robot check') THEN 'robot check' WHEN contains(low, 'olağandışı trafik') THEN 'olağandışı trafik' END AS marker FROM g""")
+def page_challenges(spark, d):
+    """EXT-12: pages with one of twelve marks (the last of which tells nothing), every fifth one long."""
+    page = F.col("page_id")
+    mark = F.element_at(F.array(*[F.lit(m) for m in _MARKED]), (1 + page % len(_MARKED)).cast("int"))
+    html = F.concat("html", mark, F.when(page % 5 == 0, F.repeat(F.lit("."), F.lit(50_000))).otherwise(""))
+    return t.read(spark, d, "pages").select("page_id", k.challenge_marker(html).alias("marker"))

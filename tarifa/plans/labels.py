@@ -72,13 +72,13 @@ _HOST = "regexp_replace(lower(regexp_extract(url, '^https://([^/]+)', 1)), '^www
 
 @query(f""", {_URLS} SELECT product_id, seller_id, {_PICK(k.MARKETPLACES, "NULL")} AS marketplace, CASE {" ".join(f"WHEN host = '{x}' OR suffix(host, '.{x}') THEN '{n}'" for x, n in k.MARKETPLACES.items())} END AS strict_marketplace, {_PICK(k.RETAILERS, "'Diğer'")} AS retailer,
     {_PICK(k.RETAILERS, "'Diğer'")} IN ({", ".join(f"'{x}'" for x in k.SCRAPER_BACKED)}) AS scraper_backed, host, regexp_extract(url, 'p-(\\d+)', 1) AS content_id, nullif(regexp_extract(url, '[?&]merchantId=(\\d+)', 1), '') AS merchant_id,
-    CASE WHEN contains(lower(url), 'koctas') THEN 'Koçtaş' ELSE upper(string_split(host, '.')[1][1]) || string_split(host, '.')[1][2:] END AS store, 'Urun Adi ' || product_id AS slug FROM (SELECT *, {_HOST} AS host FROM v)""", "hc")
+    CASE WHEN contains(lower(url), 'trendyol') THEN 'Trendyol' WHEN contains(lower(url), 'hepsiburada') THEN 'Hepsiburada' WHEN contains(lower(url), 'amazon.com.tr') THEN 'Amazon TR' WHEN contains(lower(url), 'n11') THEN 'N11' WHEN contains(lower(url), 'koctas') THEN 'Koçtaş' WHEN contains(lower(url), 'gratis') THEN 'Gratis' WHEN contains(lower(url), 'akakce') THEN 'Akakçe' ELSE upper(string_split(host, '.')[1][1]) || string_split(host, '.')[1][2:] END AS store, 'Urun Adi ' || product_id AS slug FROM (SELECT *, {_HOST} AS host FROM v)""", "hc")
 def url_labels(spark, d):
     """CSE-06..09, MAP-01, URL-03, URL-04, STR-18."""
     u = F.col("url")
     return t.listing_urls(spark, d).select(
         "product_id", "seller_id", k.marketplace_of(u).alias("marketplace"), k.marketplace_of(u, strict=True).alias("strict_marketplace"), k.retailer_of(u).alias("retailer"), k.is_scraper_backed(k.retailer_of(u)).alias("scraper_backed"),
-        k.host_of(u).alias("host"), k.content_id(u).alias("content_id"), k.merchant_id(u).alias("merchant_id"), k.store_of(u, F.lit(""), {"koctas": "Koçtaş"}).alias("store"), search.slug_title(u).alias("slug"),
+        k.host_of(u).alias("host"), k.content_id(u).alias("content_id"), k.merchant_id(u).alias("merchant_id"), k.store_of(u, F.lit(""))["store"].alias("store"), search.slug_title(u).alias("slug"),
     )
 
 
@@ -125,3 +125,23 @@ def mixed_timestamps(spark, d):
     label = F.when(i == 0, F.unix_seconds(ts).cast("string")).when(i == 1, F.unix_millis(ts).cast("string")).when(i == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(i == 3, "0").when(i == 4, "soon").otherwise("")
     at = k.parse_instant(label)
     return e.select("event_id", at.cast("timestamp_ntz").alias("at"), k.within_tolerance(at, ts + F.make_dt_interval(secs=F.lit(250))).alias("timely"))
+
+
+#: The stores spelt out once more, for the SQL alone.
+_STORES = """('trendyol','TRENDYOL','Trendyol'),('hepsiburada','HEPSIBURADA','Hepsiburada'),('amazon.com.tr','AMAZON_TR','Amazon TR'),('amazon tr','AMAZON_TR','Amazon TR'),('n11.com','N11','N11'),('n11','N11','N11'),('ciceksepeti','CICEKSEPETI','Çiçeksepeti'),
+    ('pttavm','PTTAVM','PTT AVM'),('ptt avm','PTTAVM','PTT AVM'),('teknosa','TEKNOSA','Teknosa'),('mediamarkt','MEDIAMARKT','MediaMarkt'),('media markt','MEDIAMARKT','MediaMarkt'),('koctas','KOCTAS','Koçtaş'),('koçtaş','KOCTAS','Koçtaş'),('sephora','SEPHORA','Sephora'),
+    ('boyner','BOYNER','Boyner'),('gratis','GRATIS','Gratis'),('watsons','WATSONS','Watsons'),('kitapyurdu','KITAPYURDU','Kitapyurdu'),('decathlon','DECATHLON','Decathlon'),('vatanbilgisayar','VATAN','Vatan'),('vatan bilgisayar','VATAN','Vatan'),('itopya','ITOPYA','İtopya'),
+    ('akakce','AKAKCE','Akakçe'),('akakçe','AKAKCE','Akakçe'),('cimri','CIMRI','Cimri'),('epey','EPEY','Epey'),('migros','CUSTOM','Migros'),('carrefour','CUSTOM','CarrefourSA'),('lcwaikiki','CUSTOM','LC Waikiki'),('lc waikiki','CUSTOM','LC Waikiki'),('flo.com','CUSTOM','FLO'),
+    ('nike.com','CUSTOM','Nike'),('adidas.com','CUSTOM','Adidas'),('ikea','CUSTOM','IKEA'),('karaca','CUSTOM','Karaca'),('dr.com.tr','CUSTOM','D&R'),('d&r','CUSTOM','D&R'),('bkmkitap','CUSTOM','BKM Kitap'),('idefix','CUSTOM','İdefix'),('rossmann','CUSTOM','Rossmann'),
+    ('a101','CUSTOM','A101'),('sok.com','CUSTOM','ŞOK'),('şok market','CUSTOM','ŞOK'),('mavi.com','CUSTOM','Mavi'),('koton','CUSTOM','Koton'),('defacto','CUSTOM','DeFacto'),('superstep','CUSTOM','SuperStep'),('vivense','CUSTOM','Vivense'),('bellona','CUSTOM','Bellona'),
+    ('madamecoco','CUSTOM','Madame Coco'),('morhipo','CUSTOM','Morhipo'),('evidea','CUSTOM','Evidea'),('electroworld','CUSTOM','Electro World')"""
+_WHERE = ["Media Markt", "PTT AVM mağazası", "LC Waikiki", "D&R", "Şok Market", "Vatan Bilgisayar", "Amazon TR", "www.dr.com.tr", "A101 ve Trendyol", "bellona ev", "kendi mağazası", "Watsons", "Ikea", "IKEA"]
+
+
+@query(f""", {_URLS}, s AS (SELECT row_number() OVER () AS no, * FROM (VALUES {_STORES}) x(keyword, marketplace, store)), w AS (SELECT product_id, seller_id, url, replace(url, 'trendyol', 'example') || ' ' || [{", ".join(f"'{x}'" for x in _WHERE)}][1 + (product_id + 3 * seller_id) % 14] AS both_ FROM v)
+    SELECT product_id, seller_id, coalesce(arg_min(s.marketplace, no), 'CUSTOM') AS marketplace, coalesce(arg_min(s.store, no), any_value(upper(label[1]) || label[2:])) AS store FROM (SELECT *, string_split(regexp_replace(lower(regexp_extract(replace(url, 'trendyol', 'example'), '^https://([^/]+)', 1)), '^www\\.', ''), '.')[1] AS label FROM w) LEFT JOIN s ON contains(lower(both_), keyword) GROUP BY product_id, seller_id""", "hc")
+def store_labels(spark, d):
+    """CSE-09: the first store keyword in a listing's URL or title."""
+    u = F.replace("url", F.lit("trendyol"), F.lit("example"))
+    title = F.element_at(F.array(*[F.lit(x) for x in _WHERE]), (1 + (F.col("product_id") + 3 * F.col("seller_id")) % len(_WHERE)).cast("int"))
+    return t.listing_urls(spark, d).select("product_id", "seller_id", F.inline(F.array(k.store_of(u, title))))

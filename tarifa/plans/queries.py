@@ -267,11 +267,36 @@ def notifications_page(spark, d):
     return reports.page(t.notifications(spark, d).where("NOT is_read"), [F.desc("sent_at"), F.desc("id")], 40, 20).select("id", "user_id")
 
 
-@query(f"""SELECT p.product_id, concat_ws(',', p.product_id, CASE WHEN regexp_matches(product_name, '[",]') THEN '"' || replace(product_name, '"', '""') || '"' ELSE product_name END, marketplace, status,
-    CASE WHEN current_price IS NULL THEN '' ELSE printf('%.2f', current_price) END, CASE WHEN current_price > 0 AND cost >= 0 THEN printf('%.1f', (current_price - cost) / current_price * 100) ELSE '' END, x.tags) AS line
-    FROM p JOIN (SELECT product_id, string_agg(tag_id::VARCHAR, ' | ' ORDER BY tag_id) AS tags FROM {_TAGS} GROUP BY 1) x USING (product_id)""", "p")
+#: Ties go up: a multiple of an eighth is moved past one.
+_FIXED = lambda d, x: f"printf('%.{d}f', CASE WHEN ({x}) * 8 = floor(({x}) * 8) THEN ({x}) + sign({x}) * 1e-9 ELSE {x} END)"
+
+
+@query(f"""SELECT p.product_id, concat_ws(',', CASE WHEN regexp_matches(product_name, '[",]') THEN '"' || replace(product_name, '"', '""') || '"' ELSE product_name END, marketplace, CASE WHEN current_price <> 0 THEN {_FIXED(2, 'current_price')} ELSE '' END, CASE WHEN cost <> 0 THEN {_FIXED(2, 'cost')} ELSE '' END,
+    CASE WHEN current_price > 0 AND cost > 0 THEN {_FIXED(2, 'current_price - cost')} ELSE '' END, CASE WHEN current_price > 0 AND cost > 0 THEN {_FIXED(1, '(current_price - cost) / current_price * 100')} ELSE '' END, coalesce(n, 0), coalesce(strftime(last_at, '%Y-%m-%dT%H:%M:%S.%gZ'), ''), status, x.tags, 'https://shop.example.com/p-' || p.product_id) AS line
+    FROM p JOIN (SELECT product_id, string_agg(tag_id::VARCHAR, ' | ' ORDER BY tag_id) AS tags FROM {_TAGS} GROUP BY 1) x USING (product_id) LEFT JOIN (SELECT product_id, count(*) AS n FROM c GROUP BY 1) USING (product_id) LEFT JOIN (SELECT product_id, max(scraped_at) AS last_at FROM h GROUP BY 1) USING (product_id)""", "pc")
 def product_export(spark, d):
-    return reports.product_export(t.tracked_products(spark, d), t.product_tags(spark, d))
+    """SNK-01, SNK-02: all eleven columns."""
+    url = F.concat(F.lit("https://shop.example.com/p-"), F.col("product_id").cast("string"))
+    return reports.product_export(t.tracked_products(spark, d), t.product_tags(spark, d), t.competitors(spark, d), _last(spark, d), url)
+
+
+@query("""SELECT product_id, min(price) AS min_price, arg_min('Shop ' || seller_id, [price, seller_id]) AS cheapest_name, count(*) FILTER (price < own_price) AS cheaper_count,
+    arg_min(price, [abs(price - own_price), price, seller_id]) FILTER (own_price > 0) AS nearest_price, arg_min('Shop ' || seller_id, [abs(price - own_price), price, seller_id]) FILTER (own_price > 0) AS nearest_name FROM a WHERE usable GROUP BY product_id""", "a")
+def alert_context(spark, d):
+    """ALR-07."""
+    return alerts.context(_assessed(spark, d), F.concat(F.lit("Shop "), F.col("seller_id").cast("string")))
+
+
+@query("SELECT grouping_id(marketplace, status, plan)::BIGINT AS level, marketplace, status, plan, count(*) AS products, count(current_price) AS priced, sum(current_price::DECIMAL(28, 9))::DOUBLE / nullif(count(current_price), 0) AS mean_price FROM p JOIN u USING (user_id) GROUP BY CUBE (marketplace, status, plan)", "pu")
+def status_cube(spark, d):
+    """AGG-08: one plan gives group rows and grand totals."""
+    return reports.status_cube(t.tracked_products(spark, d).join(t.users(spark, d).select("user_id", "plan"), "user_id"))
+
+
+@query()
+def mover_sketches(spark, d):
+    """AGG-09 for spans of 7 and 30 days, merged from sketches by day; held against exact counts and ranks."""
+    return reports.sketch_spans(reports.daily_sketches(_moves(spark, d).where("price_change <> 0")))
 
 
 _KEY = r"lower(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1), '^www\.', '') || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', ''))"
