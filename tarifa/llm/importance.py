@@ -23,6 +23,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,21 +123,27 @@ def schema_with(df: DataFrame, **more: str) -> StructType:
     return out
 
 
+def extended(batch: pa.RecordBatch, without: str | None = None, **more: pa.Array) -> pa.RecordBatch:
+    """A batch with more columns; the others pass as they are, so ids keep all digits beside nulls."""
+    kept = {n: batch.column(n) for n in batch.schema.names if n != without}
+    return pa.RecordBatch.from_pydict(kept | more)
+
+
 def featured(texts: DataFrame, keep: Sequence[str], buckets: int, most: int) -> DataFrame:
     """`keep`, n_words, n_features and `codes` (the features' buckets, packed as `codes_type`) of every text."""
     kind = np.uint16 if buckets <= 1 << 16 else np.uint32
     picked = texts.select(*keep, F.col("text").cast("binary").alias("_text"))
     out = schema_with(picked.drop("_text"), n_words="long", n_features="long", codes="binary")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(buckets, most)
         for batch in batches:
-            for a in range(0, len(batch), 64):  # small blocks: a task holds the codes of one at a time
-                block = batch.iloc[a : a + 64]
-                found = [features(bytes(t) if t is not None else b"") for t in block["_text"]]
-                yield block.drop(columns="_text").assign(n_words=[w for w, _ in found], n_features=[len(f) for _, f in found], codes=[f.astype(kind).tobytes() for _, f in found])
+            for a in range(0, batch.num_rows, 64):  # small blocks: a task holds the codes of one at a time
+                block = batch.slice(a, 64)
+                found = [features(t or b"") for t in block.column("_text").to_pylist()]
+                yield extended(block, "_text", n_words=pa.array([w for w, _ in found], pa.int64()), n_features=pa.array([len(f) for _, f in found], pa.int64()), codes=pa.array([f.astype(kind).tobytes() for _, f in found], pa.binary()))
 
-    return picked.mapInPandas(run, out)
+    return picked.mapInArrow(run, out)
 
 
 def histogram(coded: DataFrame, buckets: int) -> DataFrame:
@@ -169,12 +176,12 @@ def weighed(coded: DataFrame, gain: np.ndarray) -> DataFrame:
     kind = np.uint16 if len(gain) <= 1 << 16 else np.uint32
     out = schema_with(coded.drop("codes"), weight="long")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [np.frombuffer(c, kind) for c in batch["codes"]]
-            yield batch.drop(columns="codes").assign(weight=[int(gain[c].sum()) // len(c) if len(c) else 0 for c in codes])
+            codes = [np.frombuffer(c, kind) for c in batch.column("codes").to_pylist()]
+            yield extended(batch, "codes", weight=pa.array([int(gain[c].sum()) // len(c) if len(c) else 0 for c in codes], pa.int64()))
 
-    return coded.mapInPandas(run, out)
+    return coded.mapInArrow(run, out)
 
 
 def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
@@ -186,13 +193,14 @@ def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = schema_with(rows, _range="long", _place="long")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, done = TaskContext.get().partitionId(), 0
         for batch in batches:
-            yield batch.assign(_range=at, _place=np.arange(done + 1, done + 1 + len(batch)))
-            done += len(batch)
+            size = batch.num_rows
+            yield extended(batch, _range=pa.array(np.full(size, at, np.int64)), _place=pa.array(np.arange(done + 1, done + 1 + size, dtype=np.int64)))
+            done += size
 
-    placed = settle(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(run, out), name)
+    placed = settle(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, out), name)
     sizes = sorted(placed.groupBy("_range").agg(F.max("_place")).collect())  # one row a range
     before = [(at, sum(size for _, size in sizes[:k])) for k, (at, _) in enumerate(sizes)]
     offsets = rows.sparkSession.createDataFrame(before, "_range long, _before long")

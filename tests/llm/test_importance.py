@@ -64,6 +64,8 @@ def test_edges(spark, monkeypatch):
     aim = spark.createDataFrame([("same words and others",), (None,)], "text string")
     want = resample(docs, ["same words and others", None])
     assert got(importance.resample(d, aim)) == (want, len(docs))
+    huge = spark.createDataFrame([(2**60 + 1, "one two"), (None, "one")], "doc_id long, text string").coalesce(1)
+    assert set(got(importance.resample(huge, aim))[0]) == {2**60 + 1, None}
     twice, n = got(importance.resample(d.unionByName(d.where("doc_id = 8")), aim))
     assert n == len(docs) + 1 and set(twice) == set(want)
     assert importance.resample(d.where("false"), aim).collect() == []
