@@ -217,34 +217,31 @@ def alignments(told: DataFrame, whole: int) -> DataFrame:
     kind = told.schema["conv_id"].dataType.simpleString()
     thin = told.select(F.col("conv_id").cast("string"), "n", "initial", F.coalesce(F.col("fault").isin("blank", "duplicate"), F.lit(False)).alias("gone"), F.when(F.col("fault") == "truncated", TRUNCATED).otherwise(0).alias("flaw"))
 
-    def done(conv, turns: list[Turn]) -> pd.DataFrame:
+    def rows_of(conv, turns: list[Turn]) -> list[tuple]:
         cost, audit = repair(turns, whole)
         edits = edits_of(turns, audit)
-        last = [None] * len(turns)
-        return pd.DataFrame({
-            "conv_id": pd.Series([conv] * len(edits), dtype=object), "n": range(1, len(edits) + 1), "before": [b for b, _ in edits], "edit": [e for _, e in edits],
-            "cost": pd.Series([*last, cost], dtype="Int64"), "audit": pd.Series([*last, audit], dtype=object),
-        })
+        return [(conv, k, before, edit, None, None) for k, (before, edit) in enumerate(edits[:-1], 1)] + [(conv, len(edits), *edits[-1], cost, audit)]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["conv_id", "n", "before", "edit", "cost", "audit"]).astype({"n": "int64", "cost": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conv, turns, out, held = None, [], [], 0
+        conv, turns, out = None, [], []
         for batch in batches:
             for c, n, initial, gone, flaw in zip(batch["conv_id"], batch["n"], batch["initial"], batch["gone"], batch["flaw"]):
                 if n == 1 and turns:  # numbers begin anew with each conversation
-                    out.append(done(conv, turns))
-                    held += len(turns)
+                    out += rows_of(conv, turns)
                     turns = []
-                    if held >= 10_000:
-                        yield pd.concat(out)
-                        out, held = [], 0
+                    if len(out) >= 10_000:
+                        yield frame(out)
+                        out = []
                 conv = c
                 turns.append((initial, bool(gone), int(flaw)))
-        if turns:
-            out.append(done(conv, turns))
-        if out:
-            yield pd.concat(out)
+        yield frame(out + rows_of(conv, turns) if turns else out)
 
-    ordered = thin.repartition("conv_id").sortWithinPartitions("conv_id", "n")
+    # as many tasks as the session has for shuffles: the rows are few bytes, their alignment is the work
+    n = int(told.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = thin.repartition(n, "conv_id").sortWithinPartitions("conv_id", "n")
     found = ordered.mapInPandas(run, "conv_id string, n long, before string, edit string, cost long, audit string")
     return found.withColumn("conv_id", F.col("conv_id").cast(kind))
 
