@@ -126,11 +126,6 @@ def first_found(page: Column, looks: tuple[Look, ...]) -> Column:
     return F.coalesce(*[look(page, x) for x in looks]) if looks else F.lit(None).cast("string")
 
 
-def bind(value: Column, body) -> Column:
-    """`body` of a value that is evaluated once, however often `body` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _first_price(labels: list[Column]) -> Column:
     """The first positive price among labels."""
     found = F.transform(F.array(*labels), parse_price_page)
@@ -163,14 +158,14 @@ def next_data(html: Column) -> Column:
         of = lambda paths: [at(v, f"$.{p}") for p in paths]
         stock = F.when(~nested(at(v, "$.stock")), at(v, "$.stock").cast("string").try_cast("double") > 0)
         return F.struct(
-            first(of(["name", "title"]), text_of).alias("name"), first(of(prices), lambda x: bind(price(x), lambda n: F.when(n > 0, n))).alias("price"),
+            first(of(["name", "title"]), text_of).alias("name"), first(of(prices), lambda x: extract.bind(price(x), lambda n: F.when(n > 0, n))).alias("price"),
             first(of(images), text_of).alias("image"), first(of(["merchant.name", "seller.name"]), text_of).alias("seller"),
             F.coalesce(first(of(["inStock", "isInStock"]), flag), stock).alias("in_stock"),
         )
 
     data = F.try_parse_json(F.get(extract.scripts(html, 'id="__NEXT_DATA__"'), F.lit(0)))
     product = first([at(data, f"$.props.pageProps.{p}") for p in ("product", "productData", "initialState.product", "data.product")], lambda v: v)
-    return bind(product, fields)
+    return extract.bind(product, fields)
 
 
 def script_price(html: Column) -> Column:

@@ -25,7 +25,9 @@ _NUM = lambda x: f"TRY_CAST(CASE WHEN contains({x}, ',') THEN replace(replace({x
     FROM r WHERE coalesce(json_extract_string(prod, '$.name'), nullif(regexp_extract(html, '<meta property="og:title" content="([^"]*)"', 1), ''), h1) <> '' OR ld_price > 0""")
 def html_products(spark, d):
     """EXT-01, EXT-05..07, EXT-09, EXT-14, JSN-01."""
-    return t.product_pages(spark, d).select("page_id", k.generic_product(F.col("html")).alias("p")).where("p IS NOT NULL").select("page_id", "p.*")
+    # a generator, so that the filter isn't pushed below it and the parsing done twice
+    found = t.product_pages(spark, d).select("page_id", F.explode(F.array(k.generic_product(F.col("html")))).alias("p"))
+    return found.where("p IS NOT NULL").select("page_id", "p.*")
 
 
 @query(f"""{_PAGES}, r AS (SELECT page_id, kind, d, CASE kind WHEN 0 THEN 1000 + 100 * d + 99.9 WHEN 1 THEN 10 + d + 0.5 WHEN 2 THEN 90.0 + d WHEN 3 THEN 20 + d + 0.75 WHEN 4 THEN 30 + d + 0.5 WHEN 5 THEN 40.0 + d WHEN 8 THEN d END::DOUBLE AS price FROM g)
