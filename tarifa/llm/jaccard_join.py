@@ -259,7 +259,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: fl
         # what is as large as before after the last split joins its leader as a whole
         edges.append(peeled.where("near" if depth < levels else "true").select(F.col("low").alias("u"), F.col("node").alias("v")))
         if depth < levels:
-            deeper = peeled.where("NOT peeled").select(F.explode("paths").alias("path"), "node", "sig")
+            # dealt by node: the rows of a hot leader lie in the few tasks that have peeled them
+            deeper = peeled.where("NOT peeled").select("paths", "node", "sig").repartition("node").select(F.explode("paths").alias("path"), "node", "sig")
             level = settle(deeper.mapInArrow(_split, "path long, node long"), "paths")
     all_edges = edges[0]
     for e in edges[1:]:
