@@ -35,10 +35,17 @@ def strip_noise(name: Column) -> Column:
     return F.when(F.char_length(kept) >= 3, kept).otherwise(F.trim(name))
 
 
+# Placeholder names, written in one or several words
+PLACEHOLDER = (
+    r"(?iu)^(trendyol|hepsiburada|amazon(\s*tr)?|n11|pazarama|teknosa|vatan|media\s*markt|mediamarkt|decathlon|ptt\s*avm|çiçeksepeti|ciceksepeti|akakçe|akakce|cimri|epey|boyner|gratis|watsons|kitapyurdu|sephora|koçtaş|koctas|itopya|diğer|diger)"
+    r"\s*(ürünü|urunu|product)?$"
+)
+
+
 def is_generic(query: Column) -> Column:
-    """STR-11: too short, or made of names of marketplaces and filler words alone."""
+    """STR-11: too short, a placeholder, or made of names of marketplaces and filler words alone."""
     q = F.trim(query)
-    return (F.char_length(q) < 3) | F.forall(words(q), lambda w: fold_tr(w).isin(MARKETPLACE_WORDS + FILLER_WORDS))
+    return (F.char_length(q) < 3) | q.rlike(PLACEHOLDER) | F.forall(words(q), lambda w: fold_tr(w).isin(MARKETPLACE_WORDS + FILLER_WORDS))
 
 
 def meaningful(x: Column) -> Column:
@@ -121,7 +128,7 @@ def image_of(json: Column) -> Column:
     is_text = F.schema_of_variant(v) == "STRING"
     paths = [p + f for p in ("$", "$[0]") for f in (".contentUrl", ".url", ".src")]
     plain = F.when(F.schema_of_variant(F.try_variant_get(v, "$[0]", "variant")) == "STRING", part("$[0]"))
-    return F.coalesce(F.when(is_text, part("$")), plain, *[F.nullif(F.trim(part(p)), F.lit("")) for p in paths])
+    return F.coalesce(F.when(is_text, part("$")), plain, part("$.contentUrl[0]"), *[F.nullif(F.trim(part(p)), F.lit("")) for p in paths])
 
 
 def not_allowed(wanted: Column, allowed: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prices import margin_band, margin_pct, price_for_margin, undercut, to_fixed
-from ..functions.text import csv_escape
+from ..functions.text import csv_escape, tr_lower
 
 
 def period_report(changes: DataFrame, now: Column) -> DataFrame:
@@ -110,6 +110,14 @@ def catalog_places(rows: DataFrame, k: int) -> DataFrame:
     return found.groupBy("product_id").agg(*[F.max(F.when(F.col("_o") == n, F.col("_n"))).alias(n) for n in orders])
 
 
+def rule_list(rules: DataFrame, shown: str, asked: str) -> DataFrame:
+    """FLT-11, SRT-11: rules that are "active", "inactive", "recent" (have fired) or "all" and whose text holds what is asked, with their `place` in their user's list: global ones first, then those that fired last."""
+    keep = {"active": F.col("is_active"), "inactive": ~F.col("is_active"), "recent": F.col("last_triggered").isNotNull(), "all": F.lit(True)}[shown]
+    hay = tr_lower(F.concat_ws(" ", "rule_type", F.col("product_id").cast("string")))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("product_id").isNotNull(), F.desc_nulls_last("last_triggered"), "rule_id"))
+    return rules.where(keep & F.contains(hay, tr_lower(F.lit(asked)))).withColumn("place", place)
+
+
 def page(rows: DataFrame, order: list, offset: int, limit: int, most: int = 50) -> DataFrame:
     """SRT-05: one page of at most `most` rows."""
     return rows.orderBy(*order).offset(offset).limit(min(limit, most))
