@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.search import not_allowed
 from ..functions.text import csv_escape, norm_url, url_match_key
 
 
@@ -141,7 +142,7 @@ def admissions(wanted: DataFrame, limits: DataFrame) -> DataFrame:
 
 def deliveries(alerts: DataFrame) -> DataFrame:
     """ALR-09: one row a wanted channel: allowed ones are to be sent, the others skipped; (alert_id, wanted, allowed)."""
-    blocked = F.array_except("wanted", "allowed")
+    blocked = not_allowed(F.col("wanted"), F.col("allowed"))
     one = F.transform(F.array_distinct("wanted"), lambda c: F.struct(c.alias("channel"), F.when(F.array_contains(blocked, c), "SKIPPED").otherwise("SEND").alias("status")))
     return alerts.select("alert_id", F.inline(one))
 
