@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .prices import positive
-from .text import hours_between
+from .text import bind, hours_between
 
 # Marketplaces by a part of the URL, in order of precedence
 MARKETPLACES = {
@@ -76,7 +76,7 @@ def store_of(url: Column, title: Column) -> Column:
     """CSE-09: (marketplace, store) of the first keyword that the URL or title holds, else CUSTOM and the host's first part with a capital letter."""
     both = F.lower(F.concat_ws(" ", url, title))
     known = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(m).alias("marketplace"), F.lit(n).alias("store")) for k, m, n in STORES])
-    hit = F.get(F.filter(known, lambda s: F.contains(both, s["keyword"])), F.lit(0))
+    hit = bind(both, lambda b: F.get(F.filter(known, lambda s: F.contains(b, s["keyword"])), F.lit(0)))
     label = F.split_part(F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", ""), F.lit("."), F.lit(1))
     name = F.coalesce(F.concat(F.upper(F.left(label, F.lit(1))), F.substring(label, F.lit(2), F.char_length(label))), F.lit("Diğer"))
     return F.struct(F.coalesce(hit["marketplace"], F.lit("CUSTOM")).alias("marketplace"), F.coalesce(hit["store"], name).alias("store"))

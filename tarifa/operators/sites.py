@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import extract
 from ..functions.pagetree import Part, Selector, all_text, any_of, attribute, css, either, text, tree
 from ..functions.prices import parse_price_page
+from ..functions.text import bind
 
 
 class Look(NamedTuple):
@@ -158,14 +159,14 @@ def next_data(html: Column) -> Column:
         of = lambda paths: [at(v, f"$.{p}") for p in paths]
         stock = F.when(~nested(at(v, "$.stock")), at(v, "$.stock").cast("string").try_cast("double") > 0)
         return F.struct(
-            first(of(["name", "title"]), text_of).alias("name"), first(of(prices), lambda x: extract.bind(price(x), lambda n: F.when(n > 0, n))).alias("price"),
+            first(of(["name", "title"]), text_of).alias("name"), first(of(prices), lambda x: bind(price(x), lambda n: F.when(n > 0, n))).alias("price"),
             first(of(images), text_of).alias("image"), first(of(["merchant.name", "seller.name"]), text_of).alias("seller"),
             F.coalesce(first(of(["inStock", "isInStock"]), flag), stock).alias("in_stock"),
         )
 
     data = F.try_parse_json(F.get(extract.scripts(html, 'id="__NEXT_DATA__"'), F.lit(0)))
     product = first([at(data, f"$.props.pageProps.{p}") for p in ("product", "productData", "initialState.product", "data.product")], lambda v: v)
-    return extract.bind(product, fields)
+    return bind(product, fields)
 
 
 def script_price(html: Column) -> Column:
