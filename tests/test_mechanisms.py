@@ -116,3 +116,15 @@ def test_stores_and_challenges(spark):
     long = "x" * 50_000
     assert marker("a ROBOT CHECK") == "robot check" and marker(long + "captcha") is None and marker(long + "PX-Captcha") == "px-captcha" and marker("robot") is None and marker(None) is None
     assert marker("x" * (50_000 - 8) + "captcha") == "captcha" and marker("x" * (50_000 - 7) + "captcha") is None
+
+
+def test_facts_of_titles_stand_once_in_the_plan(spark):
+    """Every search of a title is bound once, not repeated for each comparison that needs it."""
+    from tarifa.operators import linkage as pairs
+
+    d = spark.createDataFrame([("Acme ZX000002TRK 16GB 3 parçalı", "Acme ZX000002TRK 015 0,5 TB 3 parçalı kılıfı", 10.0, 11.0)], "title string, listing string, own_price double, listing_price double")
+    made = pairs.decisions(pairs.compare(d))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 10, plan.count("regexp_extract_all(")
+    r = made.first()
+    assert (r["relation"], r["strong"], r["specs"], r["accessory"], r["reason"]) == ("config-variant", True, True, True, "config-variant")
