@@ -14,6 +14,7 @@ def url():
 
 CASES = {
     "marketplace": (lambda: labels.marketplace_of(url()), "https://www.", 1, "N11"),
+    "strict marketplace": (lambda: labels.marketplace_of(url(), strict=True), "HOST", 2, "N11"),
 }
 
 
