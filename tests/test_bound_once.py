@@ -16,6 +16,7 @@ CASES = {
     "marketplace": (lambda: labels.marketplace_of(url()), "https://www.", 1, "N11"),
     "strict marketplace": (lambda: labels.marketplace_of(url(), strict=True), "HOST", 2, "N11"),
     "store": (lambda: labels.store_of(url(), F.lit("x"))["store"], "HOST", 2, "N11"),
+    "url key": (lambda: text.url_match_key(url()), "HOST", 2, "n11.com/a-p-7"),
 }
 
 
