@@ -17,6 +17,7 @@ CASES = {
     "strict marketplace": (lambda: labels.marketplace_of(url(), strict=True), "HOST", 2, "N11"),
     "store": (lambda: labels.store_of(url(), F.lit("x"))["store"], "HOST", 2, "N11"),
     "url key": (lambda: text.url_match_key(url()), "HOST", 2, "n11.com/a-p-7"),
+    "queries": (lambda: F.array_join(search.search_queries(F.col("name"), F.lit("f"), F.lit("{}")), "|"), "regexp_extract_all(", 2, "Acme Lamp ZX000002TRK"),
 }
 
 
