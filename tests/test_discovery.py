@@ -56,3 +56,16 @@ def test_rule_list(spark):
     d = spark.createDataFrame(rows, "user_id long, product_id long, rule_type string, rule_id string, is_active boolean, last_triggered string")
     ids = lambda shown, asked: [r["rule_id"] for r in reports.rule_list(d, shown, asked).orderBy("place").collect()]
     assert ids("all", "PRICE") == ["e", "a", "d", "b"] and ids("active", "PRICE") == ["e", "a", "b"] and ids("inactive", "") == ["c", "d"] and ids("recent", "drop 7") == ["d"]
+
+
+def test_missing_listings_of_one_url_and_time(spark):
+    """Which of equal URLs and times is kept doesn't depend on the order of the rows."""
+    from tarifa.operators.catalog import missing_listings
+
+    rows = [(1, "https://a.b/c", float(i), 40 + i, "2001-01-01") for i in range(6)]
+    none = spark.createDataFrame([], "product_id long, url string")
+    kept = []
+    for given in (rows, rows[::-1]):
+        d = spark.createDataFrame(given, "product_id long, url string, price double, match_score int, last_scraped_at string").coalesce(1)
+        kept.append([r["price"] for r in missing_listings(d, none, 2).orderBy("rn").collect()])
+    assert kept == [[0.0, 1.0], [0.0, 1.0]]
