@@ -5,7 +5,8 @@ one-permutation MinHash). In every run a node goes down the paths of the tokens
 probability c / (0.8 * tokens), so two nodes with similarity 0.8 share c paths a level on average. Buckets of at most
 `small` nodes are compared pairwise; larger ones are split again on tokens sampled by the path so far, with a greater c.
 A pair must share a path at each level, so its chance to share none, q = exp(-c * (1 - q)), is carried from the deepest
-level up, and runs repeat until q ** runs is below 1 - recall.
+level up, and runs repeat until q ** runs is below 1 - recall. Before a split, nodes like a leader of their bucket are
+peeled off, and nodes that share too few of their tokens with any other node for a partner are left behind.
 
 Candidate pairs only decide which nodes are brought together: families (connected candidates) are then compared
 exactly on whole shingle sets, large families in tiles. A bucket that stays large after `levels` splits is joined
@@ -142,18 +143,95 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each row of large buckets with their leader (the least node of a bucket), once for all buckets of that leader.
+    """Compare each row of large buckets with their leaders (the least and the greatest node of a bucket), once for all buckets of the two.
 
-    A row like the leader (0.7 or more) need not be split further: by the triangle inequality of the Jaccard distance
-    a partner at 0.8 is at 0.5 or more to the leader, and every row at 0.35 or more becomes a candidate of it.
+    A row like a leader (0.7 or more) need not be split further: by the triangle inequality of the Jaccard distance
+    a partner at 0.8 is at 0.5 or more to that leader, and every row at 0.35 or more becomes a candidate of it.
     """
     for batch in batches:
         if batch.num_rows:
-            a, b = _signatures(batch.column("sig")), _signatures(batch.column("low_sig"))
-            both = np.maximum(1, ((a != _EMPTY) | (b != _EMPTY)).sum(1))
-            like = ((a == b) & (a != _EMPTY)).sum(1) / both
-            columns = [batch.column(c) for c in ("low", "node", "paths", "sig")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(like >= 0.35), pa.array(like >= 0.7)], names=["low", "node", "paths", "sig", "near", "peeled"])
+            a = _signatures(batch.column("sig"))
+            likes = []
+            for leader in ("low_sig", "high_sig"):
+                b = _signatures(batch.column(leader))
+                both = np.maximum(1, ((a != _EMPTY) | (b != _EMPTY)).sum(1))
+                likes.append(((a == b) & (a != _EMPTY)).sum(1) / both)
+            columns = [batch.column(c) for c in ("low", "high", "node", "paths", "sig")]
+            marks = [*(pa.array(x >= 0.35) for x in likes), pa.array(np.maximum(*likes) >= 0.7)]
+            yield pa.RecordBatch.from_arrays([*columns, *marks], names=["low", "high", "node", "paths", "sig", "near", "near_high", "peeled"])
+
+
+def _least_shared() -> np.ndarray:
+    """By number of tokens: how many of them a row shares with a partner at 0.8, but for a chance of 1e-6."""
+    least = []
+    for n in range(TOKENS + 1):
+        k, chance = 0, 0.2**n
+        while chance < 1e-6:
+            k += 1
+            chance += math.comb(n, k) * 0.8**k * 0.2 ** (n - k)
+        least.append(k)
+    return np.array(least)
+
+
+_PARTS = {"node": np.int64, "token": np.uint64}
+
+
+def _parts(bucket: np.ndarray, node: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+    """One row (bucket, nodes, tokens) for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    buckets, at = np.unique(bucket[order], return_index=True)
+    cuts = list(zip(at, [*at[1:], len(order)]))
+    columns = [pa.array([x[order[a:b]].tobytes() for a, b in cuts], pa.binary()) for x in (node, token)]
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), *columns], names=["bucket", *_PARTS])
+
+
+def _deal_tokens(buckets: int):
+    """The tokens of nodes, dealt by token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = _signatures(batch.column("sig"))
+                row, col = np.nonzero(sig != _EMPTY)
+                token = mix(sig[row, col].astype(np.uint64) | (col.astype(np.uint64) << np.uint64(32)))
+                yield _parts(token % np.uint64(buckets), batch.column("node").to_numpy()[row], token)
+
+    return run
+
+
+def _count_shared(buckets: int):
+    """How many tokens of each node another node has as well, dealt by node; of all of a node's tokens in the upper half."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, token = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in _PARTS.items())
+        _, at, count = np.unique(token, return_inverse=True, return_counts=True)
+        nodes, of = np.unique(node, return_inverse=True)
+        shared = np.bincount(of, count[at] > 1).astype(np.uint64) | (np.bincount(of).astype(np.uint64) << np.uint64(32))
+        return _parts(mix(nodes.view(np.uint64)) % np.uint64(buckets), nodes, shared).to_pandas()
+
+    return run
+
+
+def _partnered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Nodes that share as many of their tokens with others as a partner would."""
+    node, counts = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in _PARTS.items())
+    nodes, of = np.unique(node, return_inverse=True)
+    shared, live = (np.bincount(of, x) for x in (counts & np.uint64(0xFFFFFFFF), counts >> np.uint64(32)))
+    return pd.DataFrame({"p_node": nodes[shared >= _least_shared()[live.astype(np.int64)]]})
+
+
+def _with_partner(rows: DataFrame) -> DataFrame:
+    """The rows (paths, node, sig) whose node may have a partner among those of all rows.
+
+    Most rows of a bucket that a common passage makes have nothing else in common: a partner at 0.8 would share about
+    four fifths of their tokens, so a row with too few tokens that any other row has goes down no further path.
+    """
+    nodes = settle(rows.groupBy("node").agg(F.first("sig").alias("sig")), "unlike")
+    buckets = max(32, nodes.count() // 10_000)
+    schema = "bucket long, node binary, token binary"
+    shared = nodes.mapInArrow(_deal_tokens(buckets), schema).groupBy("bucket").applyInPandas(_count_shared(buckets), schema)
+    partnered = shared.groupBy("bucket").applyInPandas(_partnered, "p_node long")
+    return rows.hint("merge").join(partnered, F.col("node") == F.col("p_node"), "left_semi")
 
 
 def _family_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,24 +321,29 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: fl
     level = nodes.select(F.explode("paths").alias("path"), "node")
     edges = []
     for depth in range(levels + 1):
-        sizes = settle(level.groupBy(F.col("path").alias("k")).agg(F.count("*").alias("size"), F.min("node").alias("low")).where("size > 1"), "buckets")
+        ends = [F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")]
+        sizes = settle(level.groupBy(F.col("path").alias("k")).agg(*ends).where("size > 1"), "buckets")
         # both sides of these joins grow with the input: they are merged by shuffle at every size
         rows = level.hint("merge").join(sizes, F.col("path") == F.col("k")).hint("merge").join(sigs, F.col("node") == F.col("s_node"))
-        rows = settle(rows.select("path", "node", "sig", "size", "low"), "rows")
+        rows = settle(rows.select("path", "node", "sig", "size", "low", "high"), "rows")
         few = rows.where(F.col("size") <= small).select("path", "node", "sig").repartition("path").sortWithinPartitions("path")
         edges.append(settle(few.mapInArrow(_matches(0.6), "u long, v long").distinct(), "pairs"))
-        # a node of many large buckets with one leader is one row; its paths are as many as it has in all runs at most
-        large = rows.where(F.col("size") > small).groupBy("low", "node").agg(F.collect_list("path").alias("paths"), F.first("sig").alias("sig"))
-        leaders = sigs.select(F.col("s_node").alias("l_node"), F.col("sig").alias("low_sig"))
-        large = large.join(leaders, F.col("low") == F.col("l_node")).select("low", "node", "paths", "sig", "low_sig")
-        peeled = settle(large.mapInArrow(_peel, "low long, node long, paths array<long>, sig binary, near boolean, peeled boolean"), "peeled")
+        # a node of many large buckets with the same leaders is one row; its paths are as many as it has in all runs at most
+        large = rows.where(F.col("size") > small).groupBy("low", "high", "node").agg(F.collect_list("path").alias("paths"), F.first("sig").alias("sig"))
+        leaders = sizes.where(F.col("size") > small).select(F.col("low").alias("l_low"), F.col("high").alias("l_high")).distinct()
+        for end in ("low", "high"):
+            leaders = leaders.join(sigs.select(F.col("s_node").alias(f"{end}_node"), F.col("sig").alias(f"{end}_sig")), F.col(f"l_{end}") == F.col(f"{end}_node"))
+        large = large.join(leaders, (F.col("low") == F.col("l_low")) & (F.col("high") == F.col("l_high"))).select("low", "high", "node", "paths", "sig", "low_sig", "high_sig")
+        peeled = settle(large.mapInArrow(_peel, "low long, high long, node long, paths array<long>, sig binary, near boolean, near_high boolean, peeled boolean"), "peeled")
         if peeled.isEmpty():
             break
         # what is as large as before after the last split joins its leader as a whole
         edges.append(peeled.where("near" if depth < levels else "true").select(F.col("low").alias("u"), F.col("node").alias("v")))
         if depth < levels:
+            edges.append(peeled.where("near_high").select(F.col("high").alias("u"), F.col("node").alias("v")))
+            deeper = _with_partner(peeled.where("NOT peeled").select("paths", "node", "sig"))
             # dealt by node: the rows of a hot leader lie in the few tasks that have peeled them
-            deeper = peeled.where("NOT peeled").select("paths", "node", "sig").repartition("node").select(F.explode("paths").alias("path"), "node", "sig")
+            deeper = deeper.repartition("node").select(F.explode("paths").alias("path"), "node", "sig")
             level = settle(deeper.mapInArrow(_split, "path long, node long"), "paths")
     all_edges = edges[0]
     for e in edges[1:]:

@@ -40,3 +40,33 @@ def test_rows_with_one_id_and_different_texts(spark):
     assert len(got) == 24 and all(x["n_links"] == 1 and x["class_size"] == 2 for x in got)
     kept = sorted(x["text"] for x in corpus_pipeline.near(spark, docs, "").collect())
     assert len(kept) == 12 and {t.rpartition(" ")[0] for t in kept} == {" ".join(w[:-1]) for w in texts}
+
+
+def test_a_common_passage_sends_no_row_without_a_partner_down(spark, monkeypatch):
+    """Documents that share a passage alone meet in large buckets; only those with a near copy are split again."""
+    r = np.random.default_rng(6)
+    fresh = lambda n: [f"w{x}" for x in r.integers(0, 10**9, n)]
+    passage = fresh(40)
+    texts = [passage + fresh(110) for _ in range(600)]
+    texts += [w[:130] + fresh(3) + w[133:] for w in texts[:50]]
+    rows, settle = [], jaccard_join.settle
+
+    def counted(df, name, **more):
+        out = settle(df, name, **more)
+        rows.extend([out.count()] if name == "paths" else [])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "settle", counted)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard_join.join(docs).collect()}
+    want = {i: (i - 600 if i >= 600 else i, int(i < 50 or i >= 600)) for i in range(650)}
+    assert got == want
+    assert rows and sum(rows) < 3000  # one node in six has a partner
+
+
+def test_partners_share_as_many_tokens_as_counted_on():
+    least = jaccard_join._least_shared()
+    assert len(least) == jaccard_join.TOKENS + 1 and least[5] == 0 and 30 < least[64] < 0.6 * 64
+    r = np.random.default_rng(7)
+    for n in (12, 30, 64):
+        assert (r.binomial(n, 0.8, 200_000) < least[n]).mean() < 3e-5
