@@ -56,10 +56,36 @@ def interval_join(events: DataFrame, others: DataFrame, keys: list[str], seconds
     return a.join(b, on).drop("_bin", *[f"_o_{k}" for k in [*keys, "_bin"]])
 
 
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
+
+
+def _panes(width: str, slide: str) -> list[int]:
+    """How many seconds before a pane of `slide` the windows start that hold it; empty where panes don't fill them, or where the lengths are no number and unit."""
+    try:
+        w, s = (int(n) * _SECONDS[unit.lower().rstrip("s")] for n, unit in (x.split() for x in (width, slide)))
+    except (KeyError, ValueError):
+        return []
+    return list(range(0, w, s)) if 0 < s <= w and w % s == 0 else []
+
+
 def price_windows(history: DataFrame, width: str, slide: str | None = None) -> DataFrame:
-    """(product_id, start, rows, least, greatest, last) of tumbling or sliding windows of `at`; on a stream with a watermark late rows are dropped."""
+    """(product_id, start, rows, least, greatest, last) of tumbling or sliding windows of `at`; on a stream with a watermark late rows are dropped.
+
+    A table's rows are folded to panes of `slide` first where they fill windows, so panes and not rows are copied to the
+    windows that hold them. A history dealt by product is moved no more.
+    """
+    newest = F.struct("at", "event_no", "price")
+    ends = [F.min("price").alias("least"), F.max("price").alias("greatest")]
+    back = _panes(width, slide) if slide and not history.isStreaming else []
+    if back:
+        panes = history.groupBy("product_id", F.window("at", slide)).agg(F.count("*").alias("rows"), *ends, F.max(newest).alias("newest"))
+        start = F.explode(F.array(*[F.col("window.start") - F.make_dt_interval(secs=F.lit(x)) for x in back]))
+        g = panes.withColumn("start", start).groupBy("product_id", "start").agg(
+            F.sum("rows").alias("rows"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.max("newest")["price"].alias("last")
+        )
+        return g.select("product_id", "start", "rows", "least", "greatest", "last")
     w = F.window("at", width, slide) if slide else F.window("at", width)
-    g = history.groupBy("product_id", w).agg(F.count("*").alias("rows"), F.min("price").alias("least"), F.max("price").alias("greatest"), F.max_by("price", F.struct("at", "event_no")).alias("last"))
+    g = history.groupBy("product_id", w).agg(F.count("*").alias("rows"), *ends, F.max(newest)["price"].alias("last"))
     return g.select("product_id", F.col("window.start").alias("start"), "rows", "least", "greatest", "last")
 
 

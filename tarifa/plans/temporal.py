@@ -41,13 +41,13 @@ _WINDOW = "count(*) AS rows, min(price) AS least, max(price) AS greatest, arg_ma
 @query(f"SELECT product_id, time_bucket(INTERVAL 1 DAY, scraped_at) AS start, {_WINDOW} FROM h GROUP BY ALL", "h")
 def tumbling_prices(spark, d):
     """Windows of a day over price observations."""
-    return temporal.price_windows(_history(spark, d), "1 day")
+    return temporal.price_windows(t.dealt(_history(spark, d)), "1 day")
 
 
 @query(f"SELECT product_id, start, {_WINDOW} FROM (SELECT *, unnest([time_bucket(INTERVAL 6 HOUR, scraped_at) - to_hours(6 * k) FOR k IN range(4)]) AS start FROM h) GROUP BY ALL", "h")
 def sliding_prices(spark, d):
     """Windows of a day that start every six hours."""
-    return temporal.price_windows(_history(spark, d), "1 day", "6 hours")
+    return temporal.price_windows(t.dealt(_history(spark, d)), "1 day", "6 hours")
 
 
 def _attempts(spark, d):

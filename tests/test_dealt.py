@@ -8,6 +8,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from tarifa.operators import temporal
 from tarifa.plans import registry
 from tarifa.sources import tables as t
 
@@ -23,7 +24,18 @@ def test_parts_follow_the_rows(spark):
     assert t.dealt(h).rdd.getNumPartitions() == 8 and t.dealt(h, 100).rdd.getNumPartitions() == 101
 
 
-@pytest.mark.parametrize("name", ["pressure_top5", "catalog_gap_sort", "competitor_assessment"])
+@pytest.mark.parametrize("name", ["pressure_top5", "catalog_gap_sort", "competitor_assessment", "sliding_prices", "tumbling_prices"])
 def test_history_is_shuffled_once(spark, name):
     found = _exchanges(registry.QUERIES[name](spark, oracle.SMALL))
     assert len(found) == 1 and "REPARTITION_BY_NUM" in found[0]
+
+
+@pytest.mark.parametrize("width,slide", [("1 day", "6 hours"), ("90 minutes", "30 minutes"), ("1 hour", "25 minutes"), ("1 hour", "1 hour")])
+def test_sliding_windows_by_panes(spark, width, slide):
+    """As by copying each row to its windows; null prices, times and products, equal times, times before 1970."""
+    rows = [(p, s, None if n % 7 == 0 else float(n % 13), n) for n, (p, s) in enumerate([(p, s) for p in (1, 2, None) for s in (-5, 0, 0, 1799, 1800, 7200, 86_399, 86_400, None)])]
+    d = spark.createDataFrame(rows, "product_id long, s long, price double, event_no long").withColumn("at", F.timestamp_seconds("s"))
+    w = d.groupBy("product_id", F.window("at", width, slide)).agg(F.count("*"), F.min("price"), F.max("price"), F.max_by("price", F.struct("at", "event_no")))
+    want = sorted(map(repr, w.select("product_id", "window.start", *w.columns[2:]).collect()))
+    got = temporal.price_windows(d, width, slide).toDF("product_id", "start", *w.columns[2:])
+    assert sorted(map(repr, got.collect())) == want and want
