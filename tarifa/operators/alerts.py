@@ -123,11 +123,12 @@ def sent_frame(sent: list, event: Sequence[str]) -> pd.DataFrame:
     return pd.DataFrame(longs | {c: pd.Series([getattr(r, c) for r in sent], dtype="object") for c in ("rule_id", "rule_type")})
 
 
-def alerts_sent(evaluated: DataFrame, event: Sequence[str] = ("event_no",)) -> DataFrame:
+def alerts_sent(evaluated: DataFrame, event: Sequence[str] = ("event_no",), parts: int | None = None) -> DataFrame:
     """The alerts of every product, from (product_id, *event, at seconds, rule_no, rule_id, rule_type, fired, cooldown_minutes).
 
     `event` names the columns that tell apart and order the events of one second. Products are sorted by Spark and run
-    through batch by batch, with the state of one product at a time, so no product is held whole.
+    through batch by batch, with the state of one product at a time, so no product is held whole. `parts` is the number of
+    tasks they are dealt to, the session's number of shuffle partitions without it.
     """
     keys = ["product_id", "at", *event]
 
@@ -143,7 +144,8 @@ def alerts_sent(evaluated: DataFrame, event: Sequence[str] = ("event_no",)) -> D
                 sent = []
         yield sent_frame(sent, event)
 
-    ordered = evaluated.repartition("product_id").sortWithinPartitions(*keys, "rule_no", "rule_id")
+    by_product = evaluated.repartition(parts, "product_id") if parts else evaluated.repartition("product_id")
+    ordered = by_product.sortWithinPartitions(*keys, "rule_no", "rule_id")
     return ordered.mapInPandas(run, sent_schema(event))
 
 

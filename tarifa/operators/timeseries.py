@@ -19,14 +19,13 @@ def moves(history: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def recent_moves(history: DataFrame, keys: list[str], since: Column) -> DataFrame:
-    """`moves` of the observations from `since` on: each series needs only its newest row before that besides them.
+    """`moves` of the observations from `since` on.
 
-    That row is a maximum with a map side, so the older history is neither shuffled nor sorted.
+    A history dealt by one of the keys is sorted where it lies. (The newest row before `since` of each series would do
+    besides them, but to find it by a maximum each task sorts its whole share of the file first.)
     """
-    at, rest = F.col("scraped_at"), [c for c in history.columns if c not in keys]
-    before = history.where(at < since).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*ORDER)).alias("r")).select(*keys, "r.*")
-    recent = history.where(at >= since)
-    return moves(recent.unionByName(before.select(recent.columns)), keys).where(at >= since)
+    at = F.col("scraped_at")
+    return moves(history.where(at.isNotNull()), keys).where(at >= since)
 
 
 def implausible(history: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from tarifa.operators import temporal
+from tarifa.operators import alerts, temporal, timeseries
 from tarifa.plans import registry
 from tarifa.sources import tables as t
 
@@ -39,3 +39,21 @@ def test_sliding_windows_by_panes(spark, width, slide):
     want = sorted(map(repr, w.select("product_id", "window.start", *w.columns[2:]).collect()))
     got = temporal.price_windows(d, width, slide).toDF("product_id", "start", *w.columns[2:])
     assert sorted(map(repr, got.collect())) == want and want
+
+
+@pytest.mark.parametrize("keys", [["product_id"], ["product_id", "seller_id"]])
+def test_recent_moves_stay_in_their_part(spark, keys):
+    h = t.dealt(t.price_history(spark, oracle.SMALL))
+    since = t.as_of() - F.make_dt_interval(hours=F.lit(48))
+    found = timeseries.recent_moves(h, keys, since)
+    assert len(_exchanges(found)) == 1 and "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    # a row without a time is no row before another
+    unseen = h.withColumn("scraped_at", F.when(F.col("l_linenumber") != 1, F.col("scraped_at")))
+    seen = timeseries.moves(unseen.where("scraped_at IS NOT NULL"), keys).where(F.col("scraped_at") >= since)
+    assert timeseries.recent_moves(unseen, keys, since).exceptAll(seen).isEmpty() and not seen.isEmpty()
+
+
+def test_alerts_in_so_many_parts(spark):
+    columns = "product_id long, event_no long, at long, rule_no int, rule_id string, rule_type string, fired boolean, cooldown_minutes int"
+    d = spark.createDataFrame([(p, 1, 60, 1, "x", "LOW_MARGIN", True, 30) for p in range(40)], columns)
+    assert alerts.alerts_sent(d, parts=33).rdd.getNumPartitions() == 33 and alerts.alerts_sent(d, parts=33).count() == 40
