@@ -6,8 +6,8 @@ equal ones) and joins it, until no pair has a rank. A part is one integer, the r
 its id, so the least of the array is the next merge and no step touches a string. The ranks of pairs are a literal map. Decoding concatenates the binary pieces of the ids.
 
 The distinct words of the corpus are counted over all texts; the `frequent` commonest are encoded once and become a
-second literal map (its size is bounded by that parameter). Every other word is folded in place, so the dictionary
-changes the speed and never the result.
+second literal table (its size is bounded by that parameter), the HOT commonest of them apart. Every other word is folded
+in place, so the dictionary changes the speed and never the result.
 
 A word of more than a block of bytes is folded in overlapping blocks that are joined at a token both hold in the same
 place. That gives the ids of the whole word: a sequence is the encoding of its bytes exactly if each two neighbours are
@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from .common import let, settle
 
 BUCKETS = 1 << 18
+#: The commonest words lie in small maps, which are looked up fastest; the others in strings, which take a third of the bytes.
+HOT = 1 << 16
+PAIRS = 262_139  # a prime, as the ids of a pair are no random numbers
 #: A part: rank << 44 | id, and for a moment its index << 20. Ids and ranks stay below 2**19, indices below 2**24.
 _PLACE, _RANK = 20, 44
 _MARK = "!"  # before the ids of a word that its decoding does not give back
@@ -61,22 +64,23 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _bucket(key: Column) -> Column:
-    return F.hash(key).bitwiseAND(F.lit(BUCKETS - 1))
+def _bucket(key: Column, size: int) -> Column:
+    return F.hash(key).bitwiseAND(F.lit(size - 1))
 
 
-def _packed(entries: DataFrame, name: str, bucket=_bucket) -> Column:
-    """A map (k, v) as an array of BUCKETS small maps: keys are found by hash, not by a walk through all.
+def _packed(entries: DataFrame, name: str, size: int, bucket, made) -> Column:
+    """A table (k, v) as an array of `size` slots: keys are found by hash, not by a walk through all.
 
-    The table, of bounded size, is one row in the shared folder; as a scalar subquery Spark reads it once and puts it
-    into the plan as a literal, so neither the driver's Python nor the plan's text holds it.
+    `made` turns the array of a bucket's entries into its slot; an empty one is null. The table, of bounded size, is one
+    row in the shared folder; as a scalar subquery Spark reads it once and puts it into the plan as a literal, so neither
+    the driver's Python nor the plan's text holds it. The driver's JVM holds it several times over while it sends out a
+    stage, so slots are kept small.
     """
-    filled = entries.groupBy(bucket(F.col("k")).alias("b")).agg(F.collect_list(F.struct("k", "v")).alias("e"))
-    slots = entries.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("slot"))
+    filled = entries.groupBy(bucket(F.col("k"), size).alias("b")).agg(F.collect_list(F.struct("k", "v")).alias("e"))
+    slots = entries.sparkSession.range(size).select(F.col("id").cast("int").alias("slot"))
     rows = slots.join(filled, F.col("slot") == F.col("b"), "left")
-    entry = F.coalesce("e", F.array().cast(filled.schema["e"].dataType)).alias("e")
-    one = rows.agg(F.sort_array(F.collect_list(F.struct("slot", entry))).alias("s"))
-    return settle(one.select(F.transform("s", lambda x: F.map_from_entries(x["e"]))), name).scalar()
+    one = rows.agg(F.sort_array(F.collect_list(F.struct("slot", "e"))).alias("s"))
+    return settle(one.select(F.transform("s", lambda x: made(x["e"]))), name).scalar()
 
 
 def _pieces(vocabulary: DataFrame) -> Column:
@@ -87,13 +91,28 @@ def _pieces(vocabulary: DataFrame) -> Column:
     return settle(one.select(F.transform("s", lambda x: x["k"])), "pieces").scalar()
 
 
-def _get(table: Column, key: Column) -> Column:
-    """The value of `key` in a packed map, or null."""
-    return F.element_at(F.get(table, _bucket(key)), key)
+def _marks() -> tuple[Column, Column]:
+    """What stands before a word and before its code in a slot of words: bytes that no UTF-8 text holds."""
+    return F.lit(b"\xfe").cast("string"), F.lit(b"\xff").cast("string")
 
 
-def _pair_bucket(key: Column) -> Column:
-    return (key % F.lit(262_139)).cast("int")  # a prime, as the ids of a pair are no random numbers
+def _joined(entries: Column) -> Column:
+    """Words and codes of a slot as one string, a third of the bytes of a map."""
+    word, code = _marks()
+    return F.array_join(F.transform(entries, lambda x: F.concat(word, x["k"], code, x["v"])), "")
+
+
+def _code(hot: Column, rest: Column, word: Column, other) -> Column:
+    """The code of a word: from the maps of hot words, else from the slots of the rest, else `other`."""
+    before, between = _marks()
+    cut = lambda text, mark, n: F.call_function("substring_index", text, mark, F.lit(n))
+    # from the word's code on, or the whole slot, and nothing stands before its first word
+    found = cut(cut(F.get(rest, _bucket(word, BUCKETS)), F.concat(before, word, between), -1), before, 1)
+    return F.coalesce(F.element_at(F.get(hot, _bucket(word, HOT)), word), let(found, lambda c: F.when(c != "", c).otherwise(other(word))))
+
+
+def _pair_bucket(key: Column, size: int) -> Column:
+    return (key % F.lit(size)).cast("int")
 
 
 class Fold:
@@ -104,7 +123,7 @@ class Fold:
 
     def part(self, pair: Column) -> Column:
         """The left part of a pair (left id << 20 | right id), with the rank of the pair."""
-        known = F.element_at(F.get(self.pairs, _pair_bucket(pair)), pair)
+        known = F.element_at(F.get(self.pairs, _pair_bucket(pair, PAIRS)), pair)
         return F.coalesce(known, F.shiftright(pair, _PLACE).bitwiseOR(F.lit(_NONE << _RANK)))
 
     def first(self, codes: Column) -> Column:
@@ -255,23 +274,29 @@ def tokenise(
     spark = docs.sparkSession
     vocabulary = pa.table({"k": [k.decode("latin-1") for k in ranks], "v": pa.array(ranks.values(), pa.int32())})
     pieces = _pieces(settle(spark.createDataFrame(vocabulary), "vocabulary"))
-    pairs = _packed(settle(spark.createDataFrame(pair_ranks(ranks)), "pairs"), "ranks", _pair_bucket)
+    pairs = _packed(settle(spark.createDataFrame(pair_ranks(ranks)), "pairs"), "ranks", PAIRS, _pair_bucket, F.map_from_entries)
     tables = byte_tables(ranks)
     kind = "struct<" + ",".join(f"{k}:array<int>" for k in tables) + ">"
     bytes_ = settle(spark.createDataFrame(pa.table({"t": [json.dumps(tables)]})).select(F.from_json("t", kind)), "bytes").scalar()
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     # distinct words of each text first, so that the grouping sees a word once a text
     counts = docs.select(F.explode(F.array_distinct(found)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "k").limit(frequent).select("k")
+    top = counts.orderBy(F.desc("n"), "k").limit(frequent)
     top = top.repartition(spark.sparkContext.defaultParallelism, "k")
     # each table is used once, so Spark puts the subquery in its place and no row ever holds a table
     tables = [bytes_.alias("_bytes"), pairs.alias("_pairs"), pieces.alias("_pieces")]
     bound = lambda body: let(F.col("_bytes"), lambda b: let(F.col("_pairs"), lambda r: let(F.col("_pieces"), lambda p: body(Fold(b, r, p, block)))))
-    words = top.select("k", *tables).select("k", bound(lambda fold: fold.code(F.col("k"))).alias("v"))
-    word_map = _packed(settle(words, "words"), "frequent")
-    code = lambda fold, m: lambda w: F.coalesce(_get(m, w), fold.code(w))
-    coded = bound(lambda fold: let(F.col("_words"), lambda m: let(F.col("_found"), lambda w: fold.text(w, code(fold, m)))))
-    one = docs.select(*keep, found.alias("_found"), *tables, word_map.alias("_words"))
+    words = settle(top.select("k", "n", *tables).select("k", "n", bound(lambda fold: fold.code(F.col("k"))).alias("v")), "words")
+    hot = settle(words.orderBy(F.desc("n"), "k").limit(HOT), "hot")
+    rest = words.join(hot.select("k"), "k", "left_anti")
+    packed = [
+        _packed(hot, "frequent", HOT, _bucket, F.map_from_entries).alias("_hot"),
+        _packed(rest, "rest", BUCKETS, _bucket, _joined).alias("_rest"),
+    ]
+    code = lambda fold, h, r: lambda w: _code(h, r, w, fold.code)
+    tabled = lambda body: let(F.col("_hot"), lambda h: let(F.col("_rest"), lambda r: body(h, r)))
+    coded = bound(lambda fold: tabled(lambda h, r: let(F.col("_found"), lambda w: fold.text(w, code(fold, h, r)))))
+    one = docs.select(*keep, found.alias("_found"), *tables, *packed)
     out = one.select(*keep, coded.alias("_c")).select(*keep, "_c.ids", "_c.decoded")
     n = F.when(F.col("ids") == "", 0).otherwise(F.octet_length("ids") - F.octet_length(F.replace("ids", F.lit(","))) + 1)
     return out.select(*keep, n.cast("long").alias("n_tokens"), "ids", "decoded")
